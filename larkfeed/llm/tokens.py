@@ -12,9 +12,11 @@ named in `metadata`.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,12 @@ from pyspark.sql import types as T
 
 from .common import scratch, slices, small_batches, write
 
-#: Entries that a worker remembers before it starts anew: bounds memory, changes no result.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers before it starts anew: bounds memory, changes no result.
+REMEMBERED = 700_000
+#: Pieces that are encoded at once.
+AT_ONCE, JOINED = 8000, 200
+#: Fixed value: the character by which byte-level BPE writes a space.
+_SPACE = "\u0120"
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 #: Row groups, pages and encodings of the written files.
@@ -46,10 +52,14 @@ class Encoder:
     BPE, so texts are cut there and each different piece is encoded once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == _SPACE]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -57,18 +67,36 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.start, self.length = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
+    def ids_of(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces, number of ids of each). Pieces without outer white space are encoded joined: only
+        the first token of each begins with a space, so the ids tell where each one starts."""
+        plain = [i for i, p in enumerate(pieces) if type(p) is str and p and not p[0].isspace() and not p[-1].isspace()]
+        joined = ["".join([" " + pieces[i] for i in plain[a : a + JOINED]]) for a in range(0, len(plain), JOINED)]
+        ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([np.empty(0, np.int32), *ids])
+        start = np.flatnonzero(self.spaced[ids])
+        where, counts = np.array(plain, np.int64), np.diff(np.append(start, len(ids)))
+        if len(plain) < len(pieces):
+            other = sorted(set(range(len(pieces))) - set(plain))
+            more = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([p[0] if type(p) is tuple else " " + p for p in map(pieces.__getitem__, other)], add_special_tokens=False)]
+            where, counts, ids = np.append(where, other), np.append(counts, [len(m) for m in more]), np.concatenate([ids, *more])
+        order, ends = np.argsort(where, kind="stable"), np.cumsum(counts)
+        n = counts[order]
+        return ids[np.repeat(ends[order] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
     def learn(self, pieces: list) -> None:
-        found = self.tokenizer.encode_batch_fast([p[0] if isinstance(p, tuple) else " " + p for p in pieces], add_special_tokens=False)
-        for piece, encoding in zip(pieces, found, strict=True):
-            ids, k = encoding.ids, len(self.code)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
-            if k >= len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.code[piece] = k
+        for a in range(0, len(pieces), AT_ONCE):
+            part = pieces[a : a + AT_ONCE]
+            ids, lengths = self.ids_of(part)
+            n, k = len(ids), len(self.code)
+            if self.used + n > len(self.flat):
+                self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + n))
+            if k + len(part) > len(self.start):
+                self.start, self.length = np.resize(self.start, 2 * (k + len(part))), np.resize(self.length, 2 * (k + len(part)))
+            self.flat[self.used : self.used + n] = ids
+            self.start[k : k + len(part)], self.length[k : k + len(part)] = self.used + np.cumsum(lengths) - lengths, lengths
+            self.used += n
+            self.code.update(zip(part, range(k, k + len(part)), strict=True))
 
     @staticmethod
     def pieces(text: str) -> list:
@@ -96,19 +124,29 @@ class Encoder:
             ends[i + 1] = len(keys)
         if len(self.code) > REMEMBERED:
             self.clear()
-        codes = list(map(self.code.get, keys))
-        if None in codes:
-            self.learn(list(dict.fromkeys(k for k, c in zip(keys, codes, strict=True) if c is None)))
-            codes = list(map(self.code.get, keys))
-        at = np.array(codes, np.int64)
+        at = np.fromiter(map(self.code.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(new := np.flatnonzero(at < 0)):
+            new_keys = list(map(keys.__getitem__, new.tolist()))
+            self.learn(list(dict.fromkeys(new_keys)))
+            at[new] = np.fromiter(map(self.code.get, new_keys), np.int64, len(new))
         lengths = self.length[at]
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.start[at] - total[:-1], lengths) + np.arange(total[-1])]
         return ids, np.diff(total[ends])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """Kept between the tasks of a worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder, start, part = Encoder(path), 0, TaskContext.get().partitionId()
+    encoder, start, part = encoder_of(path), 0, TaskContext.get().partitionId()
     for batch in batches:
         for rows in slices(batch):
             ids, counts = encoder.encode(rows.column(rows.schema.get_field_index("text")).to_pylist())
