@@ -30,8 +30,9 @@ from .common import LOWER, NOT_SPACE, Rolling, connected_components, gram_hashes
 K, PERCENT = 5, 85
 BINS, ROWS = 256, 8
 BANDS = BINS // ROWS
-#: Pairs whose signatures agree in fewer of the bins are not compared: six standard deviations below PERCENT.
-LIKELY = int(0.71 * BINS)
+#: Pairs whose signatures agree in fewer of the bins are not compared: four standard deviations below PERCENT,
+#: which loses a link at the very limit as seldom (1 in 30,000) as that its bands all differ.
+LIKELY = int((PERCENT / 100 - 4 * (PERCENT / 100 * (1 - PERCENT / 100) / BINS) ** 0.5) * BINS)
 #: Members of a bucket in one tile.
 TILE = 512
 
@@ -86,9 +87,8 @@ def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, first = shingles(rows.column(rows.schema.get_field_index("text")))
             n = np.diff(first)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(s)), dtype=np.uint64)]) for s in (0x51ED2701, 0x2545F491)]
-            s = signatures(values, first)
-            bands = gram_rows(s.reshape(-1, BANDS, ROWS))
-            codes = (s >> np.uint64(40)).astype(np.uint8)
+            codes = (signatures(values, first) >> np.uint64(40)).astype(np.uint8)
+            bands = gram_rows(codes.reshape(-1, BANDS, ROWS).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([
                 rows.column(rows.schema.get_field_index("doc_id")), pa.array(n.astype(np.int64)), *(pa.array(signed(x[first[1:]] - x[first[:-1]])) for x in sums),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(signed(bands.reshape(-1)))),
@@ -137,34 +137,43 @@ def tiles(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.countDistinct("component").alias("kinds")).where("kinds > 1").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     m = members.join(sizes, "band").withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     own = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    return m.withColumn("other", own).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).select("band", "i", "j", "doc", "component", "signature", "tile")
+    return m.withColumn("other", own).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).select("band", "k", "i", "j", "doc", "component", "signature", "n_shingles", "tile")
 
 
 def propose(best_only: bool):
+    """Likely pairs of different components. A pair is proposed in the first band alone that its documents share."""
+
     def run(t: pa.Table) -> pa.Table:
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        doc, comp, tile = (t[k].to_numpy() for k in ("doc", "component", "tile"))
+        i, j, k = (t[c][0].as_py() for c in ("i", "j", "k"))
+        doc, comp, tile, size = (t[c].to_numpy() for c in ("doc", "component", "tile", "n_shingles"))
         s = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint8).reshape(-1, BINS)
         left, right = (np.flatnonzero(tile == i), np.flatnonzero(tile == j))
-        a, b = [], []
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        most, of = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)  # the best of each on the right
         for x in range(0, len(left), 32):
             rows = left[x : x + 32]
-            same = (s[rows][:, None, :] == s[right][None, :, :]).sum(2)
-            same[comp[rows][:, None] == comp[right][None, :]] = 0
-            if best_only:
-                top = same.argmax(1)
-                ok = same[np.arange(len(rows)), top] >= LIKELY
-                a.append(rows[ok]), b.append(right[top[ok]])
-                if i != j:
-                    top = same.argmax(0)
-                    ok = same[top, np.arange(len(right))] >= LIKELY
-                    a.append(rows[top[ok]]), b.append(right[ok])
-            else:
-                p, q = np.nonzero(same >= LIKELY)
-                a.append(rows[p]), b.append(right[q])
-        a, b = (np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for v in (a, b))
-        lo, hi = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
-        both = np.unique(np.stack([lo, hi]), axis=1)
+            equal = s[rows][:, None, :] == s[right][None, :, :]
+            alike = equal.sum(2)
+            one, two = size[rows][:, None], size[right][None, :]
+            ok = (alike >= LIKELY) & (comp[rows][:, None] != comp[right][None, :]) & (100 * np.minimum(one, two) >= PERCENT * np.maximum(one, two))
+            p, q = np.nonzero(ok)
+            first = equal[p, q].reshape(-1, BANDS, ROWS).all(2).argmax(1) == k
+            p, q = p[first], q[first]
+            if best_only and len(p):
+                score = np.zeros(ok.shape, np.int64)
+                score[p, q] = alike[p, q]
+                top, low = score.max(0), score.argmax(0)
+                better = top > most
+                most[better], of[better] = top[better], rows[low[better]]
+                p = np.flatnonzero(score.max(1))
+                q = score.argmax(1)[p]
+            a.append(rows[p])
+            b.append(right[q])
+        if best_only and i != j:
+            a.append(of[most > 0])
+            b.append(right[most > 0])
+        a, b = doc[np.concatenate(a)], doc[np.concatenate(b)]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
     return run
@@ -181,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = materialize(firsts, "sets")
     one = rows.join(firsts.select(F.col("rep").alias("doc_id"), *(F.col(k).alias(f"{k}_") for k in key)), "doc_id").where(" and ".join(f"{k} = {k}_" for k in key))
     one = one.dropDuplicates(["doc_id"])
-    buckets = one.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("band"))
+    buckets = one.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("k", "band"))
     shared = buckets.groupBy("band").agg(F.min("doc").alias("star"), F.count("*").alias("n")).where("n > 1").select("band", "star")
     members = materialize(buckets.join(shared, "band"), "buckets")
     star = members.where("doc <> star").select(F.col("star").alias("a"), F.col("doc").alias("b")).distinct()
@@ -189,12 +198,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # texts of documents with a candidate, once for all rounds; equal ids with several texts: those of the set that stands
     texts = materialize(slim.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "candidates")
     links = confirmed(star, texts)
-    slim_signatures = one.join(wanted, "doc_id").select(F.col("doc_id").alias("doc"), "signature")
+    slim_signatures = one.join(wanted, "doc_id").select(F.col("doc_id").alias("doc"), "signature", "n_shingles")
     slim_signatures = materialize(slim_signatures, "candidate-signatures")
     tried = star
     for best_only in (True, False):
         found = connected_components(links)
-        where = members.select("band", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        where = members.select("band", "k", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         several = where.groupBy("band").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("band")
         open_ = where.join(several, "band").join(slim_signatures, "doc")
         pairs = tiles(open_).groupBy("band", "i", "j").applyInArrow(propose(best_only), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
