@@ -8,8 +8,8 @@ apart than the threshold and both covering radii, takes as wholly linked those t
 for any of their points, and compares what is left in double precision.
 
 Links are counted, not listed, and components leave a task as (point, smallest point) edges, so a
-dense group of any size gives rows in proportion to its points. Centres come from a bounded sample
-(SAMPLE points); they steer the pruning alone, every pair within the threshold is found whatever they are.
+dense group of any size gives rows in proportion to its points. Centres come from a sample of
+SAMPLE to 2 * SAMPLE points, whatever the input; they steer the pruning alone, every pair within the threshold is found whatever they are.
 
 Cases: vectors that are null, empty, zero, or hold nulls or non-finite numbers link with nothing and
 are kept; vectors of different lengths never link; rows that share a vec_id are nodes of one id, and
@@ -246,9 +246,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = materialize(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(points, "vec_id long, dim int, unit binary"), "vectors")
     single = materialize(rows.where("unit is not null").groupBy("dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "points")
     summed, edges = [], []
-    for (dim,) in single.select("dim").distinct().collect():  # vectors of another length are another space
+    for dim, n in single.groupBy("dim").count().collect():  # vectors of another length are another space
         mine = single.where(F.col("dim") == dim)
-        sample = mine.orderBy(F.xxhash64("rep"), "unit").limit(SAMPLE).select("unit").toArrow()
+        sample = mine.where(F.pmod(F.xxhash64("unit"), F.lit(max(1, n // SAMPLE))) == 0).select("unit").toArrow().sort_by("unit")
         centres = spread(matrix(sample["unit"]), CENTRES)
 
         def assign(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
@@ -264,14 +264,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         dealt = dealt.join(sizes, "cell").withColumn("block", F.concat_ws(".", "cell", F.pmod(F.xxhash64("unit"), F.col("parts"))))
         trees = dealt.select("block", "vec_id", "n", "unit").groupBy("block").applyInArrow(placed, "block string, vec_id long, n long, unit binary, place int, levels binary")
         trees = materialize(trees, "trees")
-        # a row for each block of BLOCK points
-        reach = dealt.groupBy("block", "cell").agg(F.max("far").alias("far")).collect()
-        pairs = []
-        for x, p in enumerate(reach):
-            for q in reach[x:]:
-                if distance(centres[p["cell"]] @ centres[q["cell"]]) <= p["far"] + q["far"] + np.sqrt(2 - 2 * cosine) + _SLACK:
-                    pairs += [(b, p["block"], q["block"]) for b in dict.fromkeys((p["block"], q["block"]))]
-        dealt_pairs = trees.join(spark.createDataFrame(pairs, "block string, i string, j string"), "block")
+        # cells are at most CENTRES, so their pairs are few; pairs of blocks are a join on the cells
+        reach = dealt.groupBy("cell").agg(F.max("far").alias("far")).orderBy("cell").collect()
+        cells = [(p["cell"], q["cell"]) for x, p in enumerate(reach) for q in reach[x:] if distance(centres[p["cell"]] @ centres[q["cell"]]) <= p["far"] + q["far"] + np.sqrt(2 - 2 * cosine) + _SLACK]
+        blocks = dealt.select("cell", "block").distinct()
+        i, j = (blocks.select(F.col("cell").alias(f"cell_{s}"), F.col("block").alias(s)) for s in "ij")
+        pairs = spark.createDataFrame(cells, "cell_i int, cell_j int").join(i, "cell_i").join(j, "cell_j").where("cell_i < cell_j or i <= j")
+        dealt_pairs = trees.join(pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "block")
         found = materialize(dealt_pairs.groupBy("i", "j").applyInArrow(met, "vec_id long, links long, low long"), "found")
         summed.append(found.groupBy("vec_id").agg(F.sum("links").alias("links")))
         edges.append(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b")).distinct())
