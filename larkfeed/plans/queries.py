@@ -94,8 +94,8 @@ def feed_region_strict(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH raw AS ({FEED_RAW}) SELECT row_num, CASE WHEN {_TARGET} = '대전' THEN 'disagree' WHEN {_TARGET} IS NULL THEN 'address only' ELSE 'disagree' END AS state FROM raw WHERE row_num % 7 = 0 AND NOT coalesce({_TARGET} = '세종', false)")
 def feed_region_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Every seventh row with its address moved to Sejong: the contradictions."""
-    moved = feed_raw(spark, d).where("row_num % 7 = 0").withColumn("address", F.lit("세종특별자치시 한누리대로"))
+    """The contradictions of a feed in which every seventh row has its address moved to Sejong."""
+    moved = feed_raw(spark, d).withColumn("address", F.when(F.expr("row_num % 7 = 0"), F.lit("세종특별자치시 한누리대로")).otherwise(F.col("address")))
     _, state = region.strict(F.col("region"), F.col("address"))
     return moved.select("row_num", state.alias("state")).where("state not in ('ok', 'dropped')")
 
