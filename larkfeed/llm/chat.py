@@ -9,6 +9,8 @@ A turn is `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts, one ba
 between `<` and `|`, however many were there, which keeps control strings out and can be undone. The
 loss mask is a range of code points of the formatted turn: an assistant's escaped text.
 
+Turn rows are canonical already and keep their roles as they are; other layouts' names of roles are mapped.
+
 Cases: null roles and texts are empty; turns are ordered by turn, then role and text, null turns
 first; repeated rows are turns each; a record of no known layout has no turns and is counted by
 `unmapped`; an empty table gives no rows; unknown columns and fields are ignored.
@@ -95,7 +97,7 @@ def table_turns(df: DataFrame) -> DataFrame:
         raise ValueError(f"no layout is known for the columns {df.columns}")
     if "row" in layout:
         c, t, r, x = layout["row"]
-        return df.select(F.col(c).cast("long").alias("conv_id"), F.col(t).cast("long").alias("turn"), role(F.col(r)).alias("role"), F.coalesce(F.col(x).cast("string"), F.lit("")).alias("text"))
+        return df.select(F.col(c).cast("long").alias("conv_id"), F.col(t).cast("long").alias("turn"), F.coalesce(F.col(r).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(x).cast("string"), F.lit("")).alias("text"))
     if "each" in layout:
         turns = F.transform(layout["each"], lambda m: F.struct(role(m[layout["role"]]).alias("role"), F.coalesce(m[layout["text"]], F.lit("")).alias("text")))
     else:
@@ -134,7 +136,7 @@ def record_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             conv = record.get(ID)
             conv = conv if isinstance(conv, int) else int.from_bytes(hashlib.sha256((line or "").encode()).digest()[:8], "big", signed=True)
             first = record.get("turn") if "row" in layout and isinstance(record.get("turn"), int) else 0
-            rows += [(conv, first + i, ROLES.get(who.lower(), who), x) for i, (who, x) in enumerate(turns)]
+            rows += [(conv, first + i, who if "row" in layout else ROLES.get(who.lower(), who), x) for i, (who, x) in enumerate(turns)]
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
 
