@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Bins for each source; the exact order is needed in one of them.
 BINS = 1 << 14
+#: Bins whose words are summed up together first.
+GROUP = 1 << 7
 
 
 def target_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -66,10 +68,14 @@ def allocate(docs: DataFrame, targets: DataFrame, bins: int = BINS, most: int =
     # of equal p, the rank depends on the draw alone; floor keeps every tie in one bin
     d = d.withColumn("bin", F.when(F.col("rank").isNotNull(), F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1)).cast("int")))
     d = materialize(d, "mix")
-    sums = d.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("goal"))
-    by = Window.partitionBy("source")
-    sums = sums.withColumn("left", F.col("goal") - F.sum("sure").over(by)).where("bin is not null")
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    fine = d.where("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("bin") / GROUP).cast("int"))
+    fine = materialize(fine, "mix-bins")
+    earlier = lambda words, order, *of: F.coalesce(F.sum(words).over(Window.partitionBy(*of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # words before a bin: those of earlier groups of bins and those of earlier bins of its group
+    groups = fine.groupBy("source", "group").agg(F.sum("words").alias("group_words")).select(F.col("source").alias("s"), F.col("group").alias("g"), earlier("group_words", "group", "source").alias("outer"))
+    goals = d.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("left")).select(F.col("source").alias("t"), "left")
+    sums = fine.withColumn("inner", earlier("words", "bin", "source", "group")).join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g"))).join(goals, F.col("source").eqNullSafe(F.col("t")))
+    sums = sums.select("source", "bin", "words", "left", (F.col("outer") + F.col("inner")).alias("before"))
     edge = materialize(sums.where("before < left and before + words > left").select("source", F.col("bin").alias("edge"), "before", "left"), "mix-edge")
     full = materialize(sums.groupBy("source").agg(F.max(F.when(F.col("before") + F.col("words") <= F.col("left"), F.col("bin"))).alias("full")), "mix-full")
     e = d.join(edge, d["source"].eqNullSafe(edge["source"]) & (d["bin"] == edge["edge"])).drop(edge["source"])
