@@ -68,9 +68,9 @@ class Encoder:
         self.start, self.length = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
     def ids_of(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the pieces, number of ids of each). Pieces without outer white space are encoded joined: only
+        """(ids of the pieces, number of ids of each). Pieces without spaces or outer white space are encoded joined: only
         the first token of each begins with a space, so the ids tell where each one starts."""
-        plain = [i for i, p in enumerate(pieces) if type(p) is str and p and not p[0].isspace() and not p[-1].isspace()]
+        plain = [i for i, p in enumerate(pieces) if type(p) is str and p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
         joined = ["".join([" " + pieces[i] for i in plain[a : a + JOINED]]) for a in range(0, len(plain), JOINED)]
         ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.concatenate([np.empty(0, np.int32), *ids])

@@ -45,6 +45,19 @@ def test_tokens(spark, docs):
     assert tokens.op1(spark, docs.where("false"), path).count() == 0
 
 
+def test_tokens_of_odd_texts(spark, monkeypatch):
+    """White space, signs, other scripts and control strings in any order, with little remembered."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 500)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    signs = ["a", "B", "é", "ж", "中", "́", "ª", "×", "1", "²", "'s", "'t", "n't", "’", ".", ",", "\n", "\n ", "\n\n", " ", "  ", "\t", "\r\n", "\xa0", "\u3000", "\x1c", "\x85", "-", "$$$", "<|endoftext|>", "🙂", "the", "Word", "\u200b"]
+    r = np.random.default_rng(1)
+    texts = ["a\n b c", "one\n  two\n three.\nFour", *("".join(r.choice(signs, r.integers(1, 25))) for _ in range(4000))]
+    got = tokens.op1(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {x["doc_id"]: x["ids_crc32"] for x in got} == {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, x in enumerate(texts)}
+
+
 def test_repeats(docs):
     seen, want = {}, []
     every = sorted(rows_of(docs))
