@@ -20,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,14 +28,20 @@ from pyspark.sql import types as T
 
 from .common import scratch, slices, small_batches, write
 
-#: Pieces that a worker remembers before it starts anew: bounds memory, changes no result.
+#: Pieces that a worker remembers before it drops those met once: bounds memory, changes no result.
 REMEMBERED = 700_000
 #: Pieces that are encoded at once.
 AT_ONCE, JOINED = 8000, 200
+#: Bytes of text that are looked up together: fewer different pieces in all, bounded memory.
+AT_A_TIME = 2 << 20
 #: Fixed value: the character by which byte-level BPE writes a space.
 _SPACE = "\u0120"
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: White space of any kind before a space, for Python and for Arrow.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+_SPACE_AFTER_SPACE = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
+#: A word, signs with at most one line end, a word, signs: byte-level BPE never joins letters with signs. Apostrophes are
+#: left out, as some letters join them; letters are Latin ones alone, and other characters leave the piece whole.
+_PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*)([!-&(-/:-@\\[-`{-~]*)")
 #: Row groups, pages and encodings of the written files.
 FILE_FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -47,6 +54,12 @@ FILE_FORMAT = {
 }
 
 
+def runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] of them, then those of start[1], and so on."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
+
+
 class Encoder:
     """tokenizers' ids of many texts. A space after other text always starts a new piece of byte-level
     BPE, so texts are cut there and each different piece is encoded once."""
@@ -65,7 +78,15 @@ class Encoder:
     def clear(self) -> None:
         self.code: dict = {}
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.length = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.start, self.length, self.again = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), np.zeros(1 << 16, bool)
+
+    def forget(self) -> None:
+        """Keep the pieces that were met again, unless they are most of all."""
+        keys, kept = list(self.code), np.flatnonzero(self.again[: len(self.code)])
+        start, n, flat = self.start[kept], self.length[kept], self.flat
+        self.clear()
+        if len(kept) <= REMEMBERED // 2:
+            self.add([keys[i] for i in kept.tolist()], flat[runs(start, n)], n)
 
     def ids_of(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces, number of ids of each). Pieces without spaces or outer white space are encoded joined: only
@@ -82,57 +103,93 @@ class Encoder:
             where, counts, ids = np.append(where, other), np.append(counts, [len(m) for m in more]), np.concatenate([ids, *more])
         order, ends = np.argsort(where, kind="stable"), np.cumsum(counts)
         n = counts[order]
-        return ids[np.repeat(ends[order] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+        return ids[runs(ends[order] - n, n)], n
+
+    def add(self, pieces: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        k, n = len(self.code), len(pieces)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
+        if k + n > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * (k + n)), np.resize(self.length, 2 * (k + n))
+            self.again = np.append(self.again, np.zeros(2 * (k + n) - len(self.again), bool))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k : k + n], self.length[k : k + n] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(ids)
+        self.code.update(zip(pieces, range(k, k + n), strict=True))
 
     def learn(self, pieces: list) -> None:
-        for a in range(0, len(pieces), AT_ONCE):
-            part = pieces[a : a + AT_ONCE]
-            ids, lengths = self.ids_of(part)
-            n, k = len(ids), len(self.code)
-            if self.used + n > len(self.flat):
-                self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + n))
-            if k + len(part) > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * (k + len(part))), np.resize(self.length, 2 * (k + len(part)))
-            self.flat[self.used : self.used + n] = ids
-            self.start[k : k + len(part)], self.length[k : k + len(part)] = self.used + np.cumsum(lengths) - lengths, lengths
-            self.used += n
-            self.code.update(zip(part, range(k, k + len(part)), strict=True))
+        """Remember new pieces: those of words and signs from their parts, the others as they are encoded."""
+        whole, made, parts, sizes = [], [], [], []
+        for p in pieces:
+            head, sign, word, last = m.groups() if (m := _PARTS.fullmatch(p if type(p) is str else p[0])) else ("", "", "", "")
+            if not sign:
+                whole.append(p)
+                continue
+            own = [head if type(p) is str else (head,), (sign,)]
+            if word:
+                own.append((word,))
+            if last:
+                own.append((last,))
+            made.append(p)
+            parts += own
+            sizes.append(len(own))
+        seen = self.code
+        whole = list(dict.fromkeys([*whole, *(p for p in parts if p not in seen)]))
+        for a in range(0, len(whole), AT_ONCE):
+            self.add(whole[a : a + AT_ONCE], *self.ids_of(whole[a : a + AT_ONCE]))
+        if made:
+            at = np.fromiter(map(self.code.__getitem__, parts), np.int64, len(parts))
+            ids = self.flat[runs(self.start[at], self.length[at])]
+            self.add(made, ids, np.add.reduceat(self.length[at], np.cumsum(sizes) - sizes))
+
+    def codes(self, keys: list) -> np.ndarray:
+        """The number under which each of these different pieces is remembered."""
+        at = np.fromiter(map(self.code.get, keys, repeat(-1)), np.int64, len(keys))
+        self.again[at[at >= 0]] = True
+        if len(new := np.flatnonzero(at < 0)):
+            new_keys = list(map(keys.__getitem__, new.tolist()))
+            self.learn(new_keys)
+            at[new] = np.fromiter(map(self.code.__getitem__, new_keys), np.int64, len(new))
+        return at
+
+    def numbers(self, keys: list) -> np.ndarray:
+        """The same for pieces that may repeat."""
+        self.codes(list(dict.fromkeys(keys)))
+        return np.fromiter(map(self.code.__getitem__, keys), np.int64, len(keys))
 
     @staticmethod
     def pieces(text: str) -> list:
         """A string stands for itself after a space, a tuple for a text's beginning."""
-        if not text:
-            return []
-        if _SPACE_AFTER_SPACE.search(text):
-            parts = _BEFORE_SPACE.split(text)
-            parts[1:] = [p[1:] for p in parts[1:]]
-            parts[0] = parts[0][1:] if parts[0][0] == " " else (parts[0],)
-            return parts
-        parts = text.split(" ")
-        if parts[0]:
-            parts[0] = (parts[0],)
-            return parts
-        return parts[1:]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
-        keys: list = []
-        ends = np.empty(len(texts) + 1, np.int64)
-        ends[0] = 0
-        for i, text in enumerate(texts):
-            keys.extend(self.pieces(text or ""))
-            ends[i + 1] = len(keys)
+        parts = _BEFORE_SPACE.split(text)
+        parts[1:] = [p[1:] for p in parts[1:]]
+        parts[0] = parts[0][1:] if parts[0][0] == " " else (parts[0],)
+        return parts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each). Spaces after other text are found by Arrow, and only different
+        pieces become Python strings; texts with white space before a space are cut one by one."""
         if len(self.code) > REMEMBERED:
-            self.clear()
-        at = np.fromiter(map(self.code.get, keys, repeat(-1)), np.int64, len(keys))
-        if len(new := np.flatnonzero(at < 0)):
-            new_keys = list(map(keys.__getitem__, new.tolist()))
-            self.learn(list(dict.fromkeys(new_keys)))
-            at[new] = np.fromiter(map(self.code.get, new_keys), np.int64, len(new))
+            self.forget()
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _SPACE_AFTER_SPACE)
+        cut = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        offsets, each = np.asarray(cut.offsets), cut.flatten().dictionary_encode()
+        begun = each.take(pa.array(offsets[:-1])).dictionary_decode().to_numpy(zero_copy_only=False).tolist()
+        blank = np.array([not p for p in begun], bool)
+        at = self.codes(each.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(each.indices)]
+        at[offsets[:-1][~blank]] = self.numbers([(p,) for p in begun if p])
+        at = np.delete(at, offsets[:-1][blank])
+        counts = np.diff(offsets) - blank
+        if lists := [self.pieces(t) for t in texts.filter(odd).to_pylist()]:
+            more, n, odd = np.array([len(x) for x in lists]), len(at), np.asarray(odd)
+            start, plain = np.empty(len(texts), np.int64), counts
+            counts = np.empty(len(texts), np.int64)
+            counts[~odd], counts[odd] = plain, more
+            start[~odd], start[odd] = np.cumsum(plain) - plain, n + np.cumsum(more) - more
+            at = np.append(at, self.numbers([p for x in lists for p in x]))[runs(start, counts)]
         lengths = self.length[at]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.start[at] - total[:-1], lengths) + np.arange(total[-1])]
-        return ids, np.diff(total[ends])
+        return self.flat[runs(self.start[at], lengths)], np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -148,8 +205,8 @@ def encoder_of(path: str) -> Encoder:
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     encoder, start, part = encoder_of(path), 0, TaskContext.get().partitionId()
     for batch in batches:
-        for rows in slices(batch):
-            ids, counts = encoder.encode(rows.column(rows.schema.get_field_index("text")).to_pylist())
+        for rows in slices(batch, limit=AT_A_TIME):
+            ids, counts = encoder.encode(rows.column(rows.schema.get_field_index("text")))
             n = len(counts)
             out = np.full(len(ids) + n, end_id, np.int32)
             out[np.arange(len(ids)) + np.repeat(np.arange(n), counts)] = ids

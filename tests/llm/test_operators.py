@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -46,7 +47,7 @@ def test_tokens(spark, docs):
 
 
 def test_tokens_of_odd_texts(spark, monkeypatch):
-    """White space, signs, other scripts and control strings in any order, with little remembered."""
+    """White space, signs, other scripts and control strings in any order, also by an encoder that soon forgets."""
     monkeypatch.setattr(tokens, "REMEMBERED", 500)
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
@@ -56,6 +57,10 @@ def test_tokens_of_odd_texts(spark, monkeypatch):
     texts = ["a\n b c", "one\n  two\n three.\nFour", *("".join(r.choice(signs, r.integers(1, 25))) for _ in range(4000))]
     got = tokens.op1(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
     assert {x["doc_id"]: x["ids_crc32"] for x in got} == {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, x in enumerate(texts)}
+    encoder = tokens.Encoder(path)
+    for a in range(0, len(texts), 100):
+        ids, n = encoder.encode(pa.array(texts[a : a + 100]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts[a : a + 100]]
 
 
 def test_repeats(docs):
