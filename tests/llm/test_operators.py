@@ -212,3 +212,35 @@ def test_pipeline(spark):
     assert ids[0] >= ids[1] >= ids[2] > 0
     out = corpus_pipeline.token_output(spark, docs, SF)
     assert out.count() == ids[3] and out.where(F.element_at("ids", -1) != 0).count() == 0
+
+
+CLASHING = "start n_tokens part part_start ids size source_size target taken node component component_id block n u v a b low band hash word words text_id key kept score lang_pred held_out n_words n_hit item_id position rest host path rule verdict rep unit dim links turn_id i j"
+
+
+def awkward(df):
+    """The same rows with a null in every column, a repeated row and columns whose names the operators use themselves."""
+    rows = df.unionByName(df.limit(1)).unionByName(df.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema)))
+    return rows.select("*", *(F.lit("x").alias(c) for c in CLASHING.split() if c not in df.columns))
+
+
+def plain(rows):
+    return sorted((tuple(r) for r in rows.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_nulls_and_clashing_names(spark, name):
+    """Columns that an operator doesn't need change nothing; rows that are null throughout have a result."""
+    pages, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
+    docs = docs.where("doc_id < 60")
+    table, make = {
+        "op1": (docs, lambda d: tokens.op1(spark, d, public_tokenizers.path("byte_bpe_50k.json"))),
+        "op2": (docs, repeats.op2), "op3": (pages.limit(50), urls.op3), "op4": (docs, mixing.op4),
+        "op5": (docs, lambda d: decontam.op5(d, awkward(spark.read.parquet(f"{SF}/benchmark.parquet")))),
+        "op6": (spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 100"), covertree.op6),
+        "op7": (spark.read.parquet(f"{SF}/conversations.parquet").where("conv_id < 20"), chat.op7),
+        "op8": (docs, langid.op8), "op9": (pages.limit(30), htmltext.op9), "op10": (docs, minhash.op10),
+    }[name]
+    wide = awkward(table)
+    got = plain(make(wide))
+    assert got == plain(make(wide.select(table.columns)))
+    assert len(got) == (wide.select("conv_id").distinct().count() + 1 if name == "op7" else wide.count())
