@@ -46,7 +46,11 @@ def strict(region: Column, address: Column) -> tuple[Column, Column]:
 
 def flexible(region: Column, address: Column) -> Column:
     """For counting master rows: by the region's prefix unless it is just 대전, by the address's, then by a bare district."""
-    r, a = address_key(region), address_key(address)
+    return flexible_of_keys(address_key(region), address_key(address))
+
+
+def flexible_of_keys(r: Column, a: Column) -> Column:
+    """The same from address keys; each is used many times, so let them be columns that are computed already."""
 
     def prefix(c: Column) -> Column:
         out = F.when(c.startswith("대전"), "대전").when(c.startswith("세종"), "세종").when(c.startswith("청주") | c.startswith("충북청주"), "청주")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.region import REGIONS, flexible
+from ..functions.region import REGIONS, flexible_of_keys
+from ..functions.text import address_key, settled
 
 
 class GateError(ValueError):
@@ -15,7 +16,8 @@ class GateError(ValueError):
 def region_counts(feed: DataFrame, pairs: DataFrame) -> DataFrame:
     """Feed, existing and matched rows of each target region."""
     f = feed.groupBy("region").agg(F.count("*").alias("feed_rows"))
-    old = pairs.where("in_master").withColumn("region", flexible(F.col("old_region"), F.col("old_address"))).where("region is not null")
+    keys = settled(pairs.where("in_master").select("kind", address_key(F.col("old_region")).alias("r"), address_key(F.col("old_address")).alias("a")))
+    old = keys.select("kind", flexible_of_keys(F.col("r"), F.col("a")).alias("region")).where("region is not null")
     m = old.groupBy("region").agg(F.count("*").alias("existing_rows"), F.count_if(F.col("kind") == "matched").alias("matched_rows"))
     d = f.join(m, "region", "full_outer")
     return d.select("region", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("feed_rows", "existing_rows", "matched_rows")))

@@ -97,7 +97,7 @@ def feed_region_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """The contradictions of a feed in which every seventh row has its address moved to Sejong."""
     moved = feed_raw(spark, d).withColumn("address", F.when(F.expr("row_num % 7 = 0"), F.lit("세종특별자치시 한누리대로")).otherwise(F.col("address")))
     _, state = region.strict(F.col("region"), F.col("address"))
-    return moved.select("row_num", state.alias("state")).where("state not in ('ok', 'dropped')")
+    return text.settled(moved.select("row_num", state.alias("state"))).where("state not in ('ok', 'dropped')")
 
 
 @query(f"WITH {MASTER_CTE} SELECT row_num, CASE WHEN region <> '대전' THEN region WHEN address LIKE '대전%' THEN '대전' WHEN address LIKE '세종%' THEN '세종' WHEN address LIKE '충북%' THEN '청주' ELSE substr(address, 4, 2) END AS target FROM old")
