@@ -2,7 +2,7 @@
 
 A document's set is its distinct five-word shingles. One hash of each shingle gives a bin (the top
 bits) and a value; a bin keeps its smallest value, and an empty bin borrows from bins that a hash of
-(bin, attempt) names until one is filled. BANDS bands of ROWS bins are buckets. Copies (equal sets) are
+(bin, attempt) names until one is filled. Bands of some bins are buckets. Copies (equal sets) are
 joined first by a digest of the set, and one of them stands for all.
 
 Pair counts stay bounded: a bucket proposes a star (each member with its smallest), each pair is
@@ -27,16 +27,27 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, Rolling, connected_components, gram_hashes, materialize, mix, signed, slices, small_batches, text_buffer, words
 
-K, PERCENT = 5, 85
-BINS, ROWS = 256, 8
-BANDS = BINS // ROWS
-#: Pairs whose signatures agree in fewer of the bins are not compared: four standard deviations below PERCENT,
-#: which loses a link at the very limit as seldom (1 in 30,000) as that its bands all differ.
-LIKELY = int((PERCENT / 100 - 4 * (PERCENT / 100 * (1 - PERCENT / 100) / BINS) ** 0.5) * BINS)
+#: Words of a shingle; the least similarity of a link for the query and for the stage of a corpus.
+K, PERCENT, STAGE_PERCENT = 5, 85, 80
+BINS = 256
+#: How often a link at the very limit may differ in all its bands.
+MISSED = 4e-5
 #: Members of a bucket in one tile.
 TILE = 512
 
 
+def band_rows(percent: int) -> int:
+    """The most bins in a band with which a link of exactly `percent` is missed as seldom as MISSED."""
+    return max(r for r in range(1, BINS + 1) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED)
+
+
+def likely(percent: int) -> int:
+    """Pairs whose signatures agree in fewer of the bins are not compared: four standard deviations below
+    `percent`, which loses a link at the very limit as seldom (1 in 30,000) as that its bands all differ."""
+    p = percent / 100
+    return int((p - 4 * (p * (1 - p) / BINS) ** 0.5) * BINS)
+
+
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of each text in ascending order, first of each text and the total)."""
     buf, offsets = text_buffer(column)
@@ -80,18 +91,19 @@ def signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(out).reshape(sets, BINS)
 
 
-def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, k1, k2, bands, signature) of each row: k1 and k2 tell sets apart."""
+def signed_rows(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_shingles, k1, k2, bands, signature) of each row: k1 and k2 tell sets apart; a band has `each` bins."""
+    count = BINS // each
     for batch in batches:
         for rows in slices(batch):
             values, first = shingles(rows.column(rows.schema.get_field_index("text")))
             n = np.diff(first)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(s)), dtype=np.uint64)]) for s in (0x51ED2701, 0x2545F491)]
             codes = (signatures(values, first) >> np.uint64(40)).astype(np.uint8)
-            bands = gram_rows(codes.reshape(-1, BANDS, ROWS).astype(np.uint64))
+            bands = gram_rows(codes[:, : count * each].reshape(-1, count, each).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([
                 rows.column(rows.schema.get_field_index("doc_id")), pa.array(n.astype(np.int64)), *(pa.array(signed(x[first[1:]] - x[first[:-1]])) for x in sums),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(signed(bands.reshape(-1)))),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * count), pa.array(signed(bands.reshape(-1)))),
                 pa.array([r.tobytes() for r in codes], pa.binary()),
             ], ["doc_id", "n_shingles", "k1", "k2", "bands", "signature"])
 
@@ -104,7 +116,7 @@ def gram_rows(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose full sets are near; rows come in order of a, whose set is kept for the next row."""
     last, known = None, np.empty(0, np.uint64)
     for batch in batches:
@@ -116,19 +128,19 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if x != last:
                     last, known = x, shingles(left.slice(i, 1))[0]
                 own = values[first[i] : first[i + 1]]
-                if 100 * min(len(own), len(known)) < PERCENT * max(len(own), len(known)):
+                if 100 * min(len(own), len(known)) < percent * max(len(own), len(known)):
                     continue
                 both = len(own) + len(known) - len(np.union1d(own, known)) if len(own) else 0
-                if both and 100 * both >= PERCENT * (len(own) + len(known) - both):
+                if both and 100 * both >= percent * (len(own) + len(known) - both):
                     ok.append(i)
             yield rows.select(["a", "b"]).take(pa.array(ok, pa.int64()))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of `pairs` that are links. The many pairs of one a are a skewed join that Spark splits."""
     b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return materialize(both.sortWithinPartitions("a").mapInArrow(confirm, "a long, b long"), "links")
+    return materialize(both.sortWithinPartitions("a").mapInArrow(lambda x: confirm(x, percent), "a long, b long"), "links")
 
 
 def tiles(members: DataFrame) -> DataFrame:
@@ -140,8 +152,10 @@ def tiles(members: DataFrame) -> DataFrame:
     return m.withColumn("other", own).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).select("band", "k", "i", "j", "doc", "component", "signature", "n_shingles", "tile")
 
 
-def propose(best_only: bool):
+def propose(best_only: bool, percent: int):
     """Likely pairs of different components. A pair is proposed in the first band alone that its documents share."""
+    each, enough = band_rows(percent), likely(percent)
+    count = BINS // each
 
     def run(t: pa.Table) -> pa.Table:
         i, j, k = (t[c][0].as_py() for c in ("i", "j", "k"))
@@ -155,9 +169,9 @@ def propose(best_only: bool):
             equal = s[rows][:, None, :] == s[right][None, :, :]
             alike = equal.sum(2)
             one, two = size[rows][:, None], size[right][None, :]
-            ok = (alike >= LIKELY) & (comp[rows][:, None] != comp[right][None, :]) & (100 * np.minimum(one, two) >= PERCENT * np.maximum(one, two))
+            ok = (alike >= enough) & (comp[rows][:, None] != comp[right][None, :]) & (100 * np.minimum(one, two) >= percent * np.maximum(one, two))
             p, q = np.nonzero(ok)
-            first = equal[p, q].reshape(-1, BANDS, ROWS).all(2).argmax(1) == k
+            first = equal[p, q][:, : count * each].reshape(-1, count, each).all(2).argmax(1) == k
             p, q = p[first], q[first]
             if best_only and len(p):
                 score = np.zeros(ok.shape, np.int64)
@@ -179,11 +193,12 @@ def propose(best_only: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text), linked by a similarity of `percent`."""
     small_batches(docs.sparkSession)
+    each = band_rows(percent)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(slim.mapInArrow(signed_rows, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary"), "signatures")
+    rows = materialize(slim.mapInArrow(lambda b: signed_rows(b, each), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary"), "signatures")
     key = ["n_shingles", "k1", "k2"]
     # copies: the smallest doc_id of each different set stands for it
     firsts = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
@@ -197,7 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     # texts of documents with a candidate, once for all rounds; equal ids with several texts: those of the set that stands
     texts = materialize(slim.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "candidates")
-    links = confirmed(star, texts)
+    links = confirmed(star, texts, percent)
     slim_signatures = one.join(wanted, "doc_id").select(F.col("doc_id").alias("doc"), "signature", "n_shingles")
     slim_signatures = materialize(slim_signatures, "candidate-signatures")
     tried = star
@@ -206,22 +221,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         where = members.select("band", "k", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         several = where.groupBy("band").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("band")
         open_ = where.join(several, "band").join(slim_signatures, "doc")
-        pairs = tiles(open_).groupBy("band", "i", "j").applyInArrow(propose(best_only), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = tiles(open_).groupBy("band", "i", "j").applyInArrow(propose(best_only, percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "proposals")
         if pairs.isEmpty():
             break
-        links, tried = links.unionByName(confirmed(pairs, texts)), tried.unionByName(pairs)
+        links, tried = links.unionByName(confirmed(pairs, texts, percent)), tried.unionByName(pairs)
     found = connected_components(links)
     classes = firsts.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*(F.col(k).alias(f"{k}_") for k in key), F.coalesce("component", "rep").alias("component"))
     got = rows.select("doc_id", *key).join(classes, F.expr(" and ".join(f"{k} = {k}_" for k in key)), "left")
     return got.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def op10(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+def op10(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    return near_duplicates(docs, percent).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """docs without all but the first document of each group of near duplicates."""
-    gone = op10(docs).where("not kept").select("doc_id").distinct()
+    gone = op10(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")

@@ -244,3 +244,36 @@ def test_nulls_and_clashing_names(spark, name):
     got = plain(make(wide))
     assert got == plain(make(wide.select(table.columns)))
     assert len(got) == (wide.select("conv_id").distinct().count() + 1 if name == "op7" else wide.count())
+
+
+def shingle_set(x):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def near_groups(texts, percent):
+    """The group of each text: the place of its first member."""
+    sets = [shingle_set(x) for x in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_near_dedup_stage(spark, docs):
+    """The stage of the corpus links from 0.8 on, the query from 0.85 on."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(8)
+    texts = [x for _, x in sorted(rows_of(docs.dropDuplicates(["doc_id"])))]
+    for changes in range(4, 14):
+        w = [f"w{v}" for v in r.integers(0, 10**9, 250)]
+        texts += [" ".join(w), " ".join("NEW" + x if i % 19 == 9 and i < 19 * changes else x for i, x in enumerate(w))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    low, high = near_groups(texts, 80), near_groups(texts, 85)
+    assert len(set(low)) < len(set(high)) < len(texts)
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, df, SF).collect()) == sorted(set(low))
+    assert {x["doc_id"]: x["component_id"] for x in minhash.op10(df).collect()} == dict(enumerate(high))
