@@ -11,9 +11,12 @@ document proposes its likeliest partner of another component by signature, and a
 different components remain that signatures don't rule out. Buckets are compared in tiles, so a bucket
 of any size is many small tasks. A proposal only adds: every link is confirmed.
 
+Sets are named by a digest, never by a doc_id: an id may repeat, be null or have several texts.
+
 Cases: null or empty texts and texts without words have an empty set and no links; fewer than five
-words are one shingle; repeated rows of a doc_id are one document's copies and each returned; an empty
-table gives no rows; further columns pass through in `keep_one`.
+words are one shingle; repeated rows are copies, each returned by the query, of which `keep_one` keeps
+one; several texts of one doc_id are judged each by itself; a null doc_id comes after all others, so it
+names no group that has another; an empty table gives no rows; further columns pass through `keep_one`.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ BINS = 256
 MISSED = 4e-5
 #: Members of a bucket in one tile.
 TILE = 512
+#: Tasks over which the sets of one group are dealt.
+DEALT = 16
 
 
 def band_rows(percent: int) -> int:
@@ -92,7 +97,7 @@ def signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signed_rows(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, k1, k2, bands, signature) of each row: k1 and k2 tell sets apart; a band has `each` bins."""
+    """(doc_id, digest, n_shingles, k1, k2, bands, signature) of each row: k1 and k2 tell sets apart; a band has `each` bins."""
     count = BINS // each
     for batch in batches:
         for rows in slices(batch):
@@ -102,10 +107,10 @@ def signed_rows(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.Rec
             codes = (signatures(values, first) >> np.uint64(40)).astype(np.uint8)
             bands = gram_rows(codes[:, : count * each].reshape(-1, count, each).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([
-                rows.column(rows.schema.get_field_index("doc_id")), pa.array(n.astype(np.int64)), *(pa.array(signed(x[first[1:]] - x[first[:-1]])) for x in sums),
+                *(rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "digest")), pa.array(n.astype(np.int64)), *(pa.array(signed(x[first[1:]] - x[first[:-1]])) for x in sums),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * count), pa.array(signed(bands.reshape(-1)))),
                 pa.array([r.tobytes() for r in codes], pa.binary()),
-            ], ["doc_id", "n_shingles", "k1", "k2", "bands", "signature"])
+            ], ["doc_id", "digest", "n_shingles", "k1", "k2", "bands", "signature"])
 
 
 def gram_rows(x: np.ndarray) -> np.ndarray:
@@ -138,8 +143,8 @@ def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of `pairs` that are links. The many pairs of one a are a skewed join that Spark splits."""
-    b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    both = b.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return materialize(both.sortWithinPartitions("a").mapInArrow(lambda x: confirm(x, percent), "a long, b long"), "links")
 
 
@@ -193,28 +198,29 @@ def propose(best_only: bool, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text), linked by a similarity of `percent`."""
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, first) for each row of docs (doc_id, text), linked by a similarity of `percent`:
+    first is (none, doc_id, digest) of the row that comes first in its group, by doc_id (nulls last) and a digest of
+    the text. It is null for rows without words."""
     small_batches(docs.sparkSession)
     each = band_rows(percent)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(slim.mapInArrow(lambda b: signed_rows(b, each), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary"), "signatures")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    rows = materialize(slim.mapInArrow(lambda b: signed_rows(b, each), "doc_id long, digest long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary"), "signatures")
     key = ["n_shingles", "k1", "k2"]
-    # copies: the smallest doc_id of each different set stands for it
-    firsts = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    firsts = materialize(firsts, "sets")
-    one = rows.join(firsts.select(F.col("rep").alias("doc_id"), *(F.col(k).alias(f"{k}_") for k in key)), "doc_id").where(" and ".join(f"{k} = {k}_" for k in key))
-    one = one.dropDuplicates(["doc_id"])
-    buckets = one.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("k", "band"))
+    # copies: the first row of each different set stands for it, under the name k1
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "bands", "signature")
+    sets = materialize(rows.where("n_shingles > 0").groupBy(*key).agg(F.min(first).alias("row")).select(*key, F.col("k1").alias("doc"), "row.*"), "sets")
+    buckets = sets.select("doc", F.posexplode("bands").alias("k", "band"))
     shared = buckets.groupBy("band").agg(F.min("doc").alias("star"), F.count("*").alias("n")).where("n > 1").select("band", "star")
     members = materialize(buckets.join(shared, "band"), "buckets")
     star = members.where("doc <> star").select(F.col("star").alias("a"), F.col("doc").alias("b")).distinct()
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    # texts of documents with a candidate, once for all rounds; equal ids with several texts: those of the set that stands
-    texts = materialize(slim.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "candidates")
+    wanted = sets.join(members.select("doc").distinct(), "doc")
+    # texts of sets with a candidate, once for all rounds
+    found_by = wanted.select("doc", F.col("doc_id").alias("id"), F.col("digest").alias("of"))
+    texts = slim.join(found_by, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).select("doc", "text")
+    texts = materialize(texts.dropDuplicates(["doc"]), "candidates")
     links = confirmed(star, texts, percent)
-    slim_signatures = one.join(wanted, "doc_id").select(F.col("doc_id").alias("doc"), "signature", "n_shingles")
-    slim_signatures = materialize(slim_signatures, "candidate-signatures")
+    slim_signatures = materialize(wanted.select("doc", "signature", "n_shingles"), "candidate-signatures")
     tried = star
     for best_only in (True, False):
         found = connected_components(links)
@@ -226,17 +232,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if pairs.isEmpty():
             break
         links, tried = links.unionByName(confirmed(pairs, texts, percent)), tried.unionByName(pairs)
-    found = connected_components(links)
-    classes = firsts.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*(F.col(k).alias(f"{k}_") for k in key), F.coalesce("component", "rep").alias("component"))
-    got = rows.select("doc_id", *key).join(classes, F.expr(" and ".join(f"{k} = {k}_" for k in key)), "left")
-    return got.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = connected_components(links).withColumnRenamed("node", "doc")
+    own = F.struct("none", "doc_id", "digest").alias("own")
+    named = sets.select(*key, "doc", own).join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    named = materialize(named.withColumn("deal", F.pmod("doc", F.lit(DEALT))), "groups")
+    firsts = named.join(found.select("component").distinct(), "component").groupBy("component").agg(F.min("own").alias("first"))
+    firsts = firsts.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+    classes = named.join(firsts, ["component", "deal"], "left").select(*(F.col(k).alias(f"{k}_") for k in key), F.coalesce("first", "own").alias("first"))
+    got = rows.select("doc_id", "digest", *key).join(classes, F.expr(" and ".join(f"{k} = {k}_" for k in key)), "left")
+    return got.select("doc_id", "digest", "n_shingles", "first")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text), linked by a similarity of `percent`."""
+    return grouped(docs, percent).select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
-def op10(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    return near_duplicates(docs, percent).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+def op10(docs: DataFrame) -> DataFrame:
+    return near_duplicates(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
-    """docs without all but the first document of each group of near duplicates."""
-    gone = op10(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """docs with one row of each group of near duplicates, the first by doc_id and a digest of the text, and with all
+    rows without words. Of rows repeated with both, that with the smallest other columns stays."""
+    stands = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    marks = grouped(docs, percent).where("first is not null").groupBy("doc_id", "digest").agg(F.bool_or(stands).alias("stands"), F.count("*").alias("n"))
+    marks = materialize(marks.where("not stands or n > 1"), "marks")
+    same = docs["doc_id"].cast("long").eqNullSafe(marks["doc_id"]) & (F.xxhash64(docs["text"]) == marks["digest"])
+    # repeated rows are few; they are reduced in each partition first, so very many of one kind are no single task
+    repeated = docs.join(marks.where("stands"), same, "left_semi")
+    order = F.struct(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    repeated = repeated.groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return docs.join(marks, same, "left_anti").unionByName(repeated)

@@ -277,3 +277,30 @@ def test_near_dedup_stage(spark, docs):
     assert len(set(low)) < len(set(high)) < len(texts)
     assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, df, SF).collect()) == sorted(set(low))
     assert {x["doc_id"]: x["component_id"] for x in minhash.op10(df).collect()} == dict(enumerate(high))
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark, docs):
+    """One row of each group stays, also where ids repeat, are null or have several texts."""
+    r = np.random.default_rng(9)
+    words = lambda n: [f"w{v}" for v in r.integers(0, 10**9, n)]
+    near = lambda w: " ".join("NEW" if i == 5 else x for i, x in enumerate(w))
+    a, b, c, d, e = (words(120) for _ in range(5))
+    rows = [
+        (1, " ".join(a)), (1, " ".join(a)), (1, " ".join(a)), (None, " ".join(a)), (2, near(a)),  # repeated rows, a null copy, a near copy
+        (None, " ".join(b)), (None, " ".join(b)), (None, near(b)), (None, "only one"),  # groups of null ids alone
+        (7, " ".join(c)), (7, " ".join(d)), (8, near(d)), (5, " ".join(c)),  # an id with two texts, one of them a copy of a smaller id
+        (9, " ".join(e)), (None, near(e)), (10, None), (10, None), (None, ""),
+    ]
+    df = spark.createDataFrame([(i, t, k % 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    group = near_groups([t for _, t in rows], 80)
+    kept = minhash.keep_one(df).collect()
+    place = {t: g for (_, t), g in reversed(list(zip(rows, group, strict=True))) if shingle_set(t)}
+    assert sorted(place[x["text"]] for x in kept if x["text"]) == sorted(set(place.values()))
+    assert sum(not x["text"] for x in kept) == 3
+    least = {g: min((i is None, i or 0) for (i, t), h in zip(rows, group, strict=True) if g == h) for g in set(group)}
+    assert all((x["doc_id"] is None, x["doc_id"] or 0) == least[place[x["text"]]] for x in kept if x["text"])
+    assert [x["k"] for x in kept if x["doc_id"] == 1] == [0]
+    want = sorted(((i, len(shingle_set(t)), None if least[g][0] else least[g][1]) for (i, t), g in zip(rows, group, strict=True) if shingle_set(t)), key=repr)
+    got = minhash.op10(df).where("n_shingles > 0").collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=repr) == want
+    assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
