@@ -229,8 +229,8 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
         open_ = where.join(several, "band").join(slim_signatures, "doc")
         pairs = tiles(open_).groupBy("band", "i", "j").applyInArrow(propose(best_only, percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "proposals")
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # of the best alone: the round over all pairs may still have some
+            continue
         links, tried = links.unionByName(confirmed(pairs, texts, percent)), tried.unionByName(pairs)
     found = connected_components(links).withColumnRenamed("node", "doc")
     own = F.struct("none", "doc_id", "digest").alias("own")

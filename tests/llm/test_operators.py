@@ -304,3 +304,18 @@ def test_near_dedup_of_repeated_and_null_ids(spark, docs):
     got = minhash.op10(df).where("n_shingles > 0").collect()
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=repr) == want
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
+
+
+def test_minhash_rounds(spark, monkeypatch):
+    """The round over all likely pairs is run when every best partner was tried before."""
+    of, rounds = minhash.propose, []
+
+    def propose(best_only, percent):
+        rounds.append(best_only)
+        return of(best_only, percent)
+
+    monkeypatch.setattr(minhash, "propose", propose)
+    text = " ".join(f"w{i}" for i in range(100))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "else")], "doc_id long, text string")
+    assert [x["component_id"] for x in minhash.near_duplicates(df).orderBy("doc_id").collect()] == [1, 1, 3]
+    assert rounds == [True, False]
