@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
@@ -23,15 +25,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset
+    and all tasks run in this process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("spark.larkfeed.scratch", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="larkfeed-")
             spark.conf.set("spark.larkfeed.scratch", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _made:
+            _made.remove(path)
+
+
+@contextmanager
+def scratch_of(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables that are made inside are deleted at the end, but those whose paths are put into the list."""
+    before, keep = len(_made), []
+    try:
+        yield keep
+    finally:
+        release(spark, [p for p in _made[before:] if p not in keep])
 
 
 def write(df: DataFrame, path: str, **options: str) -> None:
@@ -50,10 +79,15 @@ def write(df: DataFrame, path: str, **options: str) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared scratch folder: a lost executor costs no recomputation."""
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same with the table's path, for `release`."""
     spark = df.sparkSession
     path = scratch(spark, name)
     write(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def ship(spark: SparkSession) -> None:
@@ -71,10 +105,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """For Python stages: Arrow batches of bounded bytes, so that long texts don't fill a worker."""
+    """For Python stages: Arrow batches of bounded bytes, so that long texts don't fill a worker. Spark reads these
+    settings of the session when a lazy result is run, so they stay; what the user has set otherwise is left alone."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    for key, theirs, ours in (("maxRecordsPerBatch", "10000", "4000"), ("maxBytesPerBatch", str(64 << 20), str(4 << 20))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", theirs).lower() in (theirs, "64mb", "9223372036854775807", "2147483647", "-1"):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", ours)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or that with underscores, which no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 # ---------------------------------------------------------------- text as arrays
@@ -104,6 +148,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Byte ranges longer than this are hashed one by one.
+LONG = 64
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range. Eight bytes at a time are mixed in, each step a bijection of what went before,
+    so no pattern of bytes cancels out as it can in sums of powers; long ranges are hashed by BLAKE2."""
+    n = end - start
+    wide = np.ndarray((len(buf) + 1,), np.dtype("<u8"), np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(n.astype(np.uint64) * _P + np.uint64(seed))
+    left = np.flatnonzero((n > 0) & (n <= LONG))
+    at, size = start[left], n[left]
+    while len(left):
+        h[left] = mix((h[left] ^ (wide[at] & _LOW[np.minimum(size, 8)])) * _Q)
+        go = size > 8
+        left, at, size = left[go], at[go] + 8, size[go] - 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -124,7 +190,8 @@ def inverse(base: np.uint64) -> np.uint64:
 
 
 class Rolling:
-    """Hashes of any byte ranges of one buffer, from prefix sums of b[i] * base ** i modulo 2 ** 64."""
+    """Hashes of the byte grams of one buffer, from prefix sums of b[i] * base ** i modulo 2 ** 64. Different grams may
+    have equal hashes (patterns that cancel out are known), so these only route; `range_hashes` tells texts apart."""
 
     def __init__(self, buf: np.ndarray, base: np.uint64 = _P):
         self.base, self.inv = base, inverse(base)
@@ -132,9 +199,6 @@ class Rolling:
         self.sums[0] = 0
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(base, len(buf))[: len(buf)], out=self.sums[1:])
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * powers(self.inv, len(self.sums))[start])
-
     def grams(self, k: int) -> np.ndarray:
         n = len(self.sums) - k
         return mix((self.sums[k:] - self.sums[:n]) * powers(self.inv, len(self.sums))[:n])
@@ -210,7 +274,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialize(now, name)
+    now, path = stored(now, name)
     seen = None
     while (state := now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != seen:
         seen = state
@@ -221,7 +285,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        old = path
+        now, path = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        release(spark, [old])
     stars = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 

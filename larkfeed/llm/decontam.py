@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Rolling, gram_hashes, materialize, signed, slices, sliding_min, small_batches, text_buffer, words
+from .common import ALNUM, LOWER, gram_hashes, materialize, range_hashes, signed, slices, sliding_min, small_batches, text_buffer, words
 
 W, K = 13, 5
 #: Words of a benchmark that is sent to the workers whole (8 bytes a word and 16 a fingerprint).
@@ -37,7 +37,7 @@ def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf, offsets = text_buffer(column)
     buf = LOWER[buf]
     start, end, first = words(buf, offsets, ALNUM)
-    return Rolling(buf).ranges(start, end), first
+    return range_hashes(buf, start, end), first
 
 
 def kept_grams(h: np.ndarray) -> np.ndarray:

@@ -3,10 +3,11 @@
 A document's set is its distinct five-word shingles. One hash of each shingle gives a bin (the top
 bits) and a value; a bin keeps its smallest value, and an empty bin borrows from bins that a hash of
 (bin, attempt) names until one is filled. Bands of some bins are buckets. Copies (equal sets) are
-joined first by a digest of the set, and one of them stands for all.
+joined first by two independent digests of the set, 128 bits, and one of them stands for all.
 
 Pair counts stay bounded: a bucket proposes a star (each member with its smallest), each pair is
-confirmed on full sets, and components are formed. In buckets that still hold several components, each
+confirmed on full sets of 64-bit shingle hashes (two different shingles of a pair share one with a
+probability of 1 in 10 ** 10 for sets of 40,000), and components are formed. In buckets that still hold several components, each
 document proposes its likeliest partner of another component by signature, and at last what pairs of
 different components remain that signatures don't rule out. Buckets are compared in tiles, so a bucket
 of any size is many small tasks. A proposal only adds: every link is confirmed.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Rolling, connected_components, gram_hashes, materialize, mix, signed, slices, small_batches, text_buffer, words
+from .common import LOWER, NOT_SPACE, connected_components, gram_hashes, materialize, mix, range_hashes, signed, slices, small_batches, text_buffer, words
 
 #: Words of a shingle; the least similarity of a link for the query and for the stage of a corpus.
 K, PERCENT, STAGE_PERCENT = 5, 85, 80
@@ -37,6 +38,8 @@ BINS = 256
 MISSED = 4e-5
 #: Members of a bucket in one tile.
 TILE = 512
+#: Partners for which the text of a star's centre is sent once.
+PARTNERS = 256
 #: Tasks over which the sets of one group are dealt.
 DEALT = 16
 
@@ -53,27 +56,31 @@ def likely(percent: int) -> int:
     return int((p - 4 * (p * (1 - p) / BINS) ** 0.5) * BINS)
 
 
-def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes of each text in ascending order, first of each text and the total)."""
+def shingles(column: pa.Array, named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(distinct shingle hashes of each text in ascending order, first of each text and the total, and if `named` a
+    second hash of each shingle, which shares nothing with the first but the words)."""
     buf, offsets = text_buffer(column)
     buf = LOWER[buf]
     start, end, first = words(buf, offsets, NOT_SPACE)
-    h = Rolling(buf).ranges(start, end)
     n = np.diff(first)
-    grams = gram_hashes(h, K)
     whole = np.maximum(n - K + 1, 0)
     owner = np.repeat(np.arange(len(n)), whole)
     at = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole) + np.repeat(first[:-1], whole)
-    values = grams[at]
-    if len(short := np.flatnonzero((n > 0) & (n < K))):
-        values = np.concatenate([values, [gram_hashes(h[first[i] : first[i + 1]], int(n[i]))[0] ^ mix(n[i : i + 1].astype(np.uint64))[0] for i in short]]).astype(np.uint64)
-        owner = np.concatenate([owner, short])
+    short = np.flatnonzero((n > 0) & (n < K))
+    owner = np.concatenate([owner, short])
+
+    def hashed(seed: int) -> np.ndarray:
+        h = range_hashes(buf, start, end, seed)
+        few = [gram_hashes(h[first[i] : first[i + 1]], int(n[i]))[0] ^ mix(n[i : i + 1].astype(np.uint64))[0] for i in short]
+        return np.concatenate([gram_hashes(h, K)[at], np.array(few, np.uint64)])
+
+    values = hashed(0)
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     values, owner = values[new], owner[new]
-    return values, np.searchsorted(owner, np.arange(len(n) + 1))
+    return values, np.searchsorted(owner, np.arange(len(n) + 1)), hashed(1)[order[new]] if named else None
 
 
 def signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -101,9 +108,9 @@ def signed_rows(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.Rec
     count = BINS // each
     for batch in batches:
         for rows in slices(batch):
-            values, first = shingles(rows.column(rows.schema.get_field_index("text")))
+            values, first, second = shingles(rows.column(rows.schema.get_field_index("text")), named=True)
             n = np.diff(first)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(s)), dtype=np.uint64)]) for s in (0x51ED2701, 0x2545F491)]
+            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(v ^ np.uint64(s)), dtype=np.uint64)]) for v, s in ((values, 0x51ED2701), (second, 0x2545F491))]
             codes = (signatures(values, first) >> np.uint64(40)).astype(np.uint8)
             bands = gram_rows(codes[:, : count * each].reshape(-1, count, each).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([
@@ -122,30 +129,34 @@ def gram_rows(x: np.ndarray) -> np.ndarray:
 
 
 def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose full sets are near; rows come in order of a, whose set is kept for the next row."""
-    last, known = None, np.empty(0, np.uint64)
+    """The pairs (a, b) whose full sets are near. A row without b has the text of a, and those of its partners follow."""
+    known = np.empty(0, np.uint64)
     for batch in batches:
-        for rows in slices(batch, "text_b"):
-            a = rows.column(rows.schema.get_field_index("a")).to_pylist()
-            values, first = shingles(rows.column(rows.schema.get_field_index("text_b")))
-            left, ok = rows.column(rows.schema.get_field_index("text_a")), []
-            for i, x in enumerate(a):
-                if x != last:
-                    last, known = x, shingles(left.slice(i, 1))[0]
+        for rows in slices(batch):
+            values, first, _ = shingles(rows.column(rows.schema.get_field_index("text")))
+            ok = []
+            for i, centre in enumerate(rows.column(rows.schema.get_field_index("b")).is_null().to_pylist()):
                 own = values[first[i] : first[i + 1]]
+                if centre:
+                    known = own
+                    continue
                 if 100 * min(len(own), len(known)) < percent * max(len(own), len(known)):
                     continue
-                both = len(own) + len(known) - len(np.union1d(own, known)) if len(own) else 0
+                both = len(np.intersect1d(own, known, assume_unique=True))
                 if both and 100 * both >= percent * (len(own) + len(known) - both):
                     ok.append(i)
             yield rows.select(["a", "b"]).take(pa.array(ok, pa.int64()))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of `pairs` that are links. The many pairs of one a are a skewed join that Spark splits."""
-    b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return materialize(both.sortWithinPartitions("a").mapInArrow(lambda x: confirm(x, percent), "a long, b long"), "links")
+    """Pairs (a, b) of `pairs` that are links. The partners of one a are dealt into parts of about PARTNERS, so a star
+    of any size is many small tasks; its centre's text goes to each part once, and not along with every partner."""
+    parts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "parts")
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    partners = dealt.join(texts.select(F.col("doc").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    centres = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts.select(F.col("doc").alias("a"), "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    both = centres.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return materialize(both.mapInArrow(lambda x: confirm(x, percent), "a long, b long"), "links")
 
 
 def tiles(members: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _Q, Rolling, materialize, signed, slices, sliding_min, small_batches, text_buffer
+from .common import Rolling, materialize, range_hashes, signed, slices, sliding_min, small_batches, text_buffer
 
 LENGTH, K = 50, 20
 SHALLOW = 3
@@ -53,7 +53,7 @@ def pieces_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     strings = np.diff(np.append(start, n))
     keep = good[start]
     start, strings = start[keep], strings[keep]
-    return row[start], start - offsets[row[start]], strings, route[start], Rolling(buf, _Q).ranges(start, start + strings + LENGTH - 1)
+    return row[start], start - offsets[row[start]], strings, route[start], range_hashes(buf, start, start + strings + LENGTH - 1)
 
 
 def emit_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -319,3 +319,53 @@ def test_minhash_rounds(spark, monkeypatch):
     df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "else")], "doc_id long, text string")
     assert [x["component_id"] for x in minhash.near_duplicates(df).orderBy("doc_id").collect()] == [1, 1, 3]
     assert rounds == [True, False]
+
+
+def test_minhash_of_texts_that_fool_sums_of_powers(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2 ** 64, whatever the base."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, " ".join([word[:32], "x y z w"])), (4, " ".join([other[:32], "x y z w"]))], "doc_id long, text string")
+    assert [x["component_id"] for x in minhash.op10(df).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+
+
+def test_minhash_of_a_large_star(spark, monkeypatch):
+    """Many near copies of one text, more than a part of a star, and one document that links to another's near copy only."""
+    monkeypatch.setattr(minhash, "PARTNERS", 20)
+    r = np.random.default_rng(4)
+    base = [f"w{v}" for v in r.integers(0, 10**9, 150)]
+    texts = [" ".join(base)] + [" ".join("N%d" % i if k == j else x for k, x in enumerate(base)) for i, j in enumerate(r.integers(0, 150, 120))]
+    far = texts[1].split()
+    texts.append(" ".join("FAR" if k in (40, 80) else x for k, x in enumerate(far)))
+    want = near_groups(texts, 85)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x["component_id"] for x in minhash.op10(df).orderBy("doc_id").collect()] == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_minhash_recall(percent):
+    """Of pairs at and just above the limit nearly all share a band and pass the bar of signatures."""
+    r, each, size = np.random.default_rng(1), minhash.band_rows(percent), 400
+    missed = 0
+    for k in range(2000):
+        both = -(-percent * 2 * size // (100 + percent)) + k % 8  # |A & B| of two sets of `size`, from the limit on
+        x = r.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64) * np.uint64(2)
+        a, b = np.sort(x[:size]), np.sort(x[size - both :])
+        s = (minhash.signatures(np.concatenate([a, b]), np.array([0, size, 2 * size])) >> np.uint64(40)).astype(np.uint8)
+        same = s[0] == s[1]
+        bands = same[: minhash.BINS // each * each].reshape(-1, each).all(1).any()
+        missed += not bands or same.sum() < minhash.likely(percent)
+    assert missed <= 2
+
+
+def test_range_hashes():
+    buf = np.frombuffer(b"abcdefgh" * 40, np.uint8)
+    start = np.repeat(np.arange(16), 100)
+    end = start + np.tile(np.arange(100), 16)
+    h = [int(x) for x in minhash.range_hashes(buf, start, end)]
+    same = {}
+    for i, j, v in zip(start, end, h, strict=True):
+        same.setdefault(bytes(buf[i:j]), set()).add(v)
+    assert all(len(x) == 1 for x in same.values()) and len(set(h)) == len(same)
