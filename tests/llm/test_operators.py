@@ -148,6 +148,37 @@ def test_embeddings(spark, monkeypatch):
     got = covertree.op6(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
     assert covertree.op6(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    monkeypatch.setattr(covertree, "ROUNDS", 1)  # blocks dealt by a hash
+    got = covertree.op6(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
+def test_embeddings_in_clusters(spark, monkeypatch):
+    """Cells far apart are never met, and a dense group is settled by its cells."""
+    monkeypatch.setattr(covertree, "BLOCK", 64)
+    monkeypatch.setattr(covertree, "CENTRES", 4)
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(30, 16))
+    x = np.concatenate([np.repeat(centres, 40, 0) + 0.04 * r.normal(size=(1200, 16)), np.repeat(centres[:1], 600, 0) + 0.002 * r.normal(size=(600, 16))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    label = np.arange(len(x))
+    for _ in range(20):
+        label = np.array([label[n].min() for n in near])
+    whole, kept = covertree.settled_links, []
+    monkeypatch.setattr(covertree, "settled_links", lambda blocks, pairs: kept.append(pairs.count()) or whole(blocks, pairs))
+    pairs, met_pairs = covertree.pairs_of, []
+
+    def counted(*a):
+        out = pairs(*a)
+        met_pairs.append((out[0].count(), a[0].select("cell").distinct().count()))
+        return out
+
+    monkeypatch.setattr(covertree, "pairs_of", counted)
+    got = covertree.op6(spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {g["vec_id"]: (g["n_links"], g["component_id"]) for g in got} == {i: (int(near[i].sum()) - 1, int(label[i])) for i in range(len(x))}
+    (met, blocks), = met_pairs
+    assert kept[0] > 0 and blocks > 20 and met < blocks * 6
 
 
 def test_chat(spark):
