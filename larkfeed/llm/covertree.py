@@ -39,7 +39,8 @@ BLOCK, BLOCK_BYTES = 8192, 16 << 20
 ROUNDS = 8
 #: Points of a large cell that one task assigns to its centres.
 DEALT = 100_000
-LEVELS = (1.0, 0.5, 0.25, 0.125)
+#: Covering radii of a block's levels; above the first, cells do what coarser levels would.
+LEVELS = (0.5, 0.25, 0.125, 0.0625)
 CHUNK = 100_000
 _SLACK = 1e-7
 
@@ -225,17 +226,26 @@ def traverse(left: Tree, right: Tree, links: Links, shift: int, cosine: float =
             else:
                 descend(*meet(i, j, level + 1), level + 1)
 
-    # the top of both trees as products of matrices in single precision, with room for its rounding; nodes in order of
-    # their radii, so that one bound serves a whole tile
+    # the top of both trees as products of matrices in single precision, with room for its rounding; nodes come in order
+    # of their radii, so that one bound rules out most of a tile
     (oa, ra, xa), (ob, rb, xb) = left.top(), right.top()
     room = (left.x.shape[1] + 8) * 2e-7
-    for k in range(0, len(oa), 1024):
-        for m in range(0, len(ob), 4096):
-            reach = ra[k : k + 1024][-1] + rb[m : m + 4096][-1]
-            bound = 1 - min(2.0, limit + reach + _SLACK) ** 2 / 2 - room
-            a, b = np.divmod(np.flatnonzero((xa[k : k + 1024] @ xb[m : m + 4096].T >= np.float32(bound)).ravel()), len(ob[m : m + 4096]))
+    for k, k_end in tiles(ra, 1024):
+        for m, m_end in tiles(rb, 4096):
+            dots = xa[k:k_end] @ xb[m:m_end].T
+            bound = lambda reach: 1 - np.minimum(2.0, limit + reach + _SLACK) ** 2 / 2 - room
+            near = np.flatnonzero((dots >= np.float32(bound(ra[k_end - 1] + rb[m_end - 1]))).ravel())
+            a, b = np.divmod(near, m_end - m)
+            ok = dots.ravel()[near] >= bound(ra[k + a] + rb[m + b])
+            a, b = oa[k + a[ok]], ob[m + b[ok]]
             for c in range(0, len(a), CHUNK):
-                descend(*meet(oa[k + a[c : c + CHUNK]], ob[m + b[c : c + CHUNK]], 0), 0)
+                descend(*meet(a[c : c + CHUNK], b[c : c + CHUNK], 0), 0)
+
+
+def tiles(reach: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Ranges of ascending radii, of `size` at most and each of much the same radius."""
+    cuts = sorted({0, len(reach), *range(0, len(reach), size), *np.searchsorted(reach, (0.0, 0.05, 0.15, 0.3, 0.6), "right").tolist()})
+    return list(zip(cuts, cuts[1:], strict=False))
 
 
 def push_down(tree: Tree, links: Links, shift: int) -> None:
