@@ -113,12 +113,9 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", ours)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """`name`, or that with underscores, which no column of df has in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: an operator that adds columns of its own then clashes with none."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
 # ---------------------------------------------------------------- text as arrays

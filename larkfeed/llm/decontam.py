@@ -5,12 +5,12 @@ W words share a kept gram. Kept grams of the documents that occur in the benchma
 is extended along its diagonal and marks the words of every whole shared window. An item of fewer
 than W words is one window: its whole sequence is looked up directly, one gram length at a time.
 
-A benchmark within BOUND words is sent to every worker as one index. A larger one is not: its
-fingerprints are joined with those of the documents, and each document gets the items it met, and
-no others, to be extended against. Both ways give the same rows.
+A benchmark within BOUND words is sent to every worker as one index. A larger one is not: kept grams carry the
+hashes of the windows that they stand for, are joined with those of the benchmark, and a hit is extended by joining
+its windows; no text and no list of texts is moved, a frequent line is a skewed join that Spark splits. Both ways give the same rows.
 
 Cases: null or empty text has no words and is clean; an item without words never occurs; equal items
-all count; rows that share a doc_id are judged each; an empty benchmark leaves all clean; an empty
+all count, but an item_id that repeats counts once and a null one is the empty string; rows that share a doc_id are judged each; an empty benchmark leaves all clean; an empty
 document table gives no rows; further columns are ignored.
 """
 
@@ -21,14 +21,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, gram_hashes, materialize, range_hashes, signed, slices, sliding_min, small_batches, text_buffer, words
+from .common import ALNUM, LOWER, gram_hashes, materialize, numbered_columns, range_hashes, signed, slices, sliding_min, small_batches, text_buffer, words
 
 W, K = 13, 5
 #: Words of a benchmark that is sent to the workers whole (8 bytes a word and 16 a fingerprint).
 BOUND = 2_000_000
+#: A word before letters are made small.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -115,17 +118,17 @@ class Index:
         return np.cumsum(hit[:-1]) > 0, np.unique(np.concatenate(items))
 
 
-def judge(index: Callable[[pa.RecordBatch, int], Index | None], kept: list[str]) -> Callable:
+def judge(index: Callable[[], Index], kept: list[str], text: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch):
-                h, first = hashed(rows.column(rows.schema.get_field_index("text")))
+            for rows in slices(batch, text):
+                h, first = hashed(rows.column(rows.schema.get_field_index(text)))
                 own: dict[str, list] = {x.split()[0]: [] for x in OUT.split(", ")}
-                for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
+                for a, b in zip(first, first[1:], strict=False):
                     n, hits, items = int(b - a), 0, []
-                    if n and (against := index(rows, i)) is not None:
-                        hit, found = against.match(h[a:b])
-                        hits, items = int(hit.sum()), sorted(against.ids[j] for j in found)
+                    if n:
+                        hit, found = index().match(h[a:b])
+                        hits, items = int(hit.sum()), sorted({index().ids[j] for j in found})
                     for k, v in zip(own, (n, hits, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hits > 0 and 20 * hits >= n), strict=True):
                         own[k].append(v)
                 columns = [*(rows.column(rows.schema.get_field_index(k)) for k in kept), *map(pa.array, own.values())]
@@ -134,60 +137,77 @@ def judge(index: Callable[[pa.RecordBatch, int], Index | None], kept: list[str])
     return run
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch], kept: str) -> Iterator[pa.RecordBatch]:
-    """(kept column, gram, length) of each text, distinct; short sequences as a whole for each length below W."""
-    for batch in batches:
-        for rows in slices(batch):
-            h, first = hashed(rows.column(rows.schema.get_field_index("text")))
-            at, grams = [], []
-            for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
-                g = np.unique(gram_hashes(h[a:b], K)[kept_grams(h[a:b])]) if b - a >= W else gram_hashes(h[a:b], int(b - a))[:1] if b > a else np.empty(0, np.uint64)
-                at.append(np.full(len(g), i))
-                grams.append(g)
-            where = np.concatenate(at).astype(np.int64)
-            n = np.diff(first)[where]
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(kept)).take(pa.array(where)), pa.array(signed(np.concatenate(grams))), pa.array(np.where(n >= W, 0, n), pa.int64())], [kept, "gram", "n"])
+FINGERPRINT = "gram long, n int, place int, windows array<long>"
 
 
-def short_grams(batches: Iterator[pa.RecordBatch], kept: str, lengths: list[int]) -> Iterator[pa.RecordBatch]:
+def fingerprints(batches: Iterator[pa.RecordBatch], kept: str, lengths: list[int] | None) -> Iterator[pa.RecordBatch]:
+    """(kept column, gram, n, place, windows): for each run of windows with one smallest gram, where the run begins and a
+    hash of each window. Sequences of fewer words than W: of `lengths` None the whole text alone, else each run of so many words."""
     for batch in batches:
         for rows in slices(batch):
             h, first = hashed(rows.column(rows.schema.get_field_index("text")))
-            for n in lengths:
-                for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
-                    g = np.unique(gram_hashes(h[a:b], n))
-                    yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(kept)).take(pa.array(np.full(len(g), i))), pa.array(signed(g)), pa.array(np.full(len(g), n), pa.int64())], [kept, "gram", "n"])
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), bound: int = BOUND) -> DataFrame:
+            out: list[list] = [[], [], [], [], []]  # row, gram, n, place, number of windows
+            windows: list[np.ndarray] = []
+
+            def add(i: int, gram: np.ndarray, n: int, place: np.ndarray, own: np.ndarray) -> None:
+                for x, v in zip(out, (np.full(len(gram), i), gram, np.full(len(gram), n), place, np.diff(np.append(place, len(own)))), strict=True):  # noqa: B023
+                    x.append(v)
+                windows.append(own)  # noqa: B023
+
+            for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
+                if b - a >= W:
+                    low = sliding_min(gram_hashes(h[a:b], K), W - K + 1)
+                    begin = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+                    add(i, low[begin], W, begin, gram_hashes(h[a:b], W))
+                for n in lengths if lengths is not None else [b - a] if 0 < b - a < W else []:
+                    g = gram_hashes(h[a:b], n)
+                    add(i, g, n, np.arange(len(g)), g)
+            row, gram, n, place, count = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+            flat = np.concatenate(windows) if windows else np.empty(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(signed(flat)))
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(kept)).take(pa.array(row.astype(np.int64))), pa.array(signed(gram)), pa.array(n, pa.int32()), pa.array(place, pa.int32()), lists], [kept, "gram", "n", "place", "windows"])
+
+
+def joined(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """(key, n_hit, n_items, items_sha256) by the digest of each text that has a hit, by joins of fingerprints."""
+    key = F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("key")
+    each = lambda d: d.select(*(c for c in d.columns if c not in ("place", "windows")), "place", F.posexplode("windows").alias("step", "window"))
+    own = each(items.mapInArrow(lambda b: fingerprints(b, "item_id", None), f"item_id string, {FINGERPRINT}")).select("item_id", "gram", "n", "window").distinct()
+    own = materialize(own, "bench-windows")
+    lengths = [r[0] for r in own.where(F.col("n") < W).select("n").distinct().collect()]  # below W
+    texts = docs.select(key, F.col(text).alias("text")).where("text is not null")
+    met = texts.mapInArrow(lambda b: fingerprints(b, "key", lengths), f"key string, {FINGERPRINT}")
+    met = each(met.join(own.select("gram", "n").distinct(), ["gram", "n"], "left_semi")).withColumn("place", F.col("place") + F.col("step")).drop("step")
+    # equal texts are one from here on
+    hits = materialize(met.join(own.select("gram", "n", "window").distinct(), ["gram", "n", "window"], "left_semi").distinct(), "hit-windows")
+    before = Window.partitionBy("key").orderBy("place", "n").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.select("key", "place", "n").distinct().withColumn("end", F.col("place") + F.col("n"))
+    spans = spans.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - F.greatest("place", F.coalesce(F.max("end").over(before), F.lit(0)))))
+    words_hit = spans.groupBy("key").agg(F.sum("fresh").alias("n_hit"))
+    found = hits.select("key", "gram", "n", "window").distinct().join(own, ["gram", "n", "window"]).select("key", "item_id").distinct()
+    listed = found.groupBy("key").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    listed = listed.select("key", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
+    return words_hit.join(listed, "key")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), bound: int = BOUND, text: str = "text") -> DataFrame:
     """The kept columns of each document with its verdict."""
     spark = docs.sparkSession
     small_batches(spark)
     keep = tuple(dict.fromkeys(keep))
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), OUT])
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = items.agg(F.sum(F.length("text")), F.count("*")).first()
     if (size[0] or 0) // 2 + size[1] <= bound:
         rows = items.orderBy("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(Index([r[0] for r in rows], pa.array([r[1] for r in rows], pa.string())))
-        return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(judge(lambda rows, i: sent.value, list(keep)), schema)
-    numbered = docs.select(*dict.fromkeys((*keep, "text"))).withColumn("key__", F.xxhash64("text"))
-    wide = f"`item_id` string, gram long, n long"
-    own = materialize(items.mapInArrow(lambda b: fingerprints(b, "item_id"), wide), "bench-grams")
-    lengths = [r[0] for r in own.where("n > 0").select("n").distinct().collect()]  # below W
-    texts = numbered.select("key__", "text")
-    met = texts.mapInArrow(lambda b: fingerprints(b, "key__"), "key__ long, gram long, n long").where("n = 0")
-    if lengths:
-        met = met.unionByName(texts.mapInArrow(lambda b: short_grams(b, "key__", lengths), "key__ long, gram long, n long"))
-    pairs = met.join(own, ["gram", "n"]).select("key__", "item_id").distinct()
-    lists = pairs.join(items, "item_id").groupBy("key__").agg(F.sort_array(F.collect_list(F.struct("item_id", F.col("text").alias("item_text")))).alias("items__"))
-    joined = numbered.join(lists, "key__", "left")
-
-    def own_index(rows: pa.RecordBatch, i: int) -> Index | None:
-        got = rows.column(rows.schema.get_field_index("items__"))[i].as_py()
-        return Index([x["item_id"] for x in got], pa.array([x["item_text"] for x in got], pa.string())) if got else None
-
-    return joined.mapInArrow(judge(own_index, list(keep)), schema)
+        schema = T.StructType([docs.schema[k] for k in keep])
+        for name, kind in (x.split() for x in OUT.split(", ")):
+            schema = schema.add(name, kind)
+        return docs.select(*dict.fromkeys((*keep, text))).mapInArrow(judge(lambda: sent.value, list(keep), text), schema)
+    plain = docs.select(F.struct(*keep).alias("kept"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("own"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    got = plain.join(joined(docs, items, text), F.col("own") == F.col("key"), "left").withColumn("n_hit", F.coalesce(F.col("n_hit").cast("long"), F.lit(0)))
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return got.select("kept.*", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -195,5 +215,7 @@ def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
-    return contamination(docs.select("doc_id", *(c for c in docs.columns if c != "doc_id")), benchmark, tuple(docs.columns)).where("not contaminated").select(*docs.columns)
+    """The documents that are not contaminated, with their columns, whatever their names."""
+    plain = numbered_columns(docs)
+    got = contamination(plain, benchmark, tuple(plain.columns), text=plain.columns[docs.columns.index("text")])
+    return got.where("not contaminated").select(*plain.columns).toDF(*docs.columns)

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, mix, signed, slices, small_batches, text_buffer
+from .common import materialize, mix, numbered_columns, signed, slices, small_batches, text_buffer
 
 N = 4
 #: Labelled documents that a language's model is fitted on, about.
@@ -218,21 +219,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns with lang_pred, score and rejected. Nothing but the text is read for them."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "lang_pred string, score double, rejected boolean"])
+    schema = T.StructType([docs.schema[k] for k in keep]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, text):
                 size = rows.num_rows
                 pred, score, out = np.full(size, "und", object), np.zeros(size), np.ones(size, bool)
                 if model is not None:
-                    h, n, letter = model.entropies(rows.column(rows.schema.get_field_index("text")))
+                    h, n, letter = model.entropies(rows.column(rows.schema.get_field_index(text)))
                     best = h.argmin(1)
                     # the posterior of the best, as if at most 30 characters spoke independently
                     odds = np.exp((h[np.arange(size), best][:, None] - h) * np.minimum(n, 30)[:, None])
@@ -242,7 +243,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                 own = [pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(out)]
                 yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(k)) for k in keep), *own], [*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys((*keep, text))).mapInArrow(run, schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -251,5 +252,7 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with their columns."""
-    return identify(docs, train(docs), tuple(docs.columns)).where("not rejected").select(*docs.columns)
+    """The documents that aren't rejected, with their columns, whatever their names."""
+    plain = numbered_columns(docs)
+    got = identify(plain, train(docs), tuple(plain.columns), plain.columns[docs.columns.index("text")])
+    return got.where("not rejected").select(*plain.columns).toDF(*docs.columns)

@@ -117,9 +117,10 @@ t AS (SELECT source, n, weight, cap, below, max(CASE WHEN level * weight < cap A
 g AS (SELECT source, CAST(n AS BIGINT) AS source_size, CASE WHEN below = 0 THEN CAST(cap AS DOUBLE) ELSE open * weight END AS target FROM t),
 e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0) ELSE 0 END AS x
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-c AS (SELECT *, CAST(floor(x) AS BIGINT) AS sure, x - floor(x) AS p FROM e),
+c AS (SELECT *, CAST(floor(x) AS BIGINT) AS sure, x - floor(x) AS p, (draw + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u FROM e),
+o AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) * (1 - p) / p END AS odds FROM c),
 a AS (SELECT *, target - sum(sure * size) OVER (PARTITION BY source) AS rest,
-             coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM c)
+             coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM o)
 SELECT doc_id, size, source_size, target,
        CAST(size * least(2, sure + CASE WHEN p > 0 AND 2 * (rest - ahead) >= size AND rest > ahead THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM a
 """

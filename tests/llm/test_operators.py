@@ -132,6 +132,64 @@ def test_decontamination(spark, docs, bound):
     assert decontam.op5(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_frequent_lines_by_joins(spark):
+    """A line in many items and documents: both ways give the same rows."""
+    line = " ".join(f"c{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"own{i} {line} end{i} " + " ".join(f"p{i}x{k}" for k in range(i % 40))) for i in range(300)] + [(900, line + " " + line), (901, "c1 c2 c3")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"item{i} {line} tail{i}") for i in range(60)] + [(70, "c1 c2"), (70, "c1 c2"), (None, "own7"), (71, line)], "item_id long, text string")
+    one, other = (sorted(map(tuple, decontam.contamination(docs, bench, bound=b).collect())) for b in (10**6, 0))
+    assert one == other and all(x[3] >= 61 for x in one[:300]) and one[7][3] == 63
+
+
+def test_inclusion_by_weight(spark):
+    """Documents of one source with unequal weights are taken as often as their weights say, near the target's words."""
+    weights = {0: 0.4, 1: 1.0, 2: 2.6}
+    docs = spark.createDataFrame([(i, "a b c d", "t", weights[i % 3]) for i in range(6000)] + [(i, "a b c d", "s", 1.0) for i in range(6000, 12000)], "doc_id long, text string, source string, w double")
+    ids = []
+    for seed in ("", "other"):
+        got = mixing.mix(docs, weight="w", seed=seed).where("source = 't'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+        assert abs(sum(r["n"] for r in got) * 4 - 24000) <= 4
+        for k, w in weights.items():
+            assert abs(sum(r["n"] for r in got if r["doc_id"] % 3 == k) / 2000 - 0.75 * w) < 0.05
+        ids.append({r["doc_id"] for r in got})
+    assert ids[0] != ids[1]
+
+
+def test_pareto_order(spark):
+    """By hand: with unequal p the taken documents are those of the smallest odds ratios, not of the smallest draws."""
+    w = lambda i: 1.0 if i % 2 else 0.25
+    docs = spark.createDataFrame([(i, "a b", "s", w(i)) for i in range(400)] + [(i, "a b", "t", 1.0) for i in range(400, 500)] + [(i, "a b", "u", 1.0) for i in range(500, 3000)], "doc_id long, text string, source string, w double")
+    d, targets, cut = mixing.plan_mix(docs, weight="w")
+    rows = mixing.copied(d, cut, F.col("size")).where("source = 'u' or source = 's'").collect()
+    for source in ("s", "u"):
+        own = [r for r in rows if r["source"] == source]
+        mass, target = sum(r["size"] * r["weight"] for r in own), own[0]["target"]
+        left, order = target, []
+        for r in own:
+            x = min(2.0, target / mass * r["weight"])
+            left -= int(x) * r["size"]
+            u, p = (r["draw"] + 0.5) / (1 << 48), x - int(x)
+            if p > 0:
+                order.append((u / (1 - u) * (1 - p) / p, r["draw"], r["doc_id"], r["size"], int(x)))
+        want = {r["doc_id"]: int(min(2.0, target / mass * r["weight"])) for r in own}
+        for _, _, i, size, sure in sorted(order):
+            if 2 * left >= size:
+                want[i] = sure + 1
+            left -= size
+        assert {r["doc_id"]: r["copies"] for r in own} == want
+
+
+def test_mixing_of_repeated_rows(spark):
+    """One row repeated very often: just as many of it are taken as fit, by the query and by the mixed table."""
+    docs = spark.createDataFrame([(7, "a b c", "s", k) for k in [0] * 500] + [(None, "x " * (k % 5), "s", 1) for k in range(200)] + [(i, "q r s t", "t", 2) for i in range(100, 700)], "doc_id long, text string, source string, copies int")
+    got = mixing.op4(docs).groupBy("target", "source_size").agg(F.sum("taken").alias("n")).collect()
+    assert all(abs(r["n"] - r["target"]) <= 3 for r in got)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    by = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(mixing.sized()).alias("n")).collect()}
+    assert sorted(by.values()) == sorted(r["n"] for r in got)
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(covertree, "BLOCK", 40)
     r = np.random.default_rng(3)
@@ -254,6 +312,18 @@ def awkward(df):
     return rows.select("*", *(F.lit("x").alias(c) for c in CLASHING.split() if c not in df.columns))
 
 
+def test_stages_pass_clashing_names(spark):
+    """Every stage of the corpus keeps columns whose names operators use themselves."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    wide = awkward(docs).select("*", *(F.lit("x").alias(c) for c in "rejected contaminated copies row id weight draw certain more s full edge last m n copy c0 c1 component_id_ key own".split() if c not in CLASHING.split()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns
+        assert plain(out.select(docs.columns)) == plain(stage(spark, wide.select(docs.columns), SF))
+
+
 def plain(rows):
     return sorted((tuple(r) for r in rows.collect()), key=repr)
 
