@@ -5,6 +5,9 @@ order. Ids are dictionary-encoded (a page of 16-bit indexes for this vocabulary)
 delta-encoded, row groups and pages are bounded and carry page indexes, so that a reader can fetch
 the metadata alone or the tokens of a few documents.
 
+Ids are those of `Tokenizer.encode(text, add_special_tokens=False)`: a control string that stands in a text is one
+id, as the library has it.
+
 Cases: a null or empty text has the end id alone; rows that share a doc_id follow each other in text
 order; null doc_ids come first; an empty table writes no rows; further columns are ignored unless
 named in `metadata`.
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 from .common import scratch, slices, small_batches, write
 
 #: Pieces that a worker remembers before it drops those met once: bounds memory, changes no result.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 #: Pieces that are encoded at once.
 AT_ONCE, JOINED = 8000, 200
 #: Bytes of text that are looked up together: fewer different pieces in all, bounded memory.
@@ -68,8 +71,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        # texts with a control string of the tokenizer go to it whole; in all others no piece can be one
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.controls = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[0] == _SPACE]] = True
@@ -108,10 +113,10 @@ class Encoder:
     def add(self, pieces: list, ids: np.ndarray, lengths: np.ndarray) -> None:
         k, n = len(self.code), len(pieces)
         if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat) // 2, len(ids)), np.int32)])
         if k + n > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * (k + n)), np.resize(self.length, 2 * (k + n))
-            self.again = np.append(self.again, np.zeros(2 * (k + n) - len(self.again), bool))
+            more = (k + n) // 2 + n
+            self.start, self.length, self.again = (np.concatenate([x[:k], np.zeros(more, x.dtype)]) for x in (self.start, self.length, self.again))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[k : k + n], self.length[k : k + n] = self.used + np.cumsum(lengths) - lengths, lengths
         self.used += len(ids)
@@ -166,11 +171,27 @@ class Encoder:
         return parts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each). Spaces after other text are found by Arrow, and only different
+        """(ids of all texts, number of ids of each), as the library gives them; texts with control strings one by one."""
+        texts = texts.fill_null("")
+        control = np.zeros(len(texts), bool)
+        for c in self.controls:
+            control |= np.asarray(pc.match_substring(texts, c))
+        if not control.any():
+            return self.encode_plain(texts)
+        plain, n = self.encode_plain(texts.filter(pa.array(~control)))
+        self.tokenizer.encode_special_tokens = False
+        own = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t in texts.filter(pa.array(control)).to_pylist()]
+        self.tokenizer.encode_special_tokens = True
+        counts, start = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        counts[~control], counts[control] = n, [len(x) for x in own]
+        start[~control], start[control] = np.cumsum(n) - n, len(plain) + np.cumsum(counts[control]) - counts[control]
+        return np.concatenate([plain, *own])[runs(start, counts)], counts
+
+    def encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without control strings. Spaces after other text are found by Arrow, and only different
         pieces become Python strings; texts with white space before a space are cut one by one."""
         if len(self.code) > REMEMBERED:
             self.forget()
-        texts = texts.fill_null("")
         odd = pc.match_substring_regex(texts, _SPACE_AFTER_SPACE)
         cut = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
         offsets, each = np.asarray(cut.offsets), cut.flatten().dictionary_encode()

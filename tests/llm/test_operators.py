@@ -36,7 +36,6 @@ def rows_of(docs):
 def test_tokens(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     start, want = 0, []
     for i, x in sorted(rows_of(docs)):
         ids = [*t.encode(x, add_special_tokens=False).ids, 0]
@@ -51,7 +50,6 @@ def test_tokens_of_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 500)
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     signs = ["a", "B", "é", "ж", "中", "́", "ª", "×", "1", "²", "'s", "'t", "n't", "’", ".", ",", "\n", "\n ", "\n\n", " ", "  ", "\t", "\r\n", "\xa0", "\u3000", "\x1c", "\x85", "-", "$$$", "<|endoftext|>", "🙂", "the", "Word", "\u200b"]
     r = np.random.default_rng(1)
     texts = ["a\n b c", "one\n  two\n three.\nFour", *("".join(r.choice(signs, r.integers(1, 25))) for _ in range(4000))]
@@ -63,6 +61,37 @@ def test_tokens_of_odd_texts(spark, monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts[a : a + 100]]
 
 
+def test_token_files(spark, tmp_path):
+    """Encodings, row groups and indexes of the written files, and what a selective read touches."""
+    import pyarrow.parquet as pq
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.range(3000).selectExpr("id as doc_id", "'en' as lang", "concat('a <|endoftext|> b ', repeat(concat('word', id % 97, ' '), 200)) as text")
+    tokens.write_tokens(docs, str(tmp_path / "t"), path, metadata=("lang",))
+    files = sorted(str(p) for p in (tmp_path / "t").glob("*.parquet"))
+    t = Tokenizer.from_file(path)
+    text = "a <|endoftext|> b " + "word5 " * 200
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 40 << 20
+            for c in range(group.num_columns):
+                column = group.column(c)
+                assert column.has_offset_index and column.has_column_index
+                if column.path_in_schema.startswith("ids"):
+                    assert "RLE_DICTIONARY" in column.encodings
+                else:
+                    assert any(e.startswith("DELTA") for e in column.encodings), (column.path_in_schema, column.encodings)
+    got = tokens.read_tokens(spark, str(tmp_path / "t"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan(got.select("doc_id", "start", "n_tokens")).split("ReadSchema")[1]
+    few = got.where("doc_id = 5").select("doc_id", "ids")
+    assert "EqualTo(doc_id,5)" in plan(few)
+    assert few.first()["ids"] == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_repeats(docs):
     seen, want = {}, []
     every = sorted(rows_of(docs))
