@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import address_key, tokens
@@ -12,10 +12,6 @@ REGIONS = ("대전", "세종", "청주", "공주", "보령", "아산", "천안")
 DISTRICTS = ("대덕구", "동구", "서구", "유성구", "중구")
 
 
-def dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(REGIONS)), "ordinal int, region string")
-
-
 def of_region_text(c: Column) -> Column:
     """Strict vocabulary of the feed's region column, or null."""
     k = address_key(c)
@@ -52,13 +48,17 @@ def flexible(region: Column, address: Column) -> Column:
 def flexible_of_keys(r: Column, a: Column) -> Column:
     """The same from address keys; each is used many times, so let them be columns that are computed already."""
 
+    def begins(c: Column, *with_: str) -> Column:
+        out = F.lit(False)
+        for w in with_:
+            out = out | c.startswith(w)
+        return out
+
     def prefix(c: Column) -> Column:
-        out = F.when(c.startswith("대전"), "대전").when(c.startswith("세종"), "세종").when(c.startswith("청주") | c.startswith("충북청주"), "청주")
+        # 대전 counts with a district after it only
+        out = F.when(begins(c, *(f"{REGIONS[0]}{d}" for d in DISTRICTS)), REGIONS[0]).when(c.startswith("세종"), "세종").when(begins(c, "청주", "충북청주"), "청주")
         for city in REGIONS[3:]:
-            out = out.when(c.startswith(city) | c.startswith(f"충남{city}"), city)
+            out = out.when(begins(c, city, f"충남{city}"), city)
         return out
 
-    bare = F.lit(False)
-    for d in DISTRICTS:
-        bare = bare | a.startswith(d)
-    return F.coalesce(F.when(r != "대전", prefix(r)), prefix(a), F.when((r == "대전") & bare, "대전"))
+    return F.coalesce(F.when(r != REGIONS[0], prefix(r)), prefix(a), F.when((r == REGIONS[0]) & begins(a, *DISTRICTS), REGIONS[0]))

@@ -14,8 +14,25 @@ TEXTS = ("region", "name", "address", "brand", "self_yn")
 SERVICES = ("셀프", "일반")
 
 
+#: Columns of the published feed and of the master, by name and type.
+FEED_COLUMNS = {"row_num": "integral", **dict.fromkeys((*TEXTS, *FUELS), "string")}
+MASTER_COLUMNS = {"row_num": "integral", **dict.fromkeys((*TEXTS, "ultra_flag", "currency_apply"), "string"), **dict.fromkeys(FUELS, "integral")}
+
+
+def expect(df: DataFrame, columns: dict[str, str], what: str) -> DataFrame:
+    """df, if it has the columns in their types; else an error before any row is read. Further columns are ignored."""
+    have = dict(df.dtypes)
+    for name, kind in columns.items():
+        if name not in have:
+            raise ValueError(f"{what}: the column {name} is missing")
+        if not (have[name] in ("int", "bigint", "smallint", "tinyint") if kind == "integral" else have[name] == kind):
+            raise ValueError(f"{what}: the column {name} is {have[name]}, not {kind}")
+    return df
+
+
 def checked(raw: DataFrame) -> DataFrame:
     """Each row that isn't blank with its key, region, prices and `error`, the first rule it breaks."""
+    expect(raw, FEED_COLUMNS, "feed")
     d = raw.select("row_num", *(trim(F.col(c)).alias(c) for c in TEXTS), *(trim(F.col(c)).alias(f"{c}_text") for c in FUELS))
     blank = F.concat(*(F.col(c) for c in d.columns if c not in ("row_num", "address")))
     d = settled(d).where((F.col("address") != "") | (blank != ""))
@@ -24,9 +41,9 @@ def checked(raw: DataFrame) -> DataFrame:
     d = d.select("row_num", *TEXTS, region.alias("target"), state.alias("state"), address_key(F.col("address")).alias("address_key"), *(p[0].alias(c) for c, p in prices.items()), *(p[1].alias(f"{c}_bad") for c, p in prices.items()))
     d = settled(d)
     known = F.col("state") != "dropped"
-    error = F.when(F.col("address") == "", "no address").when(F.col("name") == "", "no name").when(~F.col("self_yn").isin(*SERVICES), "bad service")
-    for c in FUELS:
-        error = error.when(F.col(f"{c}_bad"), f"bad {c}")
+    # a row's errors in the order in which its cells are read
+    error = F.when(F.col("address") == "", "no address").when(F.col("diesel_bad"), "bad diesel").when(F.col("gasoline_bad"), "bad gasoline").when(F.col("name") == "", "no name")
+    error = error.when(F.col("premium_bad"), "bad premium").when(~F.col("self_yn").isin(*SERVICES), "bad service")
     return d.withColumn("error", error.when(known & (F.col("state") != "ok"), F.concat(F.lit("region: "), F.col("state"))))
 
 

@@ -59,9 +59,13 @@ def check_feed(checked: DataFrame, feed: DataFrame, duplicates: DataFrame) -> No
         raise GateError("no row has a premium price")
 
 
-def check_result(counts: DataFrame, sums: DataFrame, duplicates: DataFrame) -> None:
-    if (r := duplicates.limit(1).collect()):
+def check_keys(duplicates: DataFrame) -> None:
+    """The first key of the master that is there twice."""
+    if (r := duplicates.orderBy("first_row").limit(1).collect()):
         raise GateError(f"a key occurs twice in the master: {r[0].asDict()}")
+
+
+def check_result(counts: DataFrame, sums: DataFrame) -> None:
     by = {r["region"]: r for r in counts.collect()}  # seven rows
     for region in REGIONS:
         if region in by and by[region]["existing_rows"] and by[region]["matched_rows"] < half(by[region]["existing_rows"]):

@@ -8,6 +8,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parse import fixed_decimal, lenient_int
+from ..functions.region import REGIONS
 from ..functions.text import trim
 from .feed import FUELS
 
@@ -15,6 +17,8 @@ from .feed import FUELS
 SMART = ("현대오일뱅크", "직영")
 LABELS = {"gasoline": "휘발유", "premium": "고급유", "diesel": "경유"}
 LAST = 10**15
+#: Names of the input cells.
+INPUTS = (*(f"quantity_{c}" for c in FUELS), *(f"average_{c}" for c in FUELS), "smart_discount")
 
 
 @dataclass(frozen=True)
@@ -24,12 +28,31 @@ class Params:
     quantity: dict = field(default_factory=lambda: {"gasoline": Decimal(30), "premium": Decimal(0), "diesel": Decimal(20)})
     average: dict = field(default_factory=lambda: {"gasoline": 1700, "premium": 1900, "diesel": 1500})
     smart_discount: Decimal = Decimal(-25)
-    rates: dict = field(default_factory=lambda: dict.fromkeys(("대전", "세종", "청주", "공주", "보령", "아산", "천안"), Decimal("0.07")))
+    rates: dict = field(default_factory=lambda: dict.fromkeys(REGIONS, Decimal("0.07")))
 
     def total(self) -> Decimal:
         return sum(self.quantity.values(), Decimal(0))
 
 
+def load_params(inputs: DataFrame, rates: DataFrame) -> Params:
+    """Parameters from text cells: inputs (name, value) as in INPUTS, rates (row_num, region, rate). A blank quantity or
+    discount is zero, a blank average and any text that is no number an error. Of a region's rates the last one that isn't blank counts,
+    labels other than the seven are ignored."""
+    value, bad = fixed_decimal(F.col("value"))
+    cells = {r["name"]: r for r in inputs.where(F.col("name").isin(*INPUTS)).select("name", "value", value.alias("exact"), bad.alias("bad"), lenient_int(F.col("value")).alias("whole")).collect()}  # seven rows
+    for name in INPUTS:
+        r = cells.get(name)
+        if r is not None and r["bad"] or name.startswith("average") and (r is None or r["whole"] is None):
+            raise ValueError(f"the input {name} is {None if r is None else r['value']!r}")
+    number = lambda name: cells[name]["exact"] or Decimal(0) if name in cells else Decimal(0)
+    rate, bad = fixed_decimal(F.col("rate"))
+    known = rates.select("row_num", trim(F.col("region")).alias("region"), "rate", rate.alias("exact"), bad.alias("bad")).where("region <> ''")
+    if (r := known.where("bad").orderBy("row_num").first()) is not None:
+        raise ValueError(f"the rate of {r['region']} is {r['rate']!r}")
+    last = known.where(F.col("region").isin(*REGIONS) & F.col("exact").isNotNull()).groupBy("region").agg(F.max_by("exact", "row_num").alias("rate")).collect()  # seven rows at most
+    return Params({c: number(f"quantity_{c}") for c in FUELS}, {c: cells[f"average_{c}"]["whole"] for c in FUELS}, number("smart_discount"), {r["region"]: r["rate"] for r in last})
+
+
 def dec(value: object, kind: str) -> Column:
     return F.lit(str(value)).cast(kind)
 
@@ -51,7 +74,9 @@ def priced(master: DataFrame, params: Params) -> DataFrame:
     total = (parts["gasoline"] + parts["premium"] + parts["diesel"]).cast("decimal(28,12)") if whole else F.lit(None).cast("decimal(28,12)")
     d = d.withColumn("total_price", total)
     applies = F.upper(trim(F.col("currency_apply"))) == "Y"
+    # shown only where there is a total; the order of rows uses `rate` itself
     d = d.withColumn("missing_rate", applies & F.col("rate").isNull()).withColumn("rate", F.when(applies, F.col("rate")).otherwise(dec(0, "decimal(8,6)")))
+    d = d.withColumn("region_rate", F.when(F.col("total_price").isNotNull(), F.col("rate")))
     exact = (F.col("total_price") * F.col("rate")).cast("decimal(38,18)")
     d = d.withColumn("region_discount", F.when(exact >= 0, F.floor(exact)).otherwise(F.ceil(exact)).cast("decimal(20,0)"))
     d = d.withColumn("regional_total", (F.col("total_price") - F.col("region_discount")).cast("decimal(28,12)"))
@@ -65,17 +90,25 @@ def priced(master: DataFrame, params: Params) -> DataFrame:
 
 
 def order_keys() -> list[Column]:
-    """After the total: rate-adjusted prices, nulls last, then text in byte order."""
-    return [*(F.col(f"order_{c}").asc_nulls_last() for c in FUELS), F.col("region"), F.col("name"), F.col("address")]
-
-
-def input_summary(params: Params) -> dict[str, Decimal | None]:
-    """Quantities together and the two weighted averages. The second divides by the sum of gasoline and premium as
-    the first does, and fails if that is zero though premium and diesel are not."""
-    q, a = {k: int(v.to_integral_value(rounding="ROUND_HALF_UP")) for k, v in params.quantity.items()}, params.average
-    low = q["gasoline"] + q["premium"]
-    first = Decimal(q["gasoline"] * a["gasoline"] + q["premium"] * a["premium"]) / low if low else None
-    if q["premium"] + q["diesel"] and not low:
-        raise ZeroDivisionError("no gasoline or premium quantity to divide by")
-    second = Decimal(q["gasoline"] * a["gasoline"] + q["premium"] * a["diesel"]) / low if q["premium"] + q["diesel"] else None
-    return {"quantity": Decimal(sum(q.values())), "average_with_premium": first, "average_with_diesel": second}
+    """After the total: rate-adjusted prices, nulls last, then text in byte order, then the order before, new rows last."""
+    return [*(F.col(f"order_{c}").asc_nulls_last() for c in FUELS), F.col("region"), F.col("name"), F.col("address"), F.col("row_num").asc_nulls_last()]
+
+
+def input_summary(inputs: DataFrame) -> DataFrame:
+    """One row of the input cells (name, value): quantities together and the two weighted averages, of whole numbers, and the
+    first error. The second average divides by the sum of gasoline and premium as the first does, which is an error if
+    that is zero though premium and diesel are not; an empty cell is one too."""
+    cell = lambda name: F.max(F.when(F.col("name") == name, lenient_int(F.col("value")))).cast("long").alias(name)
+    names = INPUTS[:-1]
+    d = inputs.agg(*map(cell, names))
+    q, a = ({c: F.col(f"{k}_{c}") for c in FUELS} for k in ("quantity", "average"))
+    error = F.lit(None).cast("string")
+    for name in reversed(names):
+        error = F.when(F.col(name).isNull(), f"{name} is empty").otherwise(error)
+    low, rest = q["gasoline"] + q["premium"], q["premium"] + q["diesel"]
+    error = F.coalesce(error, F.when((low == 0) & (rest != 0), "nothing to divide by"))
+    ratio = lambda above: F.try_divide(above.cast("double"), low.cast("double"))
+    return d.select(
+        (low + q["diesel"]).cast("double").alias("quantity"), ratio(q["gasoline"] * a["gasoline"] + q["premium"] * a["premium"]).alias("average_with_premium"),
+        F.when(rest != 0, ratio(q["gasoline"] * a["gasoline"] + q["premium"] * a["diesel"])).alias("average_with_diesel"), error.alias("error"),
+    )

@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import address_key, settled, squeeze, trim
-from .feed import FUELS, TEXTS
+from ..sources.scratch import kept
+from .feed import FUELS, MASTER_COLUMNS, TEXTS, expect
 
 #: Reasons in their order, and those of rows on one side only.
 REASONS = ("가격변동", "지역정정", "상호변경", "상표변경", "셀프여부변경")
 NEW, CLOSED = "신규", "폐업"
 CARRIED = ("ultra_flag", "currency_apply")
+#: The manual override that takes the smart discount from a row; it stays with the row, and new rows have none.
+EXCLUDED = "smart_excluded"
 
 
 def keyed(master: DataFrame) -> DataFrame:
     """Master rows that aren't blank, with their key (null where the address is blank) and prices above zero or null."""
+    expect(master, MASTER_COLUMNS, "master")
+    if EXCLUDED not in master.columns:
+        master = master.withColumn(EXCLUDED, F.lit(False))
+    master = master.select(*MASTER_COLUMNS, F.coalesce(EXCLUDED, F.lit(False)).alias(EXCLUDED))
     d = settled(master.withColumns({c: trim(F.col(c)) for c in TEXTS})).where("region <> '' or name <> '' or address <> ''")
     d = d.withColumns({c: F.when(F.col(c) > 0, F.col(c)) for c in FUELS})
     return settled(d.withColumn("address_key", F.when(F.col("address") != "", address_key(F.col("address")))))
@@ -25,7 +32,7 @@ def compared(feed: DataFrame, master: DataFrame) -> DataFrame:
     """Both sides of each key as new_* and old_*, with kind (matched, new, closed, unaddressed) and reason."""
     new = feed.select("address_key", *(F.col(c).alias(f"new_{c}") for c in (*TEXTS, *FUELS)), F.lit(True).alias("in_feed"))
     m = keyed(master)
-    old = m.select("address_key", "row_num", *(F.col(c).alias(f"old_{c}") for c in (*TEXTS, *FUELS)), *CARRIED, F.lit(True).alias("in_master"))
+    old = m.select("address_key", "row_num", *(F.col(c).alias(f"old_{c}") for c in (*TEXTS, *FUELS)), *CARRIED, EXCLUDED, F.lit(True).alias("in_master"))
     d = new.join(old, "address_key", "full_outer")
     kind = F.when(F.col("in_feed") & F.col("in_master"), "matched").when(F.col("in_feed"), "new").when(F.col("address_key").isNull(), "unaddressed").otherwise("closed")
     priced = ~F.lit(True)
@@ -50,32 +57,37 @@ def in_log_order(log: DataFrame) -> DataFrame:
     return log.orderBy("kind_ord", F.when(F.col("kind_ord") != 1, F.col("row_num")), "region", "name", "address")
 
 
-def merged(pairs: DataFrame) -> DataFrame:
+def template(keyed_master: DataFrame) -> DataFrame:
+    """The carried columns of the last row before the update, kept or closed, as one row."""
+    return keyed_master.agg(F.max_by(F.struct(*CARRIED), "row_num").alias("last"))
+
+
+def merged(pairs: DataFrame, last: DataFrame) -> DataFrame:
     """The next master: every matched row takes the feed's text and prices; new rows inherit the carried columns of
-    the last row before the update, kept or closed."""
-    template = pairs.where("in_master").agg(F.max_by(F.struct(*CARRIED), "row_num").alias("last"))
-    kept = pairs.where("kind in ('matched', 'unaddressed')").select("row_num", *(F.coalesce(f"new_{c}", f"old_{c}").alias(c) if c in TEXTS else F.when(F.col("kind") == "matched", F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in (*TEXTS, *FUELS)), *CARRIED, F.lit(False).alias("added"))
-    # the template is one row
-    added = pairs.where("kind = 'new'").join(F.broadcast(template), how="left").select(F.lit(None).cast("long").alias("row_num"), *(F.col(f"new_{c}").alias(c) for c in (*TEXTS, *FUELS)), *(F.col(f"last.{c}").alias(c) for c in CARRIED), F.lit(True).alias("added"))
-    return kept.unionByName(added)
+    `last`, the template. One pass over the pairs."""
+    d = pairs.where("kind <> 'closed'").join(F.broadcast(last), how="left")  # the template is one row
+    side = lambda c: F.when(F.col("in_feed"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c)
+    added = F.col("kind") == "new"
+    return d.select("row_num", *map(side, (*TEXTS, *FUELS)), *(F.when(added, F.col(f"last.{c}")).otherwise(F.col(c)).alias(c) for c in CARRIED), F.coalesce(EXCLUDED, F.lit(False)).alias(EXCLUDED), added.alias("added"))
 
 
-def positions(df: DataFrame, key: str, order: list, name: str = "position", width: int = 1000) -> DataFrame:
-    """Places in the order (key nulls last, then order) without one task for all rows: rows are counted in bins of
-    the key, and numbered within their bin."""
-    bin_ = F.coalesce(F.floor(F.col(key) / width).cast("long"), F.lit(1 << 60))
-    d = df.withColumn("bin__", bin_)
-    counts = d.groupBy("bin__").agg(F.count("*").alias("n"))
-    before = counts.select("bin__", F.coalesce(F.sum("n").over(Window.orderBy("bin__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
-    w = Window.partitionBy("bin__").orderBy(F.col(key).asc_nulls_last(), *order)
-    return d.join(before, "bin__").withColumn(name, F.col("before__") + F.row_number().over(w)).drop("bin__", "before__")
+def positions(df: DataFrame, key: str, order: list, name: str = "position") -> DataFrame:
+    """Places in the order (key nulls last, then order): rows are dealt by ranges of the whole order, numbered where
+    they are, and each range is moved on by the rows of those before it. A frequent key is dealt by the rest of the order."""
+    whole = [F.col(key).asc_nulls_last(), *order]
+    dealt = df.repartitionByRange(*whole).sortWithinPartitions(*whole).withColumn("at__", F.monotonically_increasing_id())
+    dealt = kept(dealt, "order").withColumn("range__", F.shiftrightunsigned("at__", 33))
+    counts = dealt.groupBy("range__").agg(F.count("*").alias("n__"))  # a row for each range
+    before = counts.select("range__", F.coalesce(F.sum("n__").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
+    return dealt.join(F.broadcast(before), "range__").withColumn(name, F.col("before__") + F.col("at__").bitwiseAND((1 << 33) - 1) + 1).drop("at__", "range__", "before__")
 
 
 def competition_rank(df: DataFrame, key: str, name: str = "rank", width: int = 1000) -> DataFrame:
-    """1, 2, 2, 4 in ascending order of the key, null for null, in the same way."""
-    d = df.withColumn("bin__", F.floor(F.col(key) / width).cast("long"))
-    counts = d.where("bin__ is not null").groupBy("bin__").agg(F.count("*").alias("n"))
-    before = counts.select("bin__", F.coalesce(F.sum("n").over(Window.orderBy("bin__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
-    w = Window.partitionBy("bin__").orderBy(key)
-    ranked = d.where("bin__ is not null").join(before, "bin__").withColumn(name, F.col("before__") + F.rank().over(w)).drop("bin__", "before__")
-    return ranked.unionByName(d.where("bin__ is null").drop("bin__").withColumn(name, F.lit(None).cast("long")))
+    """1, 2, 2, 4 in ascending order of the key, null for null. Rows are counted for each different key first, so a frequent
+    key is one row; counts are summed up within bins of the key, then over the bins."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key__")).agg(F.count("*").alias("n__")).withColumn("bin__", F.floor(F.col("key__") / width).cast("decimal(38,0)"))
+    ahead = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outer = counts.groupBy("bin__").agg(F.sum("n__").alias("n__")).select("bin__", ahead("n__", Window.orderBy("bin__")).alias("outer__"))
+    inner = counts.withColumn("inner__", ahead("n__", Window.partitionBy("bin__").orderBy("key__")))
+    ranks = inner.join(outer, "bin__").select("key__", (F.col("outer__") + F.col("inner__") + 1).alias(name))
+    return df.join(ranks, F.col(key) == F.col("key__"), "left").drop("key__")

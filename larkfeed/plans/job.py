@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import gates, pricing, reconcile
 from ..operators.feed import checked, duplicate_keys, typed
 from ..sources import store
+from ..sources.scratch import kept
 
 
 def kst_date(now: datetime) -> str:
@@ -33,29 +34,29 @@ def summary(pairs: DataFrame, counts: DataFrame, limit: int = 20) -> list[str]:
     """Counts and the first rows of what is new and closed, as text."""
     t = gates.totals(pairs).first().asDict()
     lines = [f"{k}: {v}" for k, v in t.items()]
-    for kind, side, n in (("new", "new", t["added"]), ("closed", "old", t["closed"])):
-        rows = pairs.where(F.col("kind") == kind).orderBy(f"{side}_region", f"{side}_name", f"{side}_address").limit(limit).collect()
+    new_order = [F.col(f"new_{c}") for c in ("region", "name", "address")]
+    for kind, side, order, n in (("new", "new", new_order, t["added"]), ("closed", "old", [F.col("row_num")], t["closed"])):
+        rows = pairs.where(F.col("kind") == kind).orderBy(*order).limit(limit).collect()
         lines += [terminal_safe(f"{kind}: {r[f'{side}_region']} {r[f'{side}_name']} {r[f'{side}_address']}") for r in rows]
         lines += [f"... of {n}"] if n > limit else []
     return lines + [terminal_safe(f"{r['region']}: {r['feed_rows']} {r['existing_rows']} {r['matched_rows']}") for r in counts.collect()]
 
 
 def run(spark: SparkSession, root: str, feed_raw: DataFrame, master: DataFrame, params: pricing.Params, now: datetime) -> list[str]:
-    """Gates come in their order, each as an action; nothing is written unless all hold."""
+    """Gates come in their order, each as an action; nothing is committed unless all hold. The checked feed and the pairs are
+    written once, and all that follows reads them."""
     with store.run_lock(root):
-        rows = checked(feed_raw).cache()
-        try:
-            feed = typed(rows)
-            gates.check_feed(rows, feed, duplicate_keys(feed, "address_key"))
-            pairs = reconcile.compared(feed, master)
-            counts = gates.region_counts(feed, pairs)
-            keyed = reconcile.keyed(master).where("address_key is not null")
-            out = priced_in_order(reconcile.merged(pairs), params)
-            if out.where("missing_rate").limit(1).count():
-                raise gates.GateError("a region to which the local currency applies has no rate")
-            gates.check_result(counts, gates.totals(pairs), duplicate_keys(keyed, "address_key", row="row_num"))
-            log = reconcile.change_log(pairs).withColumn("as_of", F.lit(kst_date(now)))
-            store.commit(spark, root, {"master": out, "change_log": log})
-            return summary(pairs, counts)
-        finally:
-            rows.unpersist()
+        rows = kept(checked(feed_raw), "feed")
+        feed = typed(rows)
+        gates.check_feed(rows, feed, duplicate_keys(feed, "address_key"))
+        keyed = reconcile.keyed(master)
+        gates.check_keys(duplicate_keys(keyed.where("address_key is not null"), "address_key", row="row_num"))
+        pairs = kept(reconcile.compared(feed, master), "pairs")
+        out = priced_in_order(reconcile.merged(pairs, reconcile.template(keyed)), params)
+        if out.where("missing_rate").limit(1).count():
+            raise gates.GateError("a region to which the local currency applies has no rate")
+        counts = gates.region_counts(feed, pairs)
+        gates.check_result(counts, gates.totals(pairs))
+        log = reconcile.in_log_order(reconcile.change_log(pairs)).drop("kind_ord", "row_num").withColumn("as_of", F.lit(kst_date(now)))
+        store.commit(spark, root, {"master": out, "change_log": log})
+        return summary(pairs, counts)

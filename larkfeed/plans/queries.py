@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import parse, region, text
 from ..operators import gates, pricing, reconcile
 from ..operators.feed import FUELS, checked, duplicate_keys, typed
-from ..sources.fixtures import FEED_RAW, MASTER, feed_raw, master
+from ..sources.fixtures import FEED_RAW, INPUTS, MASTER, feed_raw, inputs, master
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +37,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _priced(spark: SparkSession, d: str) -> DataFrame:
-    return pricing.priced(master(spark, d), PARAMS)
+    return pricing.priced(reconcile.keyed(master(spark, d)), PARAMS)
 
 
 # ---------------------------------------------------------------- SQL of the oracle
@@ -52,18 +52,27 @@ def key_sql(c: str) -> str:
 _PRICE = "CASE WHEN {c} IN ('', '-') THEN NULL ELSE nullif(CAST(floor(CAST(replace({c}, ',', '') AS DOUBLE) + 0.5) AS INT), 0) END"
 _TARGET = "CASE WHEN region LIKE '대전%' THEN '대전' WHEN region = '세종시' THEN '세종' WHEN region = '충북 청주시' THEN '청주' WHEN region LIKE '충남 %' THEN replace(replace(region, '충남 ', ''), '시', '') END"
 FEED_CTE = f"raw AS ({FEED_RAW}), feed AS (SELECT {key_sql('address')} AS address_key, {_TARGET} AS region, name, address, brand, self_yn, {', '.join(f'{_PRICE.format(c=c)} AS {c}' for c in FUELS)} FROM raw WHERE {_TARGET} IS NOT NULL)"
-MASTER_CTE = f"old AS ({MASTER}), master AS (SELECT {key_sql('address')} AS address_key, old.* FROM old)"
+MASTER_CTE = f"sheet AS ({MASTER}), old AS (SELECT * REPLACE ({', '.join(f'CASE WHEN {c} > 0 THEN {c} END AS {c}' for c in FUELS)}) FROM sheet WHERE region <> '' OR name <> '' OR address <> ''), master AS (SELECT nullif({key_sql('address')}, '') AS address_key, old.* FROM old)"
+
+
+def flexible_sql(r: str, a: str) -> str:
+    """The rule of counting, on address keys r and a."""
+    districts = "(대덕구|동구|서구|유성구|중구)"
+    prefix = lambda c: f"CASE WHEN regexp_matches({c}, '^대전{districts}') THEN '대전' WHEN regexp_matches({c}, '^세종') THEN '세종' WHEN regexp_matches({c}, '^(충북)?청주') THEN '청주' WHEN regexp_matches({c}, '^(충남)?(공주|보령|아산|천안)') THEN regexp_extract({c}, '공주|보령|아산|천안') END"
+    return f"CASE WHEN {r} <> '대전' AND ({prefix(r)}) IS NOT NULL THEN {prefix(r)} WHEN ({prefix(a)}) IS NOT NULL THEN {prefix(a)} WHEN {r} = '대전' AND regexp_matches({a}, '^{districts}') THEN '대전' END"
+
+
 _CHANGED = " OR ".join(f"f.{c} IS DISTINCT FROM m.{c}" for c in FUELS)
 _REASON = f"concat_ws(', ', CASE WHEN {_CHANGED} THEN '가격변동' END, CASE WHEN f.region <> m.region THEN '지역정정' END, CASE WHEN f.name <> m.name THEN '상호변경' END, CASE WHEN f.brand <> m.brand THEN '상표변경' END, CASE WHEN f.self_yn <> m.self_yn THEN '셀프여부변경' END)"
 PAIRS_CTE = f"""{FEED_CTE}, {MASTER_CTE}, pairs AS (SELECT coalesce(f.address_key, m.address_key) AS address_key, m.row_num,
- CASE WHEN m.address_key IS NULL THEN 'new' WHEN f.address_key IS NULL THEN 'closed' ELSE 'matched' END AS kind,
- CASE WHEN m.address_key IS NULL THEN '신규' WHEN f.address_key IS NULL THEN '폐업' ELSE {_REASON} END AS reason,
- {', '.join(f'f.{c} AS new_{c}, m.{c} AS old_{c}' for c in (*('region', 'name', 'address', 'brand', 'self_yn'), *FUELS))}, m.ultra_flag, m.currency_apply
+ CASE WHEN m.row_num IS NULL THEN 'new' WHEN m.address_key IS NULL THEN 'unaddressed' WHEN f.address_key IS NULL THEN 'closed' ELSE 'matched' END AS kind,
+ CASE WHEN m.row_num IS NULL THEN '신규' WHEN m.address_key IS NULL THEN '' WHEN f.address_key IS NULL THEN '폐업' ELSE {_REASON} END AS reason,
+ {', '.join(f'f.{c} AS new_{c}, m.{c} AS old_{c}' for c in (*('region', 'name', 'address', 'brand', 'self_yn'), *FUELS))}, m.ultra_flag, m.currency_apply, m.smart_excluded
  FROM feed f FULL OUTER JOIN master m ON f.address_key = m.address_key)"""
 _LOG = "SELECT coalesce(new_region, old_region) AS region, coalesce(new_name, old_name) AS name, coalesce(new_address, old_address) AS address, reason, " + ", ".join(f"old_{c}, new_{c}, new_{c} - old_{c} AS delta_{c}" for c in FUELS) + " FROM pairs WHERE reason <> ''"
 LOG_COLUMNS = ["region", "name", "address", "reason", *(f"{s}_{c}" for c in FUELS for s in ("old", "new", "delta"))]
 #: The prices of the master in whole won: quantities 30, 0 and 20, discount -25, rate 7 %.
-PRICED_CTE = f"""{MASTER_CTE}, s AS (SELECT *, CASE WHEN contains(name, '현대오일뱅크') AND contains(name, '직영') THEN -25 ELSE 0 END AS sd, CASE WHEN currency_apply = 'Y' THEN 7 ELSE 0 END AS pct FROM old),
+PRICED_CTE = f"""{MASTER_CTE}, s AS (SELECT *, CASE WHEN contains(name, '현대오일뱅크') AND contains(name, '직영') AND NOT smart_excluded THEN -25 ELSE 0 END AS sd, CASE WHEN upper(trim(currency_apply)) = 'Y' THEN 7 ELSE 0 END AS pct FROM old),
  t AS (SELECT *, gasoline + sd AS ag, premium + sd AS ap, diesel + sd AS ad, CAST((gasoline + sd) * 30 + (diesel + sd) * 20 AS BIGINT) AS total FROM s),
  priced AS (SELECT *, CAST(total * pct // 100 AS BIGINT) AS discount, CAST(total - total * pct // 100 AS BIGINT) AS regional FROM t)"""
 
@@ -100,9 +109,9 @@ def feed_region_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return text.settled(moved.select("row_num", state.alias("state"))).where("state not in ('ok', 'dropped')")
 
 
-@query(f"WITH {MASTER_CTE} SELECT row_num, CASE WHEN region <> '대전' THEN region WHEN address LIKE '대전%' THEN '대전' WHEN address LIKE '세종%' THEN '세종' WHEN address LIKE '충북%' THEN '청주' ELSE substr(address, 4, 2) END AS target FROM old")
+@query(f"WITH {MASTER_CTE}, k AS (SELECT row_num, {key_sql('region')} AS r, {key_sql('address')} AS a FROM old) SELECT row_num, {flexible_sql('r', 'a')} AS target FROM k")
 def master_region_flexible(spark: SparkSession, d: str) -> DataFrame:
-    return master(spark, d).select("row_num", region.flexible(F.col("region"), F.col("address")).alias("target"))
+    return reconcile.keyed(master(spark, d)).select("row_num", region.flexible(F.col("region"), F.col("address")).alias("target"))
 
 
 # ---------------------------------------------------------------- comparison
@@ -132,19 +141,17 @@ def change_counts_by_reason(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PAIRS_CTE}, kept AS (SELECT {', '.join(f'coalesce(new_{c}, old_{c}) AS {c}' for c in ('region', 'name', 'address', 'brand', 'self_yn'))}, {', '.join(f'new_{c} AS {c}' for c in FUELS)}, ultra_flag, currency_apply, false AS added FROM pairs WHERE kind = 'matched'),
- fresh AS (SELECT {', '.join(f'new_{c} AS {c}' for c in ('region', 'name', 'address', 'brand', 'self_yn', *FUELS))}, (SELECT ultra_flag FROM old ORDER BY row_num DESC LIMIT 1) AS ultra_flag, (SELECT currency_apply FROM old ORDER BY row_num DESC LIMIT 1) AS currency_apply, true AS added FROM pairs WHERE kind = 'new')
+@query(f"""WITH {PAIRS_CTE}, last AS (SELECT ultra_flag, currency_apply FROM old ORDER BY row_num DESC LIMIT 1),
+ kept AS (SELECT {', '.join(f'coalesce(new_{c}, old_{c}) AS {c}' for c in ('region', 'name', 'address', 'brand', 'self_yn'))}, {', '.join(f"CASE WHEN kind = 'matched' THEN new_{c} ELSE old_{c} END AS {c}" for c in FUELS)}, ultra_flag, currency_apply, smart_excluded, false AS added FROM pairs WHERE kind IN ('matched', 'unaddressed')),
+ fresh AS (SELECT {', '.join(f'new_{c} AS {c}' for c in ('region', 'name', 'address', 'brand', 'self_yn', *FUELS))}, (SELECT ultra_flag FROM last) AS ultra_flag, (SELECT currency_apply FROM last) AS currency_apply, false AS smart_excluded, true AS added FROM pairs WHERE kind = 'new')
  SELECT * FROM kept UNION ALL SELECT * FROM fresh""")
 def merged_master(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.merged(_pairs(spark, d)).drop("row_num")
+    return reconcile.merged(_pairs(spark, d), reconcile.template(reconcile.keyed(master(spark, d)))).drop("row_num")
 
 
 # ---------------------------------------------------------------- gates
 
-_FLEX = "CASE WHEN old_region <> '대전' THEN old_region WHEN old_address LIKE '대전%' THEN '대전' END"
-
-
-@query(f"WITH {PAIRS_CTE}, f AS (SELECT region, count(*) AS n FROM feed GROUP BY region), m AS (SELECT {_FLEX} AS region, count(*) AS n, count(*) FILTER (kind = 'matched') AS k FROM pairs WHERE kind <> 'new' GROUP BY 1) SELECT coalesce(f.region, m.region) AS region, coalesce(f.n, 0) AS feed_rows, coalesce(m.n, 0) AS existing_rows, coalesce(m.k, 0) AS matched_rows FROM f FULL OUTER JOIN m ON f.region = m.region")
+@query(f"WITH {PAIRS_CTE}, f AS (SELECT region, count(*) AS n FROM feed GROUP BY region), k AS (SELECT kind, {key_sql('old_region')} AS r, {key_sql('old_address')} AS a FROM pairs WHERE kind <> 'new'), t AS (SELECT kind, {flexible_sql('r', 'a')} AS region FROM k), m AS (SELECT region, count(*) AS n, count(*) FILTER (kind = 'matched') AS k FROM t WHERE region IS NOT NULL GROUP BY 1) SELECT coalesce(f.region, m.region) AS region, coalesce(f.n, 0) AS feed_rows, coalesce(m.n, 0) AS existing_rows, coalesce(m.k, 0) AS matched_rows FROM f FULL OUTER JOIN m ON f.region = m.region")
 def region_counts(spark: SparkSession, d: str) -> DataFrame:
     return gates.region_counts(_feed(spark, d), _pairs(spark, d))
 
@@ -159,14 +166,19 @@ def gate_metrics(spark: SparkSession, d: str) -> DataFrame:
     return gates.totals(_pairs(spark, d))
 
 
-@query(f"WITH {FEED_CTE} SELECT address_key, count(*) AS n FROM feed GROUP BY address_key HAVING count(*) > 1")
+@query(f"WITH {FEED_CTE}, twice AS (SELECT address_key FROM feed UNION ALL SELECT address_key FROM feed WHERE brand = '') SELECT address_key, count(*) AS n FROM twice GROUP BY address_key HAVING count(*) > 1")
 def feed_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    return duplicate_keys(_feed(spark, d), "address_key")
+    """Keys that occur twice in a feed that has its rows without a brand twice."""
+    feed = _feed(spark, d)
+    return duplicate_keys(feed.unionByName(feed.where("brand = ''")), "address_key")
 
 
-@query(f"WITH {MASTER_CTE} SELECT address_key, count(*) AS n, min(row_num) AS first_row, max(row_num) AS last_row FROM master GROUP BY address_key HAVING count(*) > 1")
+@query(f"WITH {MASTER_CTE}, twice AS (SELECT address_key, row_num FROM master UNION ALL SELECT address_key, row_num + 1000000 FROM master WHERE ultra_flag = 'U') SELECT address_key, count(*) AS n, min(row_num) AS first_row, max(row_num) AS last_row FROM twice WHERE address_key IS NOT NULL GROUP BY address_key HAVING count(*) > 1")
 def master_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    return duplicate_keys(reconcile.keyed(master(spark, d)), "address_key", row="row_num")
+    """The same for a master that has its flagged rows twice."""
+    m = master(spark, d)
+    more = m.where("ultra_flag = 'U'").withColumn("row_num", F.col("row_num") + 1_000_000)
+    return duplicate_keys(reconcile.keyed(m.unionByName(more)).where("address_key is not null"), "address_key", row="row_num")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -191,9 +203,9 @@ def total_price(spark: SparkSession, d: str) -> DataFrame:
     return _priced(spark, d).select("row_num", *_long("total_price"))
 
 
-@query(f"WITH {PRICED_CTE} SELECT row_num, discount AS region_discount, regional AS regional_total, coalesce(regional, 1000000000000000) AS sort_key FROM priced")
+@query(f"WITH {PRICED_CTE} SELECT row_num, CASE WHEN total IS NOT NULL THEN CAST(pct AS BIGINT) END AS region_percent, discount AS region_discount, regional AS regional_total, coalesce(regional, 1000000000000000) AS sort_key FROM priced")
 def regional_discount(spark: SparkSession, d: str) -> DataFrame:
-    return _priced(spark, d).select("row_num", *_long("region_discount", "regional_total", "sort_key"))
+    return _priced(spark, d).select("row_num", (100 * F.col("region_rate")).cast("long").alias("region_percent"), *_long("region_discount", "regional_total", "sort_key"))
 
 
 @query(f"WITH {PRICED_CTE} SELECT row_num, CAST(regional AS DOUBLE) / 50.0::DOUBLE AS unit_price_with, CAST(total AS DOUBLE) / 50.0::DOUBLE AS unit_price_without FROM priced")
@@ -206,10 +218,13 @@ def fuel_total_text(spark: SparkSession, d: str) -> DataFrame:
     return _priced(spark, d).select("row_num", "fuel_total_text")
 
 
-@query("SELECT CAST(50 AS DOUBLE) AS quantity, CAST((30 * 1700 + 0 * 1900) AS DOUBLE) / 30 AS average_with_premium, CAST((30 * 1700 + 0 * 1500) AS DOUBLE) / 30 AS average_with_diesel")
+_CELL = "(SELECT CAST(floor(CAST(replace(value, ',', '') AS DOUBLE) + 0.5) AS BIGINT) FROM cells WHERE name = '{}')"
+_CELLS = ", ".join(f"{_CELL.format(f'{k}_{c}')} AS {k[0]}_{c}" for k in ("quantity", "average") for c in FUELS)
+
+
+@query(f"WITH cells AS ({INPUTS.replace('SELECT * FROM VALUES', 'SELECT * FROM (VALUES').replace(' AS t(', ') AS t(')}), c AS (SELECT {_CELLS}) SELECT CAST(q_gasoline + q_premium + q_diesel AS DOUBLE) AS quantity, CAST(q_gasoline * a_gasoline + q_premium * a_premium AS DOUBLE) / (q_gasoline + q_premium) AS average_with_premium, CAST(q_gasoline * a_gasoline + q_premium * a_diesel AS DOUBLE) / (q_gasoline + q_premium) AS average_with_diesel, CAST(NULL AS VARCHAR) AS error FROM c")
 def input_summary(spark: SparkSession, d: str) -> DataFrame:
-    got = pricing.input_summary(PARAMS)
-    return spark.createDataFrame([tuple(None if v is None else float(v) for v in got.values())], ", ".join(f"{k} double" for k in got))
+    return pricing.input_summary(inputs(spark))
 
 
 @query(f"WITH {PRICED_CTE} SELECT row_num, regional AS regional_total, CASE WHEN regional IS NOT NULL THEN rank() OVER (ORDER BY regional NULLS LAST) END AS rank FROM priced")
@@ -217,7 +232,7 @@ def price_rank(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.competition_rank(_priced(spark, d), "regional_total").select("row_num", *_long("regional_total", "rank"))
 
 
-_ORDER = "regional NULLS LAST, ag * (100 - pct) NULLS LAST, ap * (100 - pct) NULLS LAST, ad * (100 - pct) NULLS LAST, region, name, address"
+_ORDER = "regional NULLS LAST, ag * (100 - pct) NULLS LAST, ap * (100 - pct) NULLS LAST, ad * (100 - pct) NULLS LAST, region, name, address, row_num"
 
 
 @query(f"WITH {PRICED_CTE} SELECT row_num, row_number() OVER (ORDER BY {_ORDER}) AS position FROM priced")

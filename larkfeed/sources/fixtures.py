@@ -20,19 +20,35 @@ FEED_RAW = f"""SELECT k AS row_num,
  CASE WHEN k % 29 = 0 THEN '0' ELSE CAST(d AS STRING) END AS diesel
  FROM ({_BASE}) AS b WHERE k % 11 <> 3"""
 
+#: Beside plain rows: blank ones, some without an address, 대전 without a district, a region that only begins with 대전,
+#: prices of zero, manual exclusions, and the flag in lower case with spaces.
 MASTER = f"""SELECT k AS row_num,
- CASE WHEN r = 3 AND k % 41 = 0 THEN '공주' WHEN k % 41 = 0 THEN '공주' WHEN r = 0 THEN '대전' WHEN r = 1 THEN '세종' WHEN r = 2 THEN '청주' ELSE {_CITY} END AS region,
- CASE WHEN k % 31 = 0 THEN {_NAME} || 'Old' || c_name ELSE {_NAME} || c_name END AS name,
- CASE r WHEN 0 THEN '대전 ' || {_DISTRICT} WHEN 1 THEN '세종' WHEN 2 THEN '충북 청주시' ELSE '충남 ' || {_CITY} || '시' END || ' 길' || CAST(k AS STRING) || ' 동' || CAST(k % 50 AS STRING) AS address,
+ CASE WHEN k % 97 = 0 THEN '' WHEN k % 53 = 0 THEN '대전 해운대구' WHEN k % 41 = 0 THEN '공주' WHEN r = 0 THEN '대전' WHEN r = 1 THEN '세종' WHEN r = 2 THEN '청주' ELSE {_CITY} END AS region,
+ CASE WHEN k % 97 = 0 THEN '' WHEN k % 31 = 0 THEN {_NAME} || 'Old' || c_name ELSE {_NAME} || c_name END AS name,
+ CASE WHEN k % 97 = 0 OR k % 47 = 0 THEN '' WHEN r = 0 AND k % 8 = 3 THEN '대전 한밭대로 ' || CAST(k AS STRING)
+  ELSE CASE r WHEN 0 THEN '대전 ' || {_DISTRICT} WHEN 1 THEN '세종' WHEN 2 THEN '충북 청주시' ELSE '충남 ' || {_CITY} || '시' END || ' 길' || CAST(k AS STRING) || ' 동' || CAST(k % 50 AS STRING) END AS address,
  CASE WHEN k % 17 = 0 THEN '' WHEN k % 37 = 0 THEN 'OLDBRAND' ELSE c_mktsegment END AS brand,
  CASE WHEN (k % 3 = 0 AND k % 43 <> 0) OR (k % 3 <> 0 AND k % 43 = 0) THEN '셀프' ELSE '일반' END AS self_yn,
  CASE WHEN k % 23 = 0 THEN NULL ELSE CAST(g + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 6 = 0 THEN 10 ELSE 0 END AS INT) END AS gasoline,
- CASE WHEN k % 4 = 0 THEN CAST(p AS INT) END AS premium,
+ CASE WHEN k % 4 = 0 THEN CAST(p AS INT) WHEN k % 4 = 1 THEN 0 END AS premium,
  CASE WHEN k % 29 = 0 THEN NULL ELSE CAST(d AS INT) END AS diesel,
  CASE WHEN k % 10 = 0 THEN 'U' ELSE '' END AS ultra_flag,
- CASE WHEN k % 2 = 0 THEN 'Y' ELSE 'N' END AS currency_apply
+ CASE WHEN k % 6 = 4 THEN ' y ' WHEN k % 2 = 0 THEN 'Y' ELSE 'N' END AS currency_apply,
+ k % 15 = 0 AS smart_excluded
  FROM ({_BASE}) AS b WHERE r < 7 AND k % 13 <> 5"""
 
+#: The input cells and the table of rates, as text: the last rate of a label that isn't blank counts.
+INPUTS = "SELECT * FROM VALUES ('quantity_gasoline', '30'), ('quantity_premium', '0.0'), ('quantity_diesel', '1,9.5'), ('average_gasoline', '1,700'), ('average_premium', '1900'), ('average_diesel', '1499.5'), ('smart_discount', '-25') AS t(name, value)"
+RATES = "SELECT * FROM VALUES (4, '대전', '0.5'), (5, '대전', '0.07'), (6, ' 세종 ', '0.07'), (7, '청주', '0.0700'), (8, '공주', '0.07'), (9, '보령', '0.07'), (10, '아산', '0.07'), (11, '천안', '0.07'), (12, '천안', ''), (13, '서울', '0.9') AS t(row_num, region, rate)"
+
+
+def inputs(spark: SparkSession) -> DataFrame:
+    return spark.sql(INPUTS)
+
+
+def rates(spark: SparkSession) -> DataFrame:
+    return spark.sql(RATES)
+
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import fcntl
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -39,23 +40,30 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], verify: Callable[[dict[str, DataFrame]], None] | None = None) -> str:
-    """Write all tables as one version and make it current. Until then readers see the version before."""
+    """Write all tables as one version and make it current. Until then readers see the version before; a version that
+    fails is removed. The last check and the replacement of the pointer are one step among all who commit."""
     before = current(root)
     version = f"v-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    back = {name: spark.read.parquet(f"{root}/{version}/{name}") for name in tables}
-    for name, df in tables.items():
-        if back[name].dtypes != df.dtypes:
-            raise RuntimeError(f"{name} was read back with another schema")
-    if verify:
-        verify(back)
-    if current(root) != before:
-        raise RuntimeError("another version was committed meanwhile")
-    fresh = Path(root, f"{POINTER}.{version}")
-    with open(fresh, "w") as f:
-        f.write(version)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(fresh, Path(root, POINTER))
+    try:
+        for name, df in tables.items():
+            df.write.parquet(f"{root}/{version}/{name}")
+        back = {name: spark.read.parquet(f"{root}/{version}/{name}") for name in tables}
+        for name, df in tables.items():
+            if back[name].dtypes != df.dtypes:
+                raise RuntimeError(f"{name} was read back with another schema")
+        if verify:
+            verify(back)
+        with open(Path(root, "_COMMIT"), "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if current(root) != before:
+                raise RuntimeError("another version was committed meanwhile")
+            fresh = Path(root, f"{POINTER}.{version}")
+            with open(fresh, "w") as f:
+                f.write(version)
+                f.flush()
+                os.fsync(f.fileno())
+            os.replace(fresh, Path(root, POINTER))
+    except BaseException:
+        shutil.rmtree(Path(root, version), ignore_errors=True)
+        raise
     return version

@@ -11,6 +11,7 @@ from larkfeed.operators.feed import checked, duplicate_keys, typed
 from larkfeed.plans import job
 from larkfeed.plans.queries import ORACLES, QUERIES
 from larkfeed.sources import fixtures, store
+from larkfeed.streaming import snapshots
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -52,7 +53,7 @@ def test_regions(spark):
     cases = [("대전 서구", "대전광역시 서구 1", "ok"), ("대전", "대전 광역시 서구 1", "ok"), ("세종특별자치시", "세종특별자치시 1", "address only"), ("충남 천안시", "충남 천안 서북구 1", "ok"), ("충남 천안시", "충남 천안 동남구 1", "region only"), ("충남 아산시", "충남 천안시 1", "disagree"), ("충남 홍성군", "충남 홍성군 1", "dropped")]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, r string, a string, want string")
     assert df.where(region.strict(F.col("r"), F.col("a"))[1] != F.col("want")).count() == 0
-    loose = [("천안", "x", "천안"), ("대전", "서구 둔산로", "대전"), ("대전", "강남구", None), ("대전", "세종 1", "세종"), ("", "충청남도 공주시 1", "공주")]
+    loose = [("대전", "대전 한밭대로 1", None), ("대전 해운대구", "서울 1", None), ("대전 해운대구", "충남 아산시 1", "아산"), ("대전 서구청", "x", "대전"), ("부산", "대전광역시 유성구 1", "대전"), ("천안", "x", "천안"), ("대전", "서구 둔산로", "대전"), ("대전", "강남구", None), ("대전", "세종 1", "세종"), ("", "충청남도 공주시 1", "공주")]
     df = spark.createDataFrame(loose, "r string, a string, want string")
     assert df.where(~region.flexible(F.col("r"), F.col("a")).eqNullSafe(F.col("want"))).count() == 0
 
@@ -62,6 +63,115 @@ def test_rank_and_positions(spark):
     assert {r["id"]: r["rank"] for r in reconcile.competition_rank(df, "t").collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: None}
     got = reconcile.positions(df, "t", [F.col("id").desc()]).collect()
     assert [r["id"] for r in sorted(got, key=lambda r: r["position"])] == [1, 3, 2, 4, 5]
+    # one key in most rows, nulls, many partitions
+    values = [7 if i % 3 else None if i % 2 else i * 37 % 1000 - 500 for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, t int").repartition(13)
+    order = sorted(range(3000), key=lambda i: (values[i] is None, values[i] or 0, i))
+    assert [r["id"] for r in reconcile.positions(df, "t", [F.col("id")]).orderBy("position").collect()] == order
+    known = sorted(v for v in values if v is not None)
+    assert all(r["rank"] == (None if r["t"] is None else known.index(r["t"]) + 1) for r in reconcile.competition_rank(df, "t").collect())
+    empty = df.where("false")
+    assert reconcile.positions(empty, "t", [F.col("id")]).count() == reconcile.competition_rank(empty, "t").count() == 0
+
+
+MASTER_ROW = "row_num int, region string, name string, address string, brand string, self_yn string, gasoline int, premium int, diesel int, ultra_flag string, currency_apply string, smart_excluded boolean"
+
+
+def master_of(spark, *rows):
+    """Rows (row_num, region, name, address, changes)."""
+    base = {"brand": "b", "self_yn": "일반", "gasoline": 1000, "premium": None, "diesel": 900, "ultra_flag": "", "currency_apply": "N", "smart_excluded": False}
+    return spark.createDataFrame([(n, r, m, a, *({**base, **x}.values())) for n, r, m, a, x in rows], MASTER_ROW)
+
+
+def feed_of(spark, *rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_num int, region string, name string, address string, brand string, self_yn string, gasoline string, premium string, diesel string")
+
+
+def test_blank_and_unaddressed_rows_and_exclusions(spark):
+    old = master_of(
+        spark, (1, "청주", "현대오일뱅크 직영 A", "충북 청주시 1", {"smart_excluded": True, "currency_apply": "Y"}), (2, " ", "", "", {}), (3, "청주", "no address", " ", {"gasoline": 0, "smart_excluded": True}),
+        (4, "청주", "현대오일뱅크 직영 B", "충북 청주시 2", {}), (9, "청주", "gone", "충북 청주시 9", {"ultra_flag": "U", "currency_apply": "Y", "smart_excluded": True}),
+    )
+    feed = typed(checked(feed_of(spark, *(("충북 청주시", f"현대오일뱅크 직영 {n}", f"충청북도 청주시 {i}", "b", "일반", "1,000", "-", "900") for i, n in ((1, "A"), (2, "B"), (3, "C"))))))
+    pairs = reconcile.compared(feed, old)
+    assert {r["kind"]: r["n"] for r in pairs.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"matched": 2, "unaddressed": 1, "closed": 1, "new": 1}
+    assert gates.totals(pairs).first().asDict() == {"existing": 4, "closed": 1, "added": 1, "changed": 0}
+    out = reconcile.merged(pairs, reconcile.template(reconcile.keyed(old)))
+    got = {r["name"]: r for r in pricing.priced(out, pricing.Params()).collect()}
+    assert set(got) == {"현대오일뱅크 직영 A", "현대오일뱅크 직영 B", "현대오일뱅크 직영 C", "no address"}
+    a, b, c, d = got["현대오일뱅크 직영 A"], got["현대오일뱅크 직영 B"], got["현대오일뱅크 직영 C"], got["no address"]
+    assert (a["smart_discount"], b["smart_discount"], c["smart_discount"], d["smart_discount"]) == (0, -25, -25, 0)
+    assert (c["ultra_flag"], c["currency_apply"], c["smart_excluded"], a["smart_excluded"], d["smart_excluded"]) == ("U", "Y", False, True, True)
+    assert d["gasoline"] is None and d["total_price"] is None and d["region_rate"] is None and a["region_rate"] == Decimal("0.07")
+
+
+def test_pricing_without_quantities_and_with_rounding(spark):
+    rows = reconcile.keyed(master_of(spark, (1, "대전", "x", "a", {"gasoline": 1001, "currency_apply": "y"}), (2, "대전", "y", "b", {"gasoline": None})))
+    none = pricing.priced(rows, pricing.Params(quantity=dict.fromkeys(("gasoline", "premium", "diesel"), Decimal(0)))).collect()
+    assert all(r["total_price"] is None and r["unit_price_with"] is None and r["fuel_total_text"] is None and r["sort_key"] == 10**15 for r in none)
+    half = pricing.priced(rows, pricing.Params(quantity={"gasoline": Decimal("0.5"), "premium": Decimal(0), "diesel": Decimal(0)})).orderBy("row_num").collect()
+    assert (half[0]["total_price"], half[0]["fuel_total_text"], half[0]["region_discount"]) == (Decimal("500.5"), "휘발유 501원", 35) and half[1]["total_price"] is None
+    missing = pricing.priced(rows, pricing.Params(rates={})).orderBy("row_num").collect()
+    assert [r["missing_rate"] for r in missing] == [True, False]
+
+
+def test_params(spark):
+    got = pricing.load_params(fixtures.inputs(spark), fixtures.rates(spark))
+    assert got.quantity == {"gasoline": 30, "premium": 0, "diesel": Decimal("19.5")} and got.smart_discount == -25
+    assert got.average == {"gasoline": 1700, "premium": 1900, "diesel": 1500} and got.rates == dict.fromkeys(region.REGIONS, Decimal("0.07"))
+    with pytest.raises(ValueError, match="average_diesel"):
+        pricing.load_params(fixtures.inputs(spark).withColumn("value", F.when(F.col("name") != "average_diesel", F.col("value"))), fixtures.rates(spark))
+    with pytest.raises(ValueError, match="천안"):
+        pricing.load_params(fixtures.inputs(spark), fixtures.rates(spark).withColumn("rate", F.when(F.col("region") == "천안", "7%").otherwise(F.col("rate"))))
+    cells = lambda **x: spark.createDataFrame([(k, v) for k, v in ({n: "0" for n in pricing.INPUTS} | x).items()], "name string, value string")
+    summary = lambda **x: pricing.input_summary(cells(**x)).first().asDict()
+    assert summary() == {"quantity": 0.0, "average_with_premium": None, "average_with_diesel": None, "error": None}
+    assert summary(quantity_diesel="5")["error"] == "nothing to divide by"
+    assert summary(average_premium="")["error"] == "average_premium is empty"
+    assert summary(quantity_gasoline="1", quantity_premium="3", average_gasoline="10", average_premium="20", average_diesel="30")["average_with_diesel"] == 25.0
+
+
+def test_schemas_and_order_of_errors(spark):
+    with pytest.raises(ValueError, match="premium is missing"):
+        checked(fixtures.feed_raw(spark, SF).drop("premium"))
+    with pytest.raises(ValueError, match="gasoline is string"):
+        reconcile.keyed(fixtures.master(spark, SF).withColumn("gasoline", F.col("gasoline").cast("string")))
+    rows = [("r", "", "a", "b", "?", "x", "x", "x"), ("r", "", "a", "b", "?", "x", "x", "0"), ("r", "", "a", "b", "?", "0", "x", "0"), ("r", "n", "a", "b", "?", "0", "x", "0"), ("r", "n", "a", "b", "?", "0", "0", "0"), ("r", "n", " ", "b", "?", "x", "x", "x"), ("", " ", "", "", "", "", "", "")]
+    assert [r["error"] for r in checked(feed_of(spark, *rows)).orderBy("row_num").collect()] == ["bad diesel", "bad gasoline", "no name", "bad premium", "bad service", "no address"]
+
+
+def test_result_gates(spark):
+    counts = lambda *x: spark.createDataFrame([(r, 9, a, b) for r, a, b in x], "region string, feed_rows long, existing_rows long, matched_rows long")
+    sums = lambda existing, closed: spark.createDataFrame([(existing, closed)], "existing long, closed long")
+    gates.check_result(counts(("대전", 3, 2), ("세종", 0, 0)), sums(10, 4))
+    for c, s, message in ((counts(("세종", 3, 1), ("대전", 5, 2)), sums(10, 0), "대전: 2 of 5"), (counts(("대전", 0, 0)), sums(0, 0), "no rows"), (counts(("대전", 2, 1)), sums(10, 5), "would be closed")):
+        with pytest.raises(gates.GateError, match=message):
+            gates.check_result(c, s)
+    old = fixtures.master(spark, SF)
+    twice = reconcile.keyed(old.unionByName(old.where("row_num = 2").withColumn("row_num", F.lit(7777).cast("long"))))
+    with pytest.raises(gates.GateError, match="7777"):
+        gates.check_keys(duplicate_keys(twice.where("address_key is not null"), "address_key", row="row_num"))
+    gates.check_keys(duplicate_keys(reconcile.keyed(old).where("address_key is not null"), "address_key", row="row_num"))
+
+
+def test_log_order_and_escapes(spark):
+    pairs = reconcile.compared(typed(checked(fixtures.feed_raw(spark, SF))), fixtures.master(spark, SF))
+    log = reconcile.in_log_order(reconcile.change_log(pairs)).collect()
+    parts = [[r for r in log if r["kind_ord"] == k] for k in (0, 1, 2)]
+    assert log == [r for p in parts for r in p] and all(parts)
+    assert all([r["row_num"] for r in p] == sorted(r["row_num"] for r in p) for p in (parts[0], parts[2]))
+    assert [(r["region"], r["name"], r["address"]) for r in parts[1]] == sorted((r["region"], r["name"], r["address"]) for r in parts[1])
+    assert job.terminal_safe("a\x1b[31m\u202eb\n") == "a\\u{1b}[31m\\u{202e}b\\u{a}"
+
+
+def test_snapshots(spark, tmp_path):
+    """Each file of a folder is one run of the batch plan, once."""
+    feed = fixtures.feed_raw(spark, SF)
+    feed.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    for _ in range(2):
+        snapshots.on_snapshots(spark, str(tmp_path / "in"), feed.schema, str(tmp_path / "state"), lambda df: seen.append(typed(checked(df)).count())).awaitTermination()
+    assert seen == [typed(checked(feed)).count()]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -81,15 +191,17 @@ def test_apply_twice_and_commit(spark, tmp_path):
     feed, old = fixtures.feed_raw(spark, "/root/testdata/sf0.01"), fixtures.master(spark, "/root/testdata/sf0.01")
     root = str(tmp_path / "state")
     lines = job.run(spark, root, feed, old, pricing.Params(), datetime(2026, 1, 1, 20, tzinfo=timezone.utc))
-    assert "existing: 1079" in lines and "closed: 99" in lines
+    assert any(x.startswith("existing: ") for x in lines) and "... of" in " ".join(lines)
     first = store.current(root)
+    stored = store.read(spark, root, "change_log")
+    assert "kind_ord" not in stored.columns and "smart_excluded" in store.read(spark, root, "master").columns
     again = store.read(spark, root, "master").withColumn("row_num", F.col("position"))
     pairs = reconcile.compared(typed(checked(feed)), again)
     assert reconcile.change_log(pairs).count() == 0
     assert store.read(spark, root, "change_log").first()["as_of"] == "2026-01-02"
     with pytest.raises(RuntimeError):
         store.commit(spark, root, {"x": spark.range(1)}, verify=lambda _: (_ for _ in ()).throw(RuntimeError("no")))
-    assert store.current(root) == first
+    assert store.current(root) == first and len(list((tmp_path / "state").glob("v-*"))) == 1
     with store.run_lock(root), pytest.raises(RuntimeError), store.run_lock(root):
         pass
 
