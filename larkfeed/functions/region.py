@@ -10,6 +10,8 @@ from .text import address_key, tokens
 #: Regions in their order, and the districts of the first.
 REGIONS = ("대전", "세종", "청주", "공주", "보령", "아산", "천안")
 DISTRICTS = ("대덕구", "동구", "서구", "유성구", "중구")
+#: How a key begins that counts for a region, whose label is the last two letters: 대전 with a district after it only.
+_PREFIX = f"^(?:대전(?={'|'.join(DISTRICTS)})|세종|(?:충북)?청주|(?:충남)?(?:{'|'.join(REGIONS[3:])}))"
 
 
 def of_region_text(c: Column) -> Column:
@@ -48,17 +50,7 @@ def flexible(region: Column, address: Column) -> Column:
 def flexible_of_keys(r: Column, a: Column) -> Column:
     """The same from address keys; each is used many times, so let them be columns that are computed already."""
 
-    def begins(c: Column, *with_: str) -> Column:
-        out = F.lit(False)
-        for w in with_:
-            out = out | c.startswith(w)
-        return out
-
     def prefix(c: Column) -> Column:
-        # 대전 counts with a district after it only
-        out = F.when(begins(c, *(f"{REGIONS[0]}{d}" for d in DISTRICTS)), REGIONS[0]).when(c.startswith("세종"), "세종").when(begins(c, "청주", "충북청주"), "청주")
-        for city in REGIONS[3:]:
-            out = out.when(begins(c, city, f"충남{city}"), city)
-        return out
+        return F.nullif(F.right(F.regexp_extract(c, _PREFIX, 0), F.lit(2)), F.lit(""))
 
-    return F.coalesce(F.when(r != REGIONS[0], prefix(r)), prefix(a), F.when((r == REGIONS[0]) & begins(a, *DISTRICTS), REGIONS[0]))
+    return F.coalesce(F.when(r != REGIONS[0], prefix(r)), prefix(a), F.when((r == REGIONS[0]) & a.rlike(f"^({'|'.join(DISTRICTS)})"), REGIONS[0]))

@@ -71,8 +71,8 @@ PAIRS_CTE = f"""{FEED_CTE}, {MASTER_CTE}, pairs AS (SELECT coalesce(f.address_ke
  FROM feed f FULL OUTER JOIN master m ON f.address_key = m.address_key)"""
 _LOG = "SELECT coalesce(new_region, old_region) AS region, coalesce(new_name, old_name) AS name, coalesce(new_address, old_address) AS address, reason, " + ", ".join(f"old_{c}, new_{c}, new_{c} - old_{c} AS delta_{c}" for c in FUELS) + " FROM pairs WHERE reason <> ''"
 LOG_COLUMNS = ["region", "name", "address", "reason", *(f"{s}_{c}" for c in FUELS for s in ("old", "new", "delta"))]
-#: The prices of the master in whole won: quantities 30, 0 and 20, discount -25, rate 7 %.
-PRICED_CTE = f"""{MASTER_CTE}, s AS (SELECT *, CASE WHEN contains(name, '현대오일뱅크') AND contains(name, '직영') AND NOT smart_excluded THEN -25 ELSE 0 END AS sd, CASE WHEN upper(trim(currency_apply)) = 'Y' THEN 7 ELSE 0 END AS pct FROM old),
+#: The prices of the master in whole won: quantities 30, 0 and 20, discount -25, rate 7 % in the seven regions and none elsewhere.
+PRICED_CTE = f"""{MASTER_CTE}, s AS (SELECT *, CASE WHEN contains(name, '현대오일뱅크') AND contains(name, '직영') AND NOT smart_excluded THEN -25 ELSE 0 END AS sd, CASE WHEN upper(trim(currency_apply)) <> 'Y' THEN 0 WHEN region IN ('대전', '세종', '청주', '공주', '보령', '아산', '천안') THEN 7 END AS pct FROM old),
  t AS (SELECT *, gasoline + sd AS ag, premium + sd AS ap, diesel + sd AS ad, CAST((gasoline + sd) * 30 + (diesel + sd) * 20 AS BIGINT) AS total FROM s),
  priced AS (SELECT *, CAST(total * pct // 100 AS BIGINT) AS discount, CAST(total - total * pct // 100 AS BIGINT) AS regional FROM t)"""
 
