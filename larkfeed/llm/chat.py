@@ -11,9 +11,13 @@ loss mask is a range of code points of the formatted turn: an assistant's escape
 
 Turn rows are canonical already and keep their roles as they are; other layouts' names of roles are mapped.
 
+Fields of other layouts beside those of one are allowed: if just one layout's paths are all there and it isn't part of
+another that is there too, it is taken.
+
 Cases: null roles and texts are empty; turns are ordered by turn, then role and text, null turns
-first; repeated rows are turns each; a record of no known layout has no turns and is counted by
-`unmapped`; an empty table gives no rows; unknown columns and fields are ignored.
+first; repeated rows are turns each; a JSON record that can't be mapped (no JSON, no known layout, several layouts, no turns, text that isn't
+Unicode) has no turns and is returned by `unmapped` with the reason; a conv_id that isn't a whole number of 64 bits is replaced by a
+hash of the record; an empty table gives no rows; unknown columns and fields are ignored.
 """
 
 from __future__ import annotations
@@ -85,9 +89,15 @@ def value_paths(value: object, at: str = "") -> set[str]:
 
 
 def choose(paths: set[str]) -> dict | None:
-    """The layout whose fingerprint the known paths have; `conv_id` alone may come with any."""
+    """The layout whose fingerprint the known paths have; `conv_id` alone may come with any. Else the one layout whose
+    paths are all there, if no other is but its parts."""
     known = paths & KNOWN
-    return BY_FINGERPRINT.get(fingerprint(known)) or BY_FINGERPRINT.get(fingerprint(known - {ID}))
+    exact = BY_FINGERPRINT.get(fingerprint(known)) or BY_FINGERPRINT.get(fingerprint(known - {ID}))
+    if exact:
+        return exact
+    there = [x for x in LAYOUTS if layout_paths(x) <= known]
+    most = [x for x in there if not any(layout_paths(x) < layout_paths(y) for y in there)]
+    return most[0] if len(most) == 1 else None
 
 
 def table_turns(df: DataFrame) -> DataFrame:
@@ -114,35 +124,61 @@ def role(c: Column) -> Column:
     return out
 
 
+def plain_text(value: object) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def mapped(line: str | None) -> tuple[list[tuple[int, int, str, str]], str | None]:
+    """(turns of one record, or why it has none)."""
+    try:
+        record = json.loads(line or "null")
+    except (ValueError, RecursionError):
+        return [], "no JSON"
+    if not isinstance(record, dict):
+        return [], "no record"
+    paths = value_paths(record)
+    layout = choose(paths)
+    if layout is None:
+        lists = [x["each"] for x in LAYOUTS if "each" in x and record.get(x["each"]) == []]
+        return [], "no turns" if lists else "no one layout" if any(layout_paths(x) <= paths for x in LAYOUTS) else "unknown layout"
+    if "each" in layout:
+        if not isinstance(record[layout["each"]], list):
+            return [], "unknown layout"
+        turns = [(plain_text(m.get(layout["role"])), plain_text(m.get(layout["text"]))) for m in record[layout["each"]] if isinstance(m, dict)]
+    elif "row" in layout:
+        turns = [(plain_text(record["role"]), plain_text(record["text"]))]
+    else:
+        turns = [(who, "\n".join(filter(None, (plain_text(record[f]) for f in fields)))) for who, fields in layout["parts"]]
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool) and -(1 << 63) <= v < 1 << 63
+    conv = record.get(ID)
+    conv = conv if whole(conv) else int.from_bytes(hashlib.sha256(line.encode()).digest()[:8], "big", signed=True)
+    first = record["turn"] if "row" in layout and whole(record.get("turn")) else 0
+    try:
+        for who, x in turns:
+            (who + x).encode()
+    except UnicodeEncodeError:
+        return [], "not Unicode"
+    return [(conv, first + i, who if "row" in layout else ROLES.get(who.lower(), who), x) for i, (who, x) in enumerate(turns)], None
+
+
 def record_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("record", pa.string()), ("reason", pa.string())])
     for batch in batches:
         rows = []
         for line in batch.column(0).to_pylist():
-            try:
-                record = json.loads(line or "null")
-            except ValueError:
-                continue
-            layout = choose(value_paths(record)) if isinstance(record, dict) else None
-            if layout is None:
-                continue
-            text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-            if "each" in layout:
-                turns = [(text(m.get(layout["role"])), text(m.get(layout["text"]))) for m in record[layout["each"]] if isinstance(m, dict)]
-            elif "row" in layout:
-                turns = [(text(record["role"]), text(record["text"]))]
-            else:
-                turns = [(who, "\n".join(filter(None, (text(record[f]) for f in fields)))) for who, fields in layout["parts"]]
-            conv = record.get(ID)
-            conv = conv if isinstance(conv, int) else int.from_bytes(hashlib.sha256((line or "").encode()).digest()[:8], "big", signed=True)
-            first = record.get("turn") if "row" in layout and isinstance(record.get("turn"), int) else 0
-            rows += [(conv, first + i, who if "row" in layout else ROLES.get(who.lower(), who), x) for i, (who, x) in enumerate(turns)]
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+            turns, reason = mapped(line)
+            rows += [(*t, None, None) for t in turns] if reason is None else [(None, None, None, None, line, reason)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def json_turns(records: DataFrame) -> DataFrame:
     """Canonical turns of JSON records (record string), each of any known layout."""
-    return records.select("record").mapInArrow(record_turns, TURNS)
+    return records.select("record").mapInArrow(record_turns, f"{TURNS}, record string, reason string").where("reason is null").select("conv_id", "turn", "role", "text")
+
+
+def unmapped(records: DataFrame) -> DataFrame:
+    """(record, reason) of the JSON records that have no turns."""
+    return records.select("record").mapInArrow(record_turns, f"{TURNS}, record string, reason string").where("reason is not null").select("record", "reason")
 
 
 def escape(c: Column) -> Column:

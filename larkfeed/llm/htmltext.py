@@ -6,13 +6,17 @@ label and label by label. It is trained on the labelled pages of `htmlpages` by
 exact likelihood (forward-backward), and pages are decoded by Viterbi. Scripts, styles, heads and
 comments are markup and never blocks.
 
+The ancestors' features are kept up as elements open and close, for decoding as one sum of weights, so the work
+is in proportion to the page's length however deep it nests.
+
 Cases: null or empty html gives an empty text; broken markup is read as browsers do (unclosed tags
-end with their parent); `<br>` is white space; repeated rows are read each; an empty table gives no
-rows; further columns are ignored.
+end with their parent, the rest of a page whose last tag never ends is no text); `<br>` is white space; formulas and the
+fallback text of objects are text; repeated rows are read each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -25,117 +29,172 @@ from .common import slices, small_batches
 from .htmlpages import page
 
 #: Fixed values of HTML: elements whose content is no text, that have no content, that don't cut text.
-OPAQUE = frozenset("script style noscript template svg head title iframe object canvas math".split())
+OPAQUE = frozenset("script style noscript template svg head title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math mi mn mo mrow mtext msub msup mfrac msqrt object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An element that opens ends these, if they are open nearer than the elements of the second set.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body html article section div main aside nav header footer form select".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""", re.S)
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</[^a-zA-Z][^>]*>", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: For pages with a quote that never ends.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_HEAD_END = re.compile(r"</head\s*>|<body[\s>]", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 STEPS, PAGES, RATE = 120, 400, 0.15
 
 
-def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
-    """(text as written, ancestors as (tag, words), characters of it in links) of each leaf block."""
+class Open:
+    """The open elements, and what they say together of a block within them."""
+
+    def __init__(self, score: dict[str, int] | None):
+        self.score, self.tags, self.features = score, [], []
+        self.at: dict[str, list[int]] = {}  # where in the stack each tag is
+        self.blocks, self.scopes = [], []  # places of elements that aren't inline, and of those that bound an implied end
+        self.seen: dict[str, int] = {}
+        self.total = 0
+
+    def push(self, tag: str, attributes: str) -> None:
+        own = []
+        if tag not in INLINE:
+            if tag not in ("html", "body"):
+                own.append(f"in:{tag}")
+            own += [f"name:{w.lower()}" for a, b, c in _NAMES.findall(attributes) for w in _WORD.findall(a or b or c)] if attributes else []
+            self.blocks.append(len(self.tags))
+        for f in own:
+            n = self.seen.get(f, 0)
+            self.seen[f] = n + 1
+            if not n and self.score is not None:
+                self.total += self.score.get(f, 0)
+        if tag in SCOPE:
+            self.scopes.append(len(self.tags))
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.features.append(own)
+
+    def close(self, upto: int) -> None:
+        while len(self.tags) > upto:
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.tags):
+                self.blocks.pop()
+            if self.scopes and self.scopes[-1] == len(self.tags):
+                self.scopes.pop()
+            for f in self.features.pop():
+                self.seen[f] -= 1
+                if not self.seen[f]:
+                    del self.seen[f]
+                    if self.score is not None:
+                        self.total -= self.score.get(f, 0)
+
+    def end(self, tag: str) -> None:
+        """An end tag: an inline one doesn't end the block around it."""
+        if (places := self.at.get(tag)) and not (tag in INLINE and self.blocks and self.blocks[-1] > places[-1]):
+            self.close(places[-1])
+
+    def imply(self, tag: str) -> None:
+        """What the beginning of a block ends: an open paragraph, and items beside it up to the next list or table."""
+        bound = self.scopes[-1] if self.scopes else -1
+        if tag in ENDS:
+            places = [p[bisect.bisect(p, bound)] for t in ("p", *ENDS[tag]) if (p := self.at.get(t)) and p[-1] > bound]
+            if places:
+                self.close(min(places))
+        elif (p := self.at.get("p")) and p[-1] > bound:
+            self.close(p[-1])
+
+    def state(self) -> tuple:
+        """(weights of the features of all ancestors, or the features themselves; tag of the nearest block)."""
+        return self.total if self.score is not None else frozenset(self.seen), self.tags[self.blocks[-1]] if self.blocks else ""
+
+
+def leaf_blocks(html: str, score: dict[str, int] | None = None) -> list[tuple[str, tuple, int]]:
+    """(text as written, ancestors as of Open.state, characters of it in links) of each leaf block."""
     out: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, tuple]] = []
-    parts: list[str] = []
-    linked = depth = at = 0
-    chain: tuple = ()
+    stack, parts = Open(score), []
+    linked = at = 0
+    around: tuple = ()
+    tag_of, head_ends = _TAG, True
 
     def cut() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, chain, linked))
+                out.append((text, around, linked))
             parts.clear()
         linked = 0
 
-    def close(upto: int) -> None:
-        nonlocal depth
-        depth -= sum(t == "a" for t, _ in stack[upto:])
-        del stack[upto:]
+    def add(text: str) -> None:
+        nonlocal linked, around
+        if not parts:
+            around = stack.state()
+        parts.append(text)
+        linked += len(text) if stack.at.get("a") else 0
 
     size = len(html)
     while at < size:
-        m = _TAG.search(html, at)
-        text = html[at : m.start() if m else size]
-        if text:
-            if not parts:
-                chain = tuple(x for x in stack if x[0] not in INLINE)
-            parts.append(text)
-            linked += len(text) if depth > 0 else 0
+        m = _OPEN.search(html, at)
+        if (upto := m.start() if m else size) > at:
+            add(html[at:upto])
         if not m:
             break
-        at = m.end()
-        if not m[2]:
+        at = upto
+        if (m := _COMMENT.match(html, at)) is not None:
+            at = m.end()
             continue
-        tag = m[2].lower()
+        if (m := tag_of.match(html, at)) is None and tag_of is _TAG:
+            tag_of = _LOOSE  # a quote runs to the end of the page: from here on quotes are nothing special
+            m = tag_of.match(html, at)
+        if m is None:
+            break  # a tag that never ends
+        at, tag = m.end(), m[2].lower()
         if m[1]:
             if tag not in INLINE:
                 cut()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+            stack.end(tag)
             continue
         if tag in OPAQUE:
-            if tag not in INLINE:
+            if tag != "svg":
                 cut()
             if tag == "head":
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
+                end = _HEAD_END.search(html, at) if head_ends else None
+                head_ends = end is not None
                 at = (end.start() if end[0][1] != "/" else end.end()) if end else at
             elif not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else size
+                # what browsers read as raw text runs to the end, other elements end with their parent
+                at = end.end() if end else size if tag != "svg" else at
             continue
-        if tag == "br" or tag == "img":
+        if tag in ("br", "img"):
             if parts:
                 parts.append(" ")
             continue
         if tag not in INLINE:
             cut()
             if tag not in VOID:
-                ending = ENDS.get(tag, ())
-                for i in range(len(stack) - 1, -1, -1):
-                    t = stack[i][0]
-                    if t == "p" or t in ending:
-                        close(i)
-                        if t == "p" and not ending:
-                            break
-                    elif t in SCOPE:
-                        break
+                stack.imply(tag)
         if tag not in VOID and not (m[3].endswith("/") and tag not in ("p", "div", "a", "span")):
-            names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if m[3] else ""
-            stack.append((tag, tuple(w.lower() for w in _WORD.findall(names))))
-            depth += tag == "a"
+            stack.push(tag, m[3])
     cut()
     return out
 
 
+def own_features(text: str, tag: str, linked: int) -> list[str]:
+    """Features of a block beside those of its ancestors."""
+    n = len(text)
+    out = ["*", f"at:{tag}", f"size:{min(7, n.bit_length())}", f"links:{min(4, 4 * linked // max(1, n))}", "ends" if text[-1] in ".?!" else "open"]
+    return [*out, "rights"] if "©" in text else out
+
+
 def features(blocks: list[tuple[str, tuple, int]]) -> list[set[str]]:
-    out = []
-    for text, chain, linked in blocks:
-        f = {"*"}
-        for tag, names in chain:
-            if tag not in ("html", "body"):
-                f.add(f"in:{tag}")
-            f.update(f"name:{n}" for n in names)
-        f.add(f"at:{chain[-1][0] if chain else ''}")
-        n = len(text)
-        f.add(f"size:{min(7, n.bit_length())}")
-        f.add(f"links:{min(4, 4 * linked // max(1, n))}")
-        f.add("ends" if text[-1] in ".?!" else "open")
-        if "©" in text:
-            f.add("rights")
-        out.append(f)
-    return out
+    return [{*around, *own_features(text, tag, linked)} for text, (around, tag), linked in blocks]
+
+
+#: Weights are whole numbers of this fraction, so that sums come out the same in any order.
+UNIT = 1 << 32
 
 
 class Chain:
@@ -143,17 +202,19 @@ class Chain:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
-        self.score = {k: float(weights[i, 1] - weights[i, 0]) for k, i in names.items()}
-        self.pair = (moves - moves[0, 0]).tolist()
+        self.score = {k: round(float(weights[i, 1] - weights[i, 0]) * UNIT) for k, i in names.items()}
+        self.pair = [[round(float(v) * UNIT) for v in row] for row in moves - moves[0, 0]]
+
+    def sums(self, rows: list[set[str]]) -> list[int]:
+        return [sum(self.score.get(k, 0) for k in f) for f in rows]
 
-    def decode(self, rows: list[set[str]]) -> list[int]:
-        """The best labels, by Viterbi."""
-        if not rows:
+    def decode(self, sums: list[int]) -> list[int]:
+        """The best labels of blocks with these sums of weights for label 1, by Viterbi."""
+        if not sums:
             return []
-        get, (a, b), (c, d) = self.score.get, self.pair[0], self.pair[1]
-        zero, one, back = 0.0, sum(get(k, 0.0) for k in rows[0]), []
-        for f in rows[1:]:
-            s = sum(get(k, 0.0) for k in f)
+        (a, b), (c, d) = self.pair
+        zero, one, back = 0, sums[0], []
+        for s in sums[1:]:
             x, y = (0, zero + a) if zero + a >= one + c else (1, one + c), (0, zero + b) if zero + b >= one + d else (1, one + d)
             back.append((x[0], y[0]))
             zero, one = x[1], y[1] + s
@@ -221,8 +282,9 @@ def fit(rows: list | None = None, steps: int = STEPS, rate: float = RATE) -> Cha
 
 
 def main_text(html: str | None, chain: Chain) -> str:
-    blocks = leaf_blocks(html or "")
-    return "\n\n".join(b[0] for b, label in zip(blocks, chain.decode(features(blocks)), strict=True) if label)
+    blocks, get = leaf_blocks(html or "", chain.score), chain.score.get
+    sums = [around + sum(get(k, 0) for k in own_features(text, tag, linked)) for text, (around, tag), linked in blocks]
+    return "\n\n".join(b[0] for b, label in zip(blocks, chain.decode(sums), strict=True) if label)
 
 
 def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
