@@ -2,17 +2,20 @@
 
 Every string of LENGTH bytes is routed by the smallest hash of its K-byte grams, so equal strings meet
 wherever they stand. A run of strings with the same smallest hash is a piece: its bytes are the
-strings' bytes, overlapping. Most repeats are settled without any bytes: a piece equal to one of
-a smaller document is covered as a whole. What is left are pieces whose route leads other pieces too;
-their bytes are fetched, and a suffix array over each batch of routes orders the strings.
+strings' bytes, overlapping. Hashes only decide what meets: routes that lead to one document alone are dropped, the bytes of
+all other pieces are fetched, and everything that is removed was found equal by sorting bytes. Equal pieces are one
+class, of which the smallest document's stands for all; a suffix array over the strings of a route's different
+pieces then finds what is equal in part.
 
-Deep-shallow sorting: a multikey quicksort by machine words down to SHALLOW words; the groups that
+Deep-shallow sorting: a multikey quicksort, which splits each group by a pivot word into less, equal and
+greater and goes on to the next word with the equal ones, down to SHALLOW words; the groups that
 still agree are ordered by blind tries, all groups at once: every suffix is compared with its group's
 leader, filed under the depth and byte at which it leaves the leader's path, and files with
 several suffixes are the groups of the next round.
 
-A route with more than WIDE different pieces is not gathered: its strings are dealt by their own
-hash and compared by a distributed minimum, so that no task depends on a route's size.
+No task depends on how often a string occurs: equal pieces of a slice of about a megabyte are one row before anything is
+shuffled; a route's rows come in order of doc_id, so a class needs one row in memory however many follow; and a route of more than WIDE
+rows is dealt string by string, by a hash of the whole string.
 
 Cases: null or empty texts have no bytes; texts shorter than LENGTH lose nothing; repeated rows of
 a doc_id are judged each (an equal doc_id is not a smaller one), also with different texts; rows
@@ -27,23 +30,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, materialize, range_hashes, signed, slices, sliding_min, small_batches, text_buffer
+from .common import Rolling, materialize, mix, range_hashes, signed, slices, sliding_min, small_batches, text_buffer
 
 LENGTH, K = 50, 20
 SHALLOW = 3
 WIDE = 2000
+#: Groups of up to so many suffixes are sorted by their words at once.
+SMALL = 24
 #: Strings that are sorted at once.
 BATCH = 400_000
 
 
 def pieces_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, strings, route, hash of the bytes) of the pieces of each text."""
+    """(row, start in the buffer, strings, route) of the pieces of each text."""
     n = len(buf) - LENGTH + 1
     if n <= 0:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     route = sliding_min(Rolling(buf).grams(K), LENGTH - K + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     good = np.arange(n) + LENGTH <= offsets[1:][row]
@@ -53,61 +59,82 @@ def pieces_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     strings = np.diff(np.append(start, n))
     keep = good[start]
     start, strings = start[keep], strings[keep]
-    return row[start], start - offsets[row[start]], strings, route[start], range_hashes(buf, start, start + strings + LENGTH - 1)
+    return row[start], start, strings, route[start]
 
 
 def emit_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of all texts; of equal ones within a slice, those of larger documents are `done`: covered as a whole. They go on
+    under a route of their own."""
     for batch in batches:
         for rows in slices(batch):
-            ids, marks = rows.column(rows.schema.get_field_index("doc_id")), rows.column(rows.schema.get_field_index("mark"))
-            row, start, strings, route, own = pieces_of(*text_buffer(rows.column(rows.schema.get_field_index("text"))))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(route)), pa.array(signed(own)), ids.take(at), marks.take(at), pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32))], ["route", "own", "doc_id", "mark", "start", "strings"])
+            ids, marks = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "mark"))
+            buf, offsets = text_buffer(rows.column(rows.schema.get_field_index("text")))
+            row, at, strings, route = pieces_of(buf, offsets)
+            done = np.zeros(len(row), bool)
+            by = np.argsort(route, kind="stable")
+            same = np.zeros(len(by), bool)
+            same[1:] = route[by][1:] == route[by][:-1]
+            same[:-1] |= same[1:]
+            if len(some := by[same]):
+                done[some] = ids[row[some]] > smallest(*classes(buf, at[some], strings[some] + LENGTH - 1, route[some]), ids[row[some]])
+            route = np.where(done, mix(at.astype(np.uint64) ^ signed_bits(ids[row])), route)
+            start = at - offsets[row]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(route)), pa.array(ids[row]), pa.array(marks[row]), pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(done)], ["route", "doc_id", "mark", "start", "strings", "done"])
+
+
+def signed_bits(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64).view(np.uint64)
+
+
+def smallest(order: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest document of each suffix's class."""
+    low = np.minimum.reduceat(doc[order], np.flatnonzero(np.diff(kind, prepend=-1)))
+    out = np.empty(len(doc), doc.dtype)
+    out[order] = low[kind]
+    return out
+
 
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in order of (route, doc_id): those that are done, and those whose route leads to several documents, with their number
+    in the route. Of a route that may run over any number of batches, only the first document's rows are held back until
+    another shows up."""
+    route = first = None
+    several, held, seen = False, [], 0
 
-def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces in order of (route, own, doc_id): those equal to a piece of a smaller document are covered;
-    the first document's, if the route leads to other pieces, are open. Routes of one piece are dropped.
+    def numbered(b: pa.RecordBatch, nth: np.ndarray) -> pa.RecordBatch:
+        return b.append_column("nth", pa.array(nth.astype(np.int64)))
 
-    A route may run over any number of batches: only its first piece's first document is held back
-    until a second piece shows up."""
-    route = own = low = None
-    several, held = False, []
     for batch in batches:
+        done = batch.column(5)
+        if (n := done.true_count):
+            yield numbered(batch.filter(done), np.zeros(n))
+        batch = batch.filter(pc.invert(done))
         if not batch.num_rows:
             continue
-        r, o, d = (batch.column(i).to_numpy() for i in range(3))
-        new_r = np.ones(len(r), bool)
-        new_r[1:] = r[1:] != r[:-1]
-        new_r[0] = route is None or r[0] != route
-        new_o = new_r.copy()
-        new_o[1:] |= o[1:] != o[:-1]
-        new_o[0] |= own is None or o[0] != own
-        seg = np.cumsum(new_o)  # 0: goes on from the batch before
-        lows = np.concatenate([[0 if low is None else low], d[new_o]])
-        covered = d > lows[seg]
-        group = np.cumsum(new_r)
-        kinds = np.bincount(group[new_o], minlength=group[-1] + 1)
-        kinds[0] += (1 + several) if route is not None else 0
-        out = [batch.filter(pa.array(covered)).append_column("open", pa.array(np.zeros(covered.sum(), bool)))]
-        if kinds[0] > 1 and held:
-            out += held
+        r, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(r), bool)
+        new[1:] = r[1:] != r[:-1]
+        new[0] = route is None or r[0] != route
+        group = np.cumsum(new)  # 0: goes on from the batch before
+        begin = np.flatnonzero(new)
+        firsts = np.append(d[0] if first is None else first, d[begin])
+        nth = np.arange(len(r)) - np.append(-seen, begin)[group]
+        other = np.bincount(group, d != firsts[group], minlength=group[-1] + 1) > 0
+        other[0] |= several
+        if other[0] and held and group[0] == 0:
+            yield from held
             held = []
-        last = group[-1]
-        if last > 0:
-            held = [] if kinds[0] <= 1 else held
-        mine = ~covered & (kinds[group] > 1)
-        out.append(batch.filter(pa.array(mine)).append_column("open", pa.array(np.ones(mine.sum(), bool))))
-        wait = ~covered & (group == last) & (kinds[group] <= 1)
-        if wait.any():
-            held.append(batch.filter(pa.array(wait)).append_column("open", pa.array(np.ones(wait.sum(), bool))))
-        several = kinds[last] > 1
-        route, own, low = r[-1], o[-1], lows[-1]
-        yield from (b.select(["route", "doc_id", "mark", "start", "strings", "open"]) for b in out if b.num_rows)
+        if group[-1] > 0:
+            held = []
+        keep, last = other[group], group == group[-1]
+        yield numbered(batch.filter(pa.array(keep)), nth[keep])
+        if (wait := ~keep & last).any():
+            held.append(numbered(batch.filter(pa.array(wait)), nth[wait]))
+        route, first, several, seen = r[-1], firsts[group[-1]], bool(other[group[-1]]), int(nth[-1]) + 1
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of open pieces (a list of struct for each document); wide routes as single strings."""
+    """The bytes of pieces (a list of struct for each document); those of wide routes as single strings, each under a route of its own."""
     for batch in batches:
         for rows in slices(batch):
             buf, offsets = text_buffer(rows.column(rows.schema.get_field_index("text")))
@@ -125,60 +152,83 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = strings + LENGTH - 1
             ends = np.concatenate([[0], np.cumsum(size)])
             flat = buf[np.repeat(a - ends[:-1], size) + np.arange(ends[-1])]
+            if wide.any():
+                route = route.copy()
+                route[wide] = signed(mix(signed_bits(route[wide])) ^ range_hashes(flat, ends[:-1][wide], ends[1:][wide]))
             data = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(wide), rows.column(rows.schema.get_field_index("doc_id")).take(at), rows.column(rows.schema.get_field_index("mark")).take(at), pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)), data], ["route", "wide", "doc_id", "mark", "start", "strings", "data"])
-
-
-def suffix_order(buf: np.ndarray, at: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """(order, class): `at` in order of the `length` bytes that start there, and a number for each different string."""
-    n_words = (length + 7) // 8
-    padded = np.concatenate([buf, np.zeros(8 * n_words + 8, np.uint8)])
-
-    def word(pos: np.ndarray, j: int) -> np.ndarray:
-        w = np.zeros(len(pos), np.uint64)
-        for i in range(8):
-            w <<= np.uint64(8)
-            if 8 * j + i < length:
-                w |= padded[pos + 8 * j + i]
-        return w
-
-    order = np.arange(len(at))
-    rank = np.zeros(len(at), np.int64)  # of each slot in order: the slot at which its group begins
-    active = np.arange(len(at))
-    for j in range(min(shallow, n_words)):  # multikey quicksort: by one word within the groups that agree so far
-        if not len(active):
-            break
-        key, group = word(at[order[active]], j), rank[active]
-        by = np.lexsort((key, group))
-        order[active] = order[active][by]
-        key = key[by]
+            yield pa.RecordBatch.from_arrays([pa.array(route), rows.column(rows.schema.get_field_index("doc_id")).take(at), rows.column(rows.schema.get_field_index("mark")).take(at), pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)), data], ["route", "doc_id", "mark", "start", "strings", "data"])
+
+
+def suffix_order(buf: np.ndarray, at: np.ndarray, length: np.ndarray | int = LENGTH, group: np.ndarray | None = None, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """(order, class): `at` in order of the `length` bytes that start there, within each group and length if given, and a
+    number for each different string."""
+    size = np.broadcast_to(np.asarray(length, np.int64), at.shape)
+    wide = np.ndarray((len(buf) + 1,), np.dtype(">u8"), np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+
+    def word(s: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        """The j-th eight bytes of suffixes s, as numbers in their order; what lies beyond a suffix's end is zero."""
+        over = np.clip(8 * (np.asarray(j) + 1) - size[s], 0, 8)
+        w = wide[np.minimum(at[s] + 8 * np.asarray(j), len(buf))].astype(np.uint64)
+        return np.where(over == 8, np.uint64(0), w >> (8 * (over % 8)).astype(np.uint64))
+
+    n_words = (size + 7) // 8
+    order = np.lexsort((size, group)) if group is not None else np.argsort(size, kind="stable")
+    begin = np.ones(len(at), bool)
+    begin[1:] = size[order][1:] != size[order][:-1]
+    if group is not None:
+        begin[1:] |= group[order][1:] != group[order][:-1]
+    slots = np.arange(len(at))
+    rank = slots[begin][np.cumsum(begin) - 1] if len(at) else slots  # of each slot in order: the slot at which its group begins
+    depth = np.zeros(len(at), np.int64)  # of each slot: words in which its group agrees
+    active = several(rank, slots)
+    while len(active):  # multikey quicksort, all groups at once
+        g = rank[active]
         new = np.ones(len(active), bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        rank[active] = active[new][np.cumsum(new) - 1]
+        new[1:] = g[1:] != g[:-1]
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(active)))
+        of = np.cumsum(new) - 1
+        key = word(order[active], depth[active])
+        # the pivot of a large group is the median of three; a small group is split by all its words
+        x, y, z = key[first], key[first + many // 2], key[first + many - 1]
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[of]
+        large = (many > SMALL)[of]
+        part = np.where(large, (key >= pivot).astype(np.uint64) + (key > pivot).astype(np.uint64), key)
+        by = np.lexsort((part, of))
+        order[active], key, part = order[active][by], key[by], part[by]
+        equal = ~large | (part == 1)
+        cut = new.copy()
+        cut[1:] |= part[1:] != part[:-1]
+        rank[active] = active[cut][np.cumsum(cut) - 1]
+        depth[active[equal]] += 1
         active = several(rank, active)
+        active = active[depth[active] < np.minimum(shallow, n_words[order[active]])]
+    active = several(rank, slots)
+    active = active[depth[active] < n_words[order[active]]]
     while len(active):  # blind tries
-        group = rank[active]
+        g = rank[active]
         lead = np.ones(len(active), bool)
-        lead[1:] = group[1:] != group[:-1]
+        lead[1:] = g[1:] != g[:-1]
         leader = order[active[np.flatnonzero(lead)[np.cumsum(lead) - 1]]]
-        mine = order[active]
-        depth = np.full(len(active), n_words)  # the first word in which a suffix leaves its leader's path
+        mine, most = order[active], n_words[order[active]]
+        leaves = most.copy()  # the first word in which a suffix leaves its leader's path
         less, branch = np.zeros(len(active), bool), np.zeros(len(active), np.uint64)
-        left = np.arange(len(active))
-        for j in range(shallow, n_words):
-            x, y = word(at[mine[left]], j), word(at[leader[left]], j)
+        left, j = np.arange(len(active)), shallow
+        while len(left):
+            x, y = word(mine[left], j), word(leader[left], j)
             off = x != y
             out = left[off]
-            depth[out], less[out], branch[out] = j, x[off] < y[off], x[off]
-            left = left[~off]
+            leaves[out], less[out], branch[out] = j, x[off] < y[off], x[off]
+            j += 1
+            left = left[~off & (j < most[left])]
         # files in order: those that leave below the leader, earliest first; the path itself; those above, latest first
-        place = np.where(depth == n_words, 0, np.where(less, depth - n_words, n_words - depth))
-        by = np.lexsort((branch, place, group))
+        place = np.where(leaves == most, 0, np.where(less, leaves - most, most - leaves))
+        by = np.lexsort((branch, place, g))
         order[active] = mine[by]
         place, branch = place[by], branch[by]
         new = np.ones(len(active), bool)
-        new[1:] = (place[1:] != place[:-1]) | (branch[1:] != branch[:-1]) | (group[1:] != group[:-1])
+        new[1:] = (place[1:] != place[:-1]) | (branch[1:] != branch[:-1]) | (g[1:] != g[:-1])
         rank[active] = active[new][np.cumsum(new) - 1]
         active = several(rank, active[place != 0])
     first = np.ones(len(at), bool)
@@ -186,6 +236,11 @@ def suffix_order(buf: np.ndarray, at: np.ndarray, length: int = LENGTH, shallow:
     return order, np.cumsum(first) - 1
 
 
+def classes(buf: np.ndarray, at: np.ndarray, size: np.ndarray, route: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, class) of whole pieces: two have one class if their route and all their bytes are equal."""
+    return suffix_order(buf, at, size, route)
+
+
 def several(rank: np.ndarray, active: np.ndarray) -> np.ndarray:
     """The slots of `active` whose group has more than one."""
     r = rank[active]
@@ -195,49 +250,88 @@ def several(rank: np.ndarray, active: np.ndarray) -> np.ndarray:
     return active[same]
 
 
+def bytes_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of `data`, where each row's begin)."""
+    data = t["data"].combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    return np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0]
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of strings of open pieces, in order of route, that a smaller document has too."""
+    """Runs of strings that a smaller document has too, of pieces in order of (route, doc_id)."""
     rest: pa.Table | None = None
 
-    def sort(t: pa.Table) -> pa.RecordBatch:
+    def ranges(t: pa.Table, at: np.ndarray, start: np.ndarray, strings: np.ndarray) -> list[pa.RecordBatch]:
+        rows = t.select(["doc_id", "mark"]).take(pa.array(at))
+        return rows.append_column("start", pa.array(start.astype(np.int32))).append_column("strings", pa.array(strings.astype(np.int32))).combine_chunks().to_batches()
+
+    def whole(t: pa.Table) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]:
+        """(ranges of pieces equal to one of a smaller document, the rows left, the class of each row)."""
+        buf, at = bytes_of(t)
+        strings, doc = (t[c].to_numpy().astype(np.int64) for c in ("strings", "doc_id"))
+        order, kind = classes(buf, at, strings + LENGTH - 1, t["route"].to_numpy())
+        gone = doc > smallest(order, kind, doc)
+        out = np.flatnonzero(gone)
+        of = np.empty(len(doc), np.int64)
+        of[order] = kind
+        return ranges(t, out, t["start"].to_numpy()[out], strings[out]), np.flatnonzero(~gone), of
+
+    def sort(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        data = t["data"].combine_chunks()
-        data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-        buf = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-        strings, doc = t["strings"].to_numpy().astype(np.int64), t["doc_id"].to_numpy()
+        out, left, of = whole(t)
+        yield from out
+        # one row of each class stands for those with its document; routes of one class have nothing more to compare
+        lead = left[np.unique(of[left], return_index=True)[1]]
+        route = t["route"].to_numpy()[lead]
+        both = np.unique(route, return_inverse=True, return_counts=True)
+        lead = lead[both[2][both[1]] > 1]
+        if not len(lead):
+            return
+        reps = t.take(pa.array(lead)).combine_chunks()
+        buf, at = bytes_of(reps)
+        strings, doc = (reps[c].to_numpy().astype(np.int64) for c in ("strings", "doc_id"))
         piece = np.repeat(np.arange(len(strings)), strings)
         step = np.arange(len(piece)) - np.repeat(np.cumsum(strings) - strings, strings)
-        order, kind = suffix_order(buf, (ends[:-1] - ends[0])[piece] + step)
-        low = np.minimum.reduceat(doc[piece[order]], np.flatnonzero(np.diff(kind, prepend=-1)))
-        covered = np.zeros(len(piece), bool)
-        covered[order] = doc[piece[order]] > low[kind]
+        covered = doc[piece] > smallest(*suffix_order(buf, at[piece] + step, LENGTH, reps["route"].to_numpy()[piece]), doc[piece])
         begin, end = covered.copy(), covered.copy()
         same = piece[1:] == piece[:-1]
         begin[1:] &= ~(covered[:-1] & same)
         end[:-1] &= ~(covered[1:] & same)
         a, b = np.flatnonzero(begin), np.flatnonzero(end)
-        rows = t.select(["doc_id", "mark"]).take(pa.array(piece[a]))
-        start = t["start"].to_numpy()[piece[a]] + step[a]
-        out = rows.append_column("start", pa.array(start.astype(np.int32))).append_column("strings", pa.array((b - a + 1).astype(np.int32)))
-        return out.combine_chunks().to_batches()
-
+        if not len(a):
+            return
+        # runs of a class's representative are those of all rows that it stands for
+        members = left[np.isin(of[left], of[lead])]
+        members = members[np.argsort(of[members], kind="stable")]
+        low, high = (np.searchsorted(of[members], of[lead[piece[a]]], side) for side in ("left", "right"))
+        which = np.repeat(np.arange(len(a)), high - low)
+        at = members[np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[which]]
+        yield from ranges(t, at, t["start"].to_numpy()[at] + step[a][which], (b - a + 1)[which])
+
+    most = BATCH
     for batch in batches:
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
         rest = now if rest is None else pa.concat_tables([rest, now])
-        if (done := np.cumsum(rest["strings"].to_numpy()))[-1] < BATCH:
+        if (done := np.cumsum(rest["strings"].to_numpy().astype(np.int64)))[-1] < most:
             continue
         r = rest["route"].to_numpy()
         cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
         while len(cuts):  # whole routes, about BATCH strings at once; the last route may go on
             upto = cuts[max(0, np.searchsorted(done[cuts - 1], BATCH) - 1)]
             yield from sort(rest.slice(0, upto))
-            rest = rest.slice(upto)
-            done, cuts = np.cumsum(rest["strings"].to_numpy()), cuts[cuts > upto] - upto
+            rest, most = rest.slice(upto), BATCH
+            done, cuts = np.cumsum(rest["strings"].to_numpy().astype(np.int64)), cuts[cuts > upto] - upto
             if done[-1] < BATCH:
                 break
+        if done[-1] >= most:  # one route: what a smaller document has is settled, the rest waits for the route's end
+            rest = rest.combine_chunks()
+            out, left, _ = whole(rest)
+            yield from out
+            rest = rest.take(pa.array(left))
+            most = max(BATCH, 2 * int(rest["strings"].to_numpy().astype(np.int64).sum()))
     if rest is not None and rest.num_rows:
         yield from sort(rest)
 
@@ -279,32 +373,29 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(sums, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-PIECE = "doc_id long, mark int, start int, strings int"
+PIECE = "doc_id long, mark long, start int, strings int"
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """Ranges (doc_id, mark, start, strings) of strings that start in a smaller document too; docs (doc_id, mark, text)."""
-    pieces = docs.where("doc_id is not null").mapInArrow(emit_pieces, f"route long, own long, {PIECE}")
-    met = pieces.repartition("route").sortWithinPartitions("route", "own", "doc_id").mapInArrow(settle, f"route long, {PIECE}, open boolean")
+    pieces = docs.where("doc_id is not null").mapInArrow(emit_pieces, f"route long, {PIECE}, done boolean")
+    met = pieces.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(shared, f"route long, {PIECE}, done boolean, nth long")
     met = materialize(met, "pieces")
-    covered = met.where("not open").select("doc_id", "mark", "start", "strings")
-    opened = met.where("open").drop("open")
-    wide = materialize(opened.groupBy("route").count().where(F.col("count") > WIDE).select("route", F.lit(True).alias("wide")), "wide")
-    listed = opened.join(wide, "route", "left").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "strings", "route", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("pieces"))
-    fetched = listed.join(docs, ["doc_id", "mark"]).select("doc_id", "mark", "text", "pieces").mapInArrow(fetch, f"route long, wide boolean, {PIECE}, data binary")
+    covered = met.where("done").select("doc_id", "mark", "start", "strings")
+    wide = materialize(met.where(F.col("nth") == WIDE).select("route", F.lit(True).alias("wide")), "wide")
+    # equal rows of one document are one here
+    listed = met.where("not done").join(wide, "route", "left").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "strings", "route", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("pieces"))
+    fetched = listed.join(docs.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("doc_id", "mark", "text", "pieces").mapInArrow(fetch, f"route long, {PIECE}, data binary")
     fetched = materialize(fetched, "open-pieces")
-    near = fetched.where("not wide").repartition("route").sortWithinPartitions("route").mapInArrow(compare, PIECE)
-    single = fetched.where("wide")
-    low = single.groupBy("data").agg(F.min("doc_id").alias("low"))
-    far = single.join(low, "data").where("low < doc_id").select("doc_id", "mark", "start", "strings")
-    return covered.unionByName(near).unionByName(far)
+    near = fetched.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(compare, PIECE)
+    return covered.unionByName(near)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), "text")
-    ranges = repeated_ranges(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "strings")).alias("ranges"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    ranges = repeated_ranges(docs).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "strings")).alias("ranges"))
     got = docs.join(ranges, ["doc_id", "mark"], "left").select("doc_id", "text", "ranges")
     return got.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

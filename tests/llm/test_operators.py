@@ -92,7 +92,7 @@ def test_token_files(spark, tmp_path):
     assert few.first()["ids"] == [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
-def test_repeats(docs):
+def test_repeats(docs, monkeypatch):
     seen, want = {}, []
     every = sorted(rows_of(docs))
     for i, x in every:
@@ -107,14 +107,29 @@ def test_repeats(docs):
                 gone[k : k + 50] = b"\1" * 50
         want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(v for v, g in zip(b, gone) if not g)).hexdigest()))
     assert sorted(map(tuple, repeats.op2(docs).collect())) == sorted(want)
-    wide, repeats.WIDE = repeats.WIDE, 1  # every route by its single strings
-    try:
+    for name, value in (("WIDE", 1), ("BATCH", 300)):  # routes dealt string by string; routes of several batches
+        monkeypatch.setattr(repeats, name, value)
         assert sorted(map(tuple, repeats.op2(docs).collect())) == sorted(want)
-    finally:
-        repeats.WIDE = wide
     assert repeats.op2(docs.where("false")).count() == 0
 
 
+def test_suffix_order():
+    """The order and classes of suffixes against Python's sort: few letters, long equal beginnings, several lengths and groups."""
+    r = np.random.default_rng(0)
+    for trial in range(120):
+        n = int(r.integers(90, 1500))
+        buf = r.integers(97, 97 + int(r.integers(1, 4)), n).astype(np.uint8)
+        if trial % 3 == 0:
+            buf = np.tile(buf[:70], 20)[:n]
+        at = r.integers(0, n - 80, int(r.integers(1, 400)))
+        size = np.full(len(at), 50) if trial % 2 else r.integers(50, 80, len(at))
+        group = np.zeros(len(at), np.uint64) if trial % 5 == 0 else r.integers(0, 4, len(at)).astype(np.uint64)
+        order, kind = repeats.suffix_order(buf, at, size, group)
+        keys = [(int(group[i]), int(size[i]), buf[at[i] : at[i] + size[i]].tobytes()) for i in order]
+        assert sorted(order.tolist()) == list(range(len(at))) and keys == sorted(keys)
+        assert all((a == b) == (x == y) for a, b, x, y in zip(keys, keys[1:], kind, kind[1:]))
+
+
 def test_urls(spark):
     cases = ["http://EXAMPLE.org/es/1", "https://a.example.org/en/12?x", "http://b.org", "http://b.org/", "http://x.com/fr/", "http://x.com/de/a#b", None, "nothing", "http://", "http://com/fr/x", "ftp://notcom/fr/"]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.op3(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")).collect()}
