@@ -291,7 +291,8 @@ POINTS = "cell string, dim int, vec_id long, n long, unit binary"
 
 def choose(t: pa.Table) -> pa.Table:
     """Centres of one cell from its sample, as one row."""
-    k = int(min(CENTRES, max(2, -(-3 * t["size"][0].as_py() // (2 * t["most"][0].as_py())))))
+    least = ROOTS if "." not in t["cell"][0].as_py() else 2
+    k = int(min(CENTRES, max(least, -(-3 * t["size"][0].as_py() // (2 * t["most"][0].as_py())))))
     x = matrix(t["unit"].take(pa.array(np.argsort(t["unit"].to_numpy(zero_copy_only=False), kind="stable"))))
     return pa.table({"cell": t["cell"].slice(0, 1), "centres": pa.array([spread(x, k).tobytes()], pa.binary())})
 
@@ -338,7 +339,7 @@ def blocks_of(single: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     most = F.least(F.lit(BLOCK), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))).cast("int")
     done, rounds = [], []
     for turn in range(ROUNDS + 1):
-        large = materialize(now.groupBy("cell", "dim").agg(F.count("*").alias("size")).withColumn("most", most).where("size > most"), "large-cells")
+        large = materialize(now.groupBy("cell", "dim").agg(F.count("*").alias("size")).withColumn("most", most).where(F.col("size") > F.least("most", F.lit(BLOCK if turn else min(BLOCK, ALONE)))), "large-cells")
         if large.isEmpty():
             done.append(now)
             break
