@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, materialize, mix, range_hashes, signed, slices, sliding_min, small_batches, text_buffer
+from .common import Rolling, materialize, mix, range_hashes, release, signed, slices, sliding_min, small_batches, stored, text_buffer
 
 LENGTH, K = 50, 20
 SHALLOW = 3
@@ -386,8 +386,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     # equal rows of one document are one here
     listed = met.where("not done").join(wide, "route", "left").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "strings", "route", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("pieces"))
     fetched = listed.join(docs.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("doc_id", "mark", "text", "pieces").mapInArrow(fetch, f"route long, {PIECE}, data binary")
-    fetched = materialize(fetched, "open-pieces")
-    near = fetched.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(compare, PIECE)
+    fetched, path = stored(fetched, "open-pieces")
+    near = materialize(fetched.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(compare, PIECE), "equal-strings")
+    release(docs.sparkSession, [path])
     return covered.unionByName(near)
 
 
