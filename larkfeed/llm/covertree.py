@@ -37,6 +37,8 @@ SAMPLE, CENTRES = 512, 32
 BLOCK, BLOCK_BYTES = 8192, 16 << 20
 #: Splits one below the other; cells that are larger even then, of points that hardly differ, are dealt by a hash.
 ROUNDS = 8
+#: All points of one length, if more than this, are split into ROOTS cells at least, so that there are tasks enough.
+ALONE, ROOTS = 1024, 8
 #: Points of a large cell that one task assigns to its centres.
 DEALT = 100_000
 #: Covering radii of a block's levels; above the first, cells do what coarser levels would.
