@@ -8,9 +8,10 @@ joined first by two independent digests of the set, 128 bits, and one of them st
 Pair counts stay bounded: a bucket proposes a star (each member with its smallest), each pair is
 confirmed on full sets of 64-bit shingle hashes (two different shingles of a pair share one with a
 probability of 1 in 10 ** 10 for sets of 40,000), and components are formed. In buckets that still hold several components, each
-document proposes its likeliest partner of another component by signature, and at last what pairs of
-different components remain that signatures don't rule out. Buckets are compared in tiles, so a bucket
-of any size is many small tasks. A proposal only adds: every link is confirmed.
+document proposes its likeliest partner of another component by signature. At last, what pairs of
+different components remain that signatures don't rule out are decided where they meet: buckets are compared in tiles, so a bucket
+of any size is many small tasks, a tile gets each document once, and only links come out, one for two components at most.
+Every link is confirmed on full sets.
 
 Sets are named by a digest, never by a doc_id: an id may repeat, be null or have several texts.
 
@@ -36,8 +37,8 @@ K, PERCENT, STAGE_PERCENT = 5, 85, 80
 BINS = 256
 #: How often a link at the very limit may differ in all its bands.
 MISSED = 4e-5
-#: Members of a bucket in one tile.
-TILE = 512
+#: Members of a bucket in one tile, and shingles of all their sets, about.
+TILE, TILE_SHINGLES = 512, 200_000
 #: Partners for which the text of a star's centre is sent once.
 PARTNERS = 256
 #: Tasks over which the sets of one group are dealt.
@@ -162,53 +163,91 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def tiles(members: DataFrame) -> DataFrame:
     """members (band, doc, component, signature) of buckets with several components, dealt into pairs of tiles:
     (band, i, j, side, ...) rows. A bucket of up to TILE members is one tile against itself."""
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.countDistinct("component").alias("kinds")).where("kinds > 1").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"), F.countDistinct("component").alias("kinds")).where("kinds > 1")
+    sizes = sizes.select("band", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("all") / TILE_SHINGLES)).cast("int").alias("tiles"))
     m = members.join(sizes, "band").withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     own = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     return m.withColumn("other", own).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).select("band", "k", "i", "j", "doc", "component", "signature", "n_shingles", "tile")
 
 
-def propose(best_only: bool, percent: int):
-    """Likely pairs of different components. A pair is proposed in the first band alone that its documents share."""
+MEMBER = "band long, k int, i int, j int, doc long, component long, signature binary, n_shingles long, tile int"
+
+
+def likely_pairs(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, equal bins) of the pairs in a pair of tiles that signatures don't rule out, of different components. A
+    pair comes in the first band alone that its documents share."""
     each, enough = band_rows(percent), likely(percent)
     count = BINS // each
+    i, j, k = (t[c][0].as_py() for c in ("i", "j", "k"))
+    comp, tile, size = (t[c].to_numpy() for c in ("component", "tile", "n_shingles"))
+    s = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint8).reshape(-1, BINS)
+    left, right = (np.flatnonzero(tile == i), np.flatnonzero(tile == j))
+    for x in range(0, len(left), 32):
+        rows = left[x : x + 32]
+        equal = s[rows][:, None, :] == s[right][None, :, :]
+        alike = equal.sum(2)
+        one, two = size[rows][:, None], size[right][None, :]
+        ok = (alike >= enough) & (comp[rows][:, None] != comp[right][None, :]) & (100 * np.minimum(one, two) >= percent * np.maximum(one, two))
+        p, q = np.nonzero(ok)
+        first = equal[p, q][:, : count * each].reshape(-1, count, each).all(2).argmax(1) == k
+        p, q = p[first], q[first]
+        yield rows[p], right[q], alike[p, q]
+
+
+def propose(percent: int):
+    """The likeliest partner of each document in a pair of tiles: no more pairs than documents."""
 
     def run(t: pa.Table) -> pa.Table:
-        i, j, k = (t[c][0].as_py() for c in ("i", "j", "k"))
-        doc, comp, tile, size = (t[c].to_numpy() for c in ("doc", "component", "tile", "n_shingles"))
-        s = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint8).reshape(-1, BINS)
-        left, right = (np.flatnonzero(tile == i), np.flatnonzero(tile == j))
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        most, of = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)  # the best of each on the right
-        for x in range(0, len(left), 32):
-            rows = left[x : x + 32]
-            equal = s[rows][:, None, :] == s[right][None, :, :]
-            alike = equal.sum(2)
-            one, two = size[rows][:, None], size[right][None, :]
-            ok = (alike >= enough) & (comp[rows][:, None] != comp[right][None, :]) & (100 * np.minimum(one, two) >= percent * np.maximum(one, two))
-            p, q = np.nonzero(ok)
-            first = equal[p, q][:, : count * each].reshape(-1, count, each).all(2).argmax(1) == k
-            p, q = p[first], q[first]
-            if best_only and len(p):
-                score = np.zeros(ok.shape, np.int64)
-                score[p, q] = alike[p, q]
-                top, low = score.max(0), score.argmax(0)
-                better = top > most
-                most[better], of[better] = top[better], rows[low[better]]
-                p = np.flatnonzero(score.max(1))
-                q = score.argmax(1)[p]
-            a.append(rows[p])
-            b.append(right[q])
-        if best_only and i != j:
-            a.append(of[most > 0])
-            b.append(right[most > 0])
-        a, b = doc[np.concatenate(a)], doc[np.concatenate(b)]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        most, of = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows, np.int64)
+        for a, b, alike in likely_pairs(t, percent):
+            for x, y in ((a, b), (b, a)):
+                by = np.lexsort((y, -alike, x))
+                top = by[np.append(True, x[by][1:] != x[by][:-1])] if len(by) else by
+                better = top[alike[top] > most[x[top]]]
+                most[x[better]], of[x[better]] = alike[better], y[better]
+        a = np.flatnonzero(most)
+        doc = t["doc"].to_numpy()
+        both = np.unique(np.stack([np.minimum(doc[a], doc[of[a]]), np.maximum(doc[a], doc[of[a]])]), axis=1)
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
     return run
 
 
+def undecided(percent: int):
+    """The documents of a pair of tiles that have a likely partner in it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        some = np.zeros(t.num_rows, bool)
+        for a, b, _ in likely_pairs(t, percent):
+            some[a] = some[b] = True
+        return t.filter(pa.array(some)).select([c.split()[0] for c in MEMBER.split(", ")])
+
+    return run
+
+
+def decide(percent: int):
+    """Links among all likely pairs of a pair of tiles, confirmed on full sets there: one for each pair of components
+    that a link joins, so no more than documents."""
+
+    def run(t: pa.Table) -> pa.Table:
+        values, first, _ = shingles(pa.concat_arrays(t["text"].chunks))
+        doc, label = t["doc"].to_numpy(), np.unique(t["component"].to_numpy(), return_inverse=True)[1]
+        links: list[tuple[int, int]] = []
+        for a, b, alike in likely_pairs(t, percent):
+            for n in np.argsort(-alike, kind="stable").tolist():
+                x, y = a[n], b[n]
+                if label[x] == label[y]:
+                    continue
+                one, two = values[first[x] : first[x + 1]], values[first[y] : first[y + 1]]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both and 100 * both >= percent * (len(one) + len(two) - both):
+                    links.append((int(doc[x]), int(doc[y])))
+                    label[label == label[y]] = label[x]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
 def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, digest, n_shingles, first) for each row of docs (doc_id, text), linked by a similarity of `percent`:
     first is (none, doc_id, digest) of the row that comes first in its group, by doc_id (nulls last) and a digest of
@@ -232,22 +271,23 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     texts = materialize(texts.dropDuplicates(["doc"]), "candidates")
     links = confirmed(star, texts, percent)
     slim_signatures = materialize(wanted.select("doc", "signature", "n_shingles"), "candidate-signatures")
-    tried = star
-    for best_only in (True, False):
+    for best in (True, False):
         found = connected_components(links)
         where = members.select("band", "k", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         several = where.groupBy("band").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("band")
-        open_ = where.join(several, "band").join(slim_signatures, "doc")
-        pairs = tiles(open_).groupBy("band", "i", "j").applyInArrow(propose(best_only, percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "proposals")
-        if pairs.isEmpty():  # of the best alone: the round over all pairs may still have some
-            continue
-        links, tried = links.unionByName(confirmed(pairs, texts, percent)), tried.unionByName(pairs)
+        units = tiles(where.join(several, "band").join(slim_signatures, "doc")).groupBy("band", "i", "j")
+        if best:
+            pairs = materialize(units.applyInArrow(propose(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), "proposals")
+            links = links.unionByName(confirmed(pairs, texts, percent))
+        else:  # all likely pairs that are left: texts go to pairs of tiles, once for each document, and not to pairs of documents
+            open_ = materialize(units.applyInArrow(undecided(percent), MEMBER), "undecided")
+            links = links.unionByName(materialize(open_.join(texts, "doc").groupBy("band", "i", "j").applyInArrow(decide(percent), "a long, b long"), "decided"))
     found = connected_components(links).withColumnRenamed("node", "doc")
     own = F.struct("none", "doc_id", "digest").alias("own")
     named = sets.select(*key, "doc", own).join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     named = materialize(named.withColumn("deal", F.pmod("doc", F.lit(DEALT))), "groups")
-    firsts = named.join(found.select("component").distinct(), "component").groupBy("component").agg(F.min("own").alias("first"))
+    # in two steps, as one group may hold very many sets
+    firsts = named.groupBy("component", "deal").agg(F.min("own").alias("first"), F.count("*").alias("n")).groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
     firsts = firsts.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
     classes = named.join(firsts, ["component", "deal"], "left").select(*(F.col(k).alias(f"{k}_") for k in key), F.coalesce("first", "own").alias("first"))
     got = rows.select("doc_id", "digest", *key).join(classes, F.expr(" and ".join(f"{k} = {k}_" for k in key)), "left")

@@ -555,18 +555,20 @@ def test_near_dedup_of_repeated_and_null_ids(spark, docs):
 
 
 def test_minhash_rounds(spark, monkeypatch):
-    """The round over all likely pairs is run when every best partner was tried before."""
-    of, rounds = minhash.propose, []
-
-    def propose(best_only, percent):
-        rounds.append(best_only)
-        return of(best_only, percent)
-
-    monkeypatch.setattr(minhash, "propose", propose)
-    text = " ".join(f"w{i}" for i in range(100))
-    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "else")], "doc_id long, text string")
-    assert [x["component_id"] for x in minhash.near_duplicates(df).orderBy("doc_id").collect()] == [1, 1, 3]
-    assert rounds == [True, False]
+    """The round over all likely pairs is always run: links that no star and no best partner shows are found there, in
+    tiles of any size."""
+    monkeypatch.setattr(minhash, "TILE", 7)
+    monkeypatch.setattr(minhash, "propose", lambda percent: lambda t: t.select(["doc", "component"]).rename_columns(["a", "b"]).slice(0, 0))
+    r = np.random.default_rng(12)
+    base = [f"w{v}" for v in r.integers(0, 10**9, 200)]
+    texts = []
+    for _ in range(60):  # a cloud around the limit: some pairs link, most don't
+        at = set(r.choice(200, int(r.integers(2, 6)), replace=False).tolist())
+        texts.append(" ".join(f"n{r.integers(10**9)}" if k in at else x for k, x in enumerate(base)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_groups(texts, 85)
+    assert 1 < len(set(want)) < 60
+    assert [x["component_id"] for x in minhash.near_duplicates(df).orderBy("doc_id").collect()] == want
 
 
 def test_minhash_of_texts_that_fool_sums_of_powers(spark):
