@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import scratch, slices, small_batches, write
 
 #: Pieces that a worker remembers before it drops those met once: bounds memory, changes no result.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
 #: Pieces that are encoded at once.
 AT_ONCE, JOINED = 8000, 200
 #: Bytes of text that are looked up together: fewer different pieces in all, bounded memory.
