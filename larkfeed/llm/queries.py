@@ -71,6 +71,26 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
     return op10(table(spark, d, "documents"))
 
 
+def _exact(spark: SparkSession, d: str) -> DataFrame:
+    from .quotient import op11
+
+    return op11(table(spark, d, "documents"))
+
+
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    from .merkle import op12
+
+    return op12(table(spark, d, "documents"))
+
+
+def _alignment(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import op13
+
+    return op13(spark, table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": _languages,
     "op9_html_extraction": _html,
     "op10_minhash_dedup": _near,
+    "op11_exact_dedup": _exact,
+    "op12_merkle_manifest": _manifest,
+    "op13_token_alignment": _alignment,
     "pipeline": _pipeline,
 }
 
@@ -125,4 +148,39 @@ SELECT doc_id, size, source_size, target,
        CAST(size * least(2, sure + CASE WHEN p > 0 AND 2 * (rest - ahead) >= size AND rest > ahead THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM a
 """
 
-ORACLES = {"op3_url_filter": URL_SQL, "op4_source_mixing": MIX_SQL}
+EXACT_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY norm)
+"""
+
+
+def manifest_sql(levels: int = 6) -> str:
+    """SQL of the manifest for groups of up to 16 ** levels rows, and as many groups. A group of one node keeps it at the next level."""
+    field = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c, text if c == "text" else c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 bit by bit: a number of the list is mixed in, -1 shifts
+    bits = "flatten(list_transform(range(strlen(CAST(doc_id AS VARCHAR))), lambda k: [CAST(ascii(CAST(doc_id AS VARCHAR)[k + 1]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, {bits}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"
+    ctes = [f"d0 AS (SELECT doc_id, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS x, '' AS siblings FROM documents)", "n0 AS (SELECT g, i, leaf AS h FROM d0)"]
+
+    def tree(a: int) -> None:
+        for k in range(a, a + levels):
+            ctes.append(f"""s{k} AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n,
+ coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+ coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM n{k})""")
+            ctes.append(f"n{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM s{k} GROUP BY g, i // 16)")
+            ctes.append(f"d{k + 1} AS (SELECT d.* REPLACE (d.i // 16 AS i, d.siblings || l || r AS siblings, CASE WHEN n = 1 THEN x ELSE sha256(l || x || r) END AS x) FROM d{k} d JOIN s{k} s ON s.g IS NOT DISTINCT FROM d.g AND s.i = d.i)")
+
+    tree(0)
+    k = levels
+    ctes.append(f"u AS (SELECT g AS name, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i FROM n{k})")
+    ctes.append(f"n{k + 1} AS (SELECT 0 AS g, i, subroot AS h FROM u)")
+    ctes.append(f"d{k + 1} AS (SELECT doc_id, leaf, x, siblings, subroot, 0 AS g, u.i FROM d{k} d JOIN u ON u.name IS NOT DISTINCT FROM d.g)")
+    tree(k + 1)
+    k += 1 + levels
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, h AS root, sha256(siblings) AS proof_sha256, x AS folded_root, x = h AS verified FROM d{k} CROSS JOIN n{k}"
+
+
+ORACLES = {"op3_url_filter": URL_SQL, "op4_source_mixing": MIX_SQL, "op11_exact_dedup": EXACT_SQL, "op12_merkle_manifest": manifest_sql()}
