@@ -15,9 +15,11 @@ of a leaf; an empty table gives no rows; further columns aren't part of a leaf,
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from .common import materialize, small_batches, union
 #: Children of a node, as a power of two.
 SHIFT = 4
 FAN = 1 << SHIFT
+#: Rows whose proofs are made at once.
+AT_ONCE = 500
 #: Fields of a row's leaf, in their order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PROOF = "array<struct<left: string, right: string>>"
@@ -120,30 +124,49 @@ def descend(runs: list[DataFrame], above: DataFrame) -> DataFrame:
     return union(every)
 
 
-def _proofs(rows: pa.Table, tops: pa.Table, schema: pa.Schema) -> pa.Table:
-    rows = rows.sort_by("at")
-    leaves, known, proof, subroot = rows["leaf"].to_pylist(), {}, [], []
-    for r in tops.to_pylist():
+def _proofs(rows: pa.Table, tops: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of a range with their proofs, some at a time: a range has its leaves in memory, never its proofs."""
+    leaves, known = rows["leaf"].to_pylist(), {}
+    for r in tops:
         known.setdefault(r["g"], {})[r["level"], r["idx"]] = r
     for r in sorted((next(iter(t.values())) for t in known.values()), key=lambda r: r["first"]):  # what is known of each group
-        own = known[r["g"]]
-        levels = subtrees(leaves[r["first"] : r["first"] + r["n"]], r["base"], r["base"] + r["n"] == r["total"])
-        below: dict[int, list] = {}
-        for level in reversed(range(len(levels))):
+        own, base, last = known[r["g"]], r["base"], r["base"] + r["n"]
+        levels = subtrees(leaves[r["first"] : r["first"] + r["n"]], base, last == r["total"])
+
+        def path(level: int, i: int) -> list[dict]:
+            if (level, i) in own:
+                return own[level, i]["proof"]
             lo, nodes = levels[level]
-            here = {}
-            for i in range(lo, lo + len(nodes)):
-                if (level, i) in own:
-                    here[i] = own[level, i]["proof"]
-                else:
-                    first = (i >> SHIFT) * FAN
-                    run = nodes[first - lo : min(first + FAN, lo + len(nodes)) - lo]
-                    here[i] = [{"left": "".join(run[: i - first]), "right": "".join(run[i - first + 1 :])}, *below[i >> SHIFT]]
-            below = here
-        proof += [below[i] for i in range(r["base"], r["base"] + r["n"])]
-        subroot += [r["subroot"]] * r["n"]
-    made = {"proof": pa.array(proof, schema.field("proof").type), "subroot": pa.array(subroot, pa.string())}
-    return pa.table([made.get(f.name, rows[f.name] if f.name in rows.column_names else None) for f in schema], schema=schema)
+            first = (i >> SHIFT) * FAN
+            run = nodes[first - lo : min(first + FAN, lo + len(nodes)) - lo]
+            return [{"left": "".join(run[: i - first]), "right": "".join(run[i - first + 1 :])}, *path(level + 1, i >> SHIFT)]
+
+        for i in range(base, last, AT_ONCE):
+            n = min(AT_ONCE, last - i)
+            some = rows.slice(r["first"] + i - base, n)
+            made = {"proof": pa.array([path(0, k) for k in range(i, i + n)], schema.field("proof").type), "subroot": pa.array([r["subroot"]] * n, pa.string())}
+            yield from pa.table([made[f.name] if f.name in made else some[f.name] for f in schema], schema=schema).combine_chunks().to_batches()
+
+
+def prove(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by range, in each first what is known of its ragged nodes, then its rows in their order."""
+    held, now = [], None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            t = pa.Table.from_batches(held)
+            is_row = pc.is_valid(t["leaf"])
+            yield from _proofs(t.filter(is_row), t.filter(pc.invert(is_row)).select(["g", "n", "first", "base", "total", "level", "idx", "subroot", "proof"]).to_pylist(), schema)
+
+    for batch in batches:
+        part = np.asarray(batch.column(batch.schema.get_field_index("part")))
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a and part[a] != now:
+                yield from done()
+                held, now = [], part[a]
+            held += [batch.slice(a, b - a)] if b > a else []
+    yield from done()
 
 
 def manifest(rows: DataFrame, group: str, key: str, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -174,8 +197,8 @@ def manifest(rows: DataFrame, group: str, key: str, carried: tuple[str, ...] = (
     out = leaves.select("key", *(f"c_{c}" for c in carried), "leaf").schema
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out)}, subroot string, proof {PROOF}"
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    mine = leaves.withColumnRenamed("part", "own").drop("g")
-    got = mine.groupBy("own").cogroup(tops.groupBy("part")).applyInArrow(lambda a, b: _proofs(a, b, arrow), schema)
+    both = tops.withColumn("at", F.lit(-1).cast("long")).unionByName(leaves.drop("g"), allowMissingColumns=True)
+    got = both.repartition("part").sortWithinPartitions("part", "at").mapInArrow(lambda b: prove(b, arrow), schema)
     return got.select(F.col("key").alias(key), *(F.col(f"c_{c}").alias(c) for c in carried), "leaf", "subroot", F.lit(root).cast("string").alias("root"), "proof")
 
 
