@@ -28,6 +28,10 @@ BITS = 64
 BLOCK, LEAST_BLOCKS, AT_ONCE = 1 << 18, 16, 1 << 20
 #: A filter's slots are this full at most.
 LOAD = 0.75
+#: The bitmap that keeps most other texts from being routed has at most 2 ** WORDS rows of 64 bits, 4 MB, and is sent to all workers. It
+#: lets a chance share of other texts through, which grows with the repeated fingerprints (a tenth at some two million) and costs
+#: shuffling only; the exact fingerprints follow by a join.
+WORDS = 18
 
 
 def normalised(text: Column) -> Column:
@@ -204,6 +208,19 @@ def repeated(prints: DataFrame, n_rows: int, bits: int = BITS) -> DataFrame:
     return filters.groupBy("block").applyInArrow(lambda t: _merged(t, block_bits, bits), "fp long, n long")
 
 
+def word_of(fp: Column) -> Column:
+    return F.shiftrightunsigned(fp, 64 - WORDS)
+
+
+#: The bit of a fingerprint within its word, as SQL: the six bits that follow.
+BIT = f"cast(shiftrightunsigned(fp, {58 - WORDS}) & 63 as int)"
+
+
+def bitmap(fps: DataFrame) -> DataFrame:
+    """(word, bits): where fingerprints begin."""
+    return fps.groupBy(word_of(F.col("fp")).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {BIT}))").alias("bits"))
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal texts of a batch as one row."""
     for batch in batches:
@@ -225,9 +242,11 @@ def duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     fp = fp.bitwiseAND(-1 << (64 - bits)) if bits < 64 else fp
     prints = docs.select("doc_id", norm.alias("norm")).select("doc_id", sha.alias("sha")).select(F.monotonically_increasing_id().alias("row"), "doc_id", fp.alias("fp"), F.unhex("sha").alias("sha"))
     prints = materialize(prints, "prints")
-    more = repeated(prints, prints.count(), bits).select("fp")
-    texts = docs.select("doc_id", norm.alias("norm")).withColumn("sha", sha).select(fp.alias("fp"), "norm", "doc_id").mapInArrow(_grouped, f"fp long, norm string, n long, least {kind}")
-    groups = texts.join(more, "fp").groupBy("fp", "norm").agg(F.sum("n").alias("n"), F.min("least").alias("least"))  # by their bytes
+    more = materialize(repeated(prints, prints.count(), bits).select("fp"), "repeated")
+    texts = docs.select("doc_id", norm.alias("norm")).withColumn("sha", sha).select(fp.alias("fp"), "norm", "doc_id")
+    texts = texts.join(F.broadcast(bitmap(more)), word_of(F.col("fp")) == F.col("word")).where("shiftrightunsigned(bits, " + BIT + ") & 1 = 1").select("fp", "norm", "doc_id")
+    texts = texts.mapInArrow(_grouped, f"fp long, norm string, n long, least {kind}")
+    groups = texts.join(more.hint("merge"), "fp").groupBy("fp", "norm").agg(F.sum("n").alias("n"), F.min("least").alias("least"))  # by their bytes
     groups = groups.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "n", "least").groupBy("fp", "sha").agg(F.count("*").alias("texts"), F.first("n").alias("n"), F.first("least").alias("least"))
     clash = F.raise_error(F.lit("two different texts have one SHA-256 digest"))
     groups = groups.select("fp", "sha", F.when(F.col("texts") > 1, clash.cast("long")).otherwise(F.col("n")).alias("n"), "least")
