@@ -47,10 +47,17 @@ def checked(raw: DataFrame) -> DataFrame:
     return d.withColumn("error", error.when(known & (F.col("state") != "ok"), F.concat(F.lit("region: "), F.col("state"))))
 
 
-def typed(checked_rows: DataFrame) -> DataFrame:
-    """The target regions' rows; the region is its canonical label."""
+def typed(checked_rows: DataFrame, *more: str) -> DataFrame:
+    """The target regions' rows, with `more` of their columns; the region is its canonical label."""
     d = checked_rows.where("error is null and state = 'ok'")
-    return d.select("address_key", F.col("target").alias("region"), "name", "address", "brand", "self_yn", *FUELS)
+    return d.select("address_key", F.col("target").alias("region"), "name", "address", "brand", "self_yn", *FUELS, *more)
+
+
+def once(df: DataFrame, key: str, row: str = "row_num") -> DataFrame:
+    """The first row of each key, with the times that the key occurs and its last row's number. The same deal of rows by the key
+    serves a join on it afterwards."""
+    first = F.struct(row, *(c for c in df.columns if c not in (key, row)))
+    return df.groupBy(key).agg(F.min(first).alias("first"), F.count("*").alias("times"), F.max(row).alias("last_row")).select(key, "first.*", "times", "last_row")
 
 
 def duplicate_keys(df: DataFrame, *keys: str, row: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import fixed_decimal, lenient_int
+from ..functions.parse import fixed_decimal, lenient_int, with_ratio_text
 from ..functions.region import REGIONS
 from ..functions.text import trim
 from .feed import FUELS
@@ -49,10 +49,17 @@ def load_params(inputs: DataFrame, rates: DataFrame) -> Params:
     known = rates.select("row_num", trim(F.col("region")).alias("region"), "rate", rate.alias("exact"), bad.alias("bad")).where("region <> ''")
     if (r := known.where("bad").orderBy("row_num").first()) is not None:
         raise ValueError(f"the rate of {r['region']} is {r['rate']!r}")
-    last = known.where(F.col("region").isin(*REGIONS) & F.col("exact").isNotNull()).groupBy("region").agg(F.max_by("exact", "row_num").alias("rate")).collect()  # seven rows at most
+    last = last_rates(rates).collect()  # seven rows at most
     return Params({c: number(f"quantity_{c}") for c in FUELS}, {c: cells[f"average_{c}"]["whole"] for c in FUELS}, number("smart_discount"), {r["region"]: r["rate"] for r in last})
 
 
+def last_rates(rates: DataFrame) -> DataFrame:
+    """(region, rate): of each region's rates the last one that isn't blank."""
+    rate, _ = fixed_decimal(F.col("rate"))
+    known = rates.select("row_num", trim(F.col("region")).alias("region"), rate.alias("rate"))
+    return known.where(F.col("region").isin(*REGIONS) & F.col("rate").isNotNull()).groupBy("region").agg(F.max_by("rate", "row_num").alias("rate"))
+
+
 def dec(value: object, kind: str) -> Column:
     return F.lit(str(value)).cast(kind)
 
@@ -89,6 +96,17 @@ def priced(master: DataFrame, params: Params) -> DataFrame:
 
 
 
+def with_unit_texts(priced_rows: DataFrame, params: Params) -> DataFrame:
+    """The unit prices' exact texts, null without a total or quantities."""
+    whole = params.total()
+    d = priced_rows
+    for name, total in (("unit_text_with", "regional_total"), ("unit_text_without", "total_price")):
+        # both as whole numbers of 10 ** -12
+        above = (F.col(total) * F.lit(Decimal(10**12))).cast("decimal(38,0)") if whole else F.lit(None).cast("decimal(38,0)")
+        d = with_ratio_text(d, name, above, F.lit(Decimal(int(whole * 10**12))).cast("decimal(38,0)"))
+    return d
+
+
 def order_keys() -> list[Column]:
     """After the total: rate-adjusted prices, nulls last, then text in byte order, then the order before, new rows last."""
     return [*(F.col(f"order_{c}").asc_nulls_last() for c in FUELS), F.col("region"), F.col("name"), F.col("address"), F.col("row_num").asc_nulls_last()]

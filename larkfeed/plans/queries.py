@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse, region, text
-from ..operators import gates, pricing, reconcile
+from ..operators import gates, pricing, reconcile, verify
 from ..operators.feed import FUELS, checked, duplicate_keys, typed
-from ..sources.fixtures import FEED_RAW, INPUTS, MASTER, feed_raw, inputs, master
+from ..sources import store
+from ..sources.fixtures import FEED_RAW, INPUTS, MASTER, RATES, feed_raw, inputs, master, rates
+from ..sources.scratch import folder, kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,14 +148,38 @@ def change_counts_by_reason(spark: SparkSession, d: str) -> DataFrame:
  fresh AS (SELECT {', '.join(f'new_{c} AS {c}' for c in ('region', 'name', 'address', 'brand', 'self_yn', *FUELS))}, (SELECT ultra_flag FROM last) AS ultra_flag, (SELECT currency_apply FROM last) AS currency_apply, false AS smart_excluded, true AS added FROM pairs WHERE kind = 'new')
  SELECT * FROM kept UNION ALL SELECT * FROM fresh""")
 def merged_master(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.merged(_pairs(spark, d), reconcile.template(reconcile.keyed(master(spark, d)))).drop("row_num")
+    pairs = kept(_pairs(spark, d), "pairs")
+    return reconcile.merged(pairs, reconcile.template(pairs.where("in_master"))).drop("row_num")
+
+
+ORACLES["merged_master_stored"] = ORACLES["merged_master"]
+
+
+@query()
+def merged_master_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a master that is kept by buckets of its key: only the feed is dealt."""
+    m = reconcile.keyed(master(spark, d))
+    path = folder(spark, "master")
+    store.write_bucketed(m.where("address_key is not null"), path, "address_key", 8)
+    addressed = store.read_bucketed(spark, path, store.ddl_of(m), "address_key", 8)
+    rest = kept(m.where("address_key is null"), "unaddressed")
+    pairs = reconcile.stored_compared(typed(checked(feed_raw(spark, d)), "row_num"), addressed, rest, 8)
+    last = reconcile.template(addressed.select(*reconcile.CARRIED, "row_num").unionByName(rest.select(*reconcile.CARRIED, "row_num")))
+    return reconcile.merged(pairs, last).drop("row_num")
+
+
+@query(f"""WITH {PAIRS_CTE}, log AS (SELECT coalesce(new_region, old_region) AS region, coalesce(new_name, old_name) AS name, coalesce(new_address, old_address) AS address, reason, row_num, CASE kind WHEN 'matched' THEN 0 WHEN 'new' THEN 1 ELSE 2 END AS k FROM pairs WHERE reason <> '')
+ SELECT row_number() OVER (ORDER BY k, CASE WHEN k <> 1 THEN row_num END, region, name, address) AS seq, region, name, address, reason FROM log""")
+def change_log_order(spark: SparkSession, d: str) -> DataFrame:
+    """The log as a stored table has it: each row with its place."""
+    return kept(reconcile.sequenced(reconcile.change_log(_pairs(spark, d))), "log").select("seq", "region", "name", "address", "reason")
 
 
 # ---------------------------------------------------------------- gates
 
 @query(f"WITH {PAIRS_CTE}, f AS (SELECT region, count(*) AS n FROM feed GROUP BY region), k AS (SELECT kind, {key_sql('old_region')} AS r, {key_sql('old_address')} AS a FROM pairs WHERE kind <> 'new'), t AS (SELECT kind, {flexible_sql('r', 'a')} AS region FROM k), m AS (SELECT region, count(*) AS n, count(*) FILTER (kind = 'matched') AS k FROM t WHERE region IS NOT NULL GROUP BY 1) SELECT coalesce(f.region, m.region) AS region, coalesce(f.n, 0) AS feed_rows, coalesce(m.n, 0) AS existing_rows, coalesce(m.k, 0) AS matched_rows FROM f FULL OUTER JOIN m ON f.region = m.region")
 def region_counts(spark: SparkSession, d: str) -> DataFrame:
-    return gates.region_counts(_feed(spark, d), _pairs(spark, d))
+    return gates.region_counts(_pairs(spark, d))
 
 
 @query(f"WITH {FEED_CTE} SELECT count(*) AS n, count(*) FILTER (brand <> '') AS brands, count(diesel) AS diesel, count(gasoline) AS gasoline, count(premium) AS premium FROM feed")
@@ -222,14 +248,44 @@ _CELL = "(SELECT CAST(floor(CAST(replace(value, ',', '') AS DOUBLE) + 0.5) AS BI
 _CELLS = ", ".join(f"{_CELL.format(f'{k}_{c}')} AS {k[0]}_{c}" for k in ("quantity", "average") for c in FUELS)
 
 
-@query(f"WITH cells AS ({INPUTS.replace('SELECT * FROM VALUES', 'SELECT * FROM (VALUES').replace(' AS t(', ') AS t(')}), c AS (SELECT {_CELLS}) SELECT CAST(q_gasoline + q_premium + q_diesel AS DOUBLE) AS quantity, CAST(q_gasoline * a_gasoline + q_premium * a_premium AS DOUBLE) / (q_gasoline + q_premium) AS average_with_premium, CAST(q_gasoline * a_gasoline + q_premium * a_diesel AS DOUBLE) / (q_gasoline + q_premium) AS average_with_diesel, CAST(NULL AS VARCHAR) AS error FROM c")
+@query(f"WITH cells AS ({INPUTS}), c AS (SELECT {_CELLS}) SELECT CAST(q_gasoline + q_premium + q_diesel AS DOUBLE) AS quantity, CAST(q_gasoline * a_gasoline + q_premium * a_premium AS DOUBLE) / (q_gasoline + q_premium) AS average_with_premium, CAST(q_gasoline * a_gasoline + q_premium * a_diesel AS DOUBLE) / (q_gasoline + q_premium) AS average_with_diesel, CAST(NULL AS VARCHAR) AS error FROM c")
 def input_summary(spark: SparkSession, d: str) -> DataFrame:
-    return pricing.input_summary(inputs(spark))
+    return pricing.input_summary(inputs(spark, d))
+
+
+RATES_CTE = f"rows AS ({RATES}), rates AS (SELECT trim(region) AS region, arg_max(rate, row_num) AS rate FROM rows WHERE rate <> '' AND trim(region) IN ('대전', '세종', '청주', '공주', '보령', '아산', '천안') GROUP BY 1)"
+
+
+@query(f"WITH {RATES_CTE} SELECT region, CAST(round(CAST(rate AS DOUBLE) * 100) AS BIGINT) AS percent FROM rates")
+def region_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rates of a run from their table."""
+    return pricing.last_rates(rates(spark, d)).select("region", (100 * F.col("rate")).cast("long").alias("percent"))
+
+
+def _ratio_sql(x: str) -> str:
+    """x / D for an odd D that ends never but in whole numbers, of four digits before the point."""
+    digits = f"replace(format('{{:.16e}}', CAST({x} AS DOUBLE) / CAST(D AS DOUBLE)), '.', '')"
+    return f"CASE WHEN {x} % D = 0 THEN CAST({x} // D AS VARCHAR) WHEN {x} IS NOT NULL THEN substr({digits}, 1, 4) || '.' || rtrim(substr({digits}, 5, 13), '0') END"
+
+
+#: Totals and quantities twice, as both may end in a half.
+LOADED_CTE = f"""{MASTER_CTE}, {RATES_CTE}, cells AS ({INPUTS}), v AS (SELECT {', '.join(f"CAST(2 * max(CAST(replace(value, ',', '') AS DOUBLE)) FILTER (name = '{c}') AS BIGINT) AS {c}" for c in ('quantity_gasoline', 'quantity_diesel', 'smart_discount'))} FROM cells),
+ s AS (SELECT old.*, v.*, CASE WHEN contains(name, '현대오일뱅크') AND contains(name, '직영') AND NOT smart_excluded THEN smart_discount // 2 ELSE 0 END AS sd, quantity_gasoline + quantity_diesel AS D, CASE WHEN upper(trim(currency_apply)) <> 'Y' THEN 0 ELSE CAST(round(CAST(rates.rate AS DOUBLE) * 100) AS BIGINT) END AS pct FROM old CROSS JOIN v LEFT JOIN rates ON rates.region = old.region),
+ t AS (SELECT row_num, D, pct, (gasoline + sd) * quantity_gasoline + (diesel + sd) * quantity_diesel AS total FROM s),
+ loaded AS (SELECT row_num, D, 2 * total AS total, 2 * (total - 2 * (total * pct // 200)) AS regional FROM t)"""
+
+
+@query(f"WITH {LOADED_CTE} SELECT row_num, {_ratio_sql('(regional // 2)')} AS unit_text_with, {_ratio_sql('(total // 2)')} AS unit_text_without FROM loaded")
+def unit_price_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Unit prices as exact text, with quantities, discount and rates from tables."""
+    params = pricing.load_params(inputs(spark, d), rates(spark, d))
+    return pricing.with_unit_texts(pricing.priced(reconcile.keyed(master(spark, d)), params), params).select("row_num", "unit_text_with", "unit_text_without")
 
 
 @query(f"WITH {PRICED_CTE} SELECT row_num, regional AS regional_total, CASE WHEN regional IS NOT NULL THEN rank() OVER (ORDER BY regional NULLS LAST) END AS rank FROM priced")
 def price_rank(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.competition_rank(_priced(spark, d), "regional_total").select("row_num", *_long("regional_total", "rank"))
+    keys = kept(_priced(spark, d).select("row_num", "regional_total"), "keys")
+    return reconcile.competition_rank(keys, "regional_total").select("row_num", *_long("regional_total", "rank"))
 
 
 _ORDER = "regional NULLS LAST, ag * (100 - pct) NULLS LAST, ap * (100 - pct) NULLS LAST, ad * (100 - pct) NULLS LAST, region, name, address, row_num"
@@ -237,7 +293,8 @@ _ORDER = "regional NULLS LAST, ag * (100 - pct) NULLS LAST, ap * (100 - pct) NUL
 
 @query(f"WITH {PRICED_CTE} SELECT row_num, row_number() OVER (ORDER BY {_ORDER}) AS position FROM priced")
 def master_order(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.positions(_priced(spark, d), "regional_total", pricing.order_keys()).select("row_num", *_long("position"))
+    keys = _priced(spark, d).select("row_num", "region", "name", "address", "regional_total", *(f"order_{c}" for c in FUELS))
+    return reconcile.positions(keys, "regional_total", pricing.order_keys()).select("row_num", *_long("position"))
 
 
 @query(f"WITH {PRICED_CTE} SELECT name, address, regional AS regional_total FROM priced ORDER BY {_ORDER} LIMIT 20")
@@ -246,6 +303,22 @@ def cheapest20(spark: SparkSession, d: str) -> DataFrame:
     return _priced(spark, d).orderBy(F.col("regional_total").asc_nulls_last(), *pricing.order_keys()).limit(20).select("name", "address", *_long("regional_total"))
 
 
+_DIFFERS = {c: "count(*) FILTER (false)" for c in verify.DERIVED} | {"regional_total": "count(*) FILTER (row_num % 13 = 0 AND regional IS NOT NULL)", "rank": "count(*) FILTER (row_num % 17 = 0)", "position": "max(1)", "order": "count(*) FILTER (moved AND regional IS NOT NULL)"}
+
+
+@query(f"WITH {PRICED_CTE}, p AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) = 1 AS moved FROM priced) " + " UNION ALL ".join(f"SELECT '{k}' AS what, CAST({v} AS BIGINT) AS n FROM p" for k, v in _DIFFERS.items()))
+def committed_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the check of a committed master finds where some totals and ranks are changed and the first place is lost."""
+    p = _priced(spark, d).withColumn("row_id", F.col("row_num"))
+    keys = kept(p.select("row_id", "row_num", "region", "name", "address", "regional_total", *(f"order_{c}" for c in FUELS)), "keys")
+    at = reconcile.competition_rank(reconcile.positions(keys, "regional_total", pricing.order_keys()), "regional_total").select("row_id", "rank", "position")
+    stored = p.join(at, "row_id").withColumns({
+        "regional_total": F.when(F.expr("row_num % 13 = 0"), F.col("regional_total") + 1).otherwise(F.col("regional_total")).cast("decimal(28,12)"),
+        "rank": F.when(F.expr("row_num % 17 = 0"), F.coalesce("rank", F.lit(0)) + 1).otherwise(F.col("rank")), "position": F.when(F.col("position") == 1, 1_000_000_000).otherwise(F.col("position")),
+    })
+    return verify.problems(stored, PARAMS)
+
+
 # ---------------------------------------------------------------- number grammars
 
 _TEXTS = "CASE CAST(c_custkey % 8 AS INT) WHEN 0 THEN CAST(c_custkey AS STRING) WHEN 1 THEN '1,' || CAST(c_custkey AS STRING) || '.5' WHEN 2 THEN '.5' WHEN 3 THEN '-' || CAST(c_custkey AS STRING) || '.5' WHEN 4 THEN '1e3' WHEN 5 THEN '5.' WHEN 6 THEN '99999999999' ELSE '' END"

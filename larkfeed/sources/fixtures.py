@@ -37,21 +37,22 @@ MASTER = f"""SELECT k AS row_num,
  k % 15 = 0 AS smart_excluded
  FROM ({_BASE}) AS b WHERE r < 7 AND k % 13 <> 5"""
 
-#: The input cells and the table of rates, as text: the last rate of a label that isn't blank counts.
-INPUTS = "SELECT * FROM VALUES ('quantity_gasoline', '30'), ('quantity_premium', '0.0'), ('quantity_diesel', '1,9.5'), ('average_gasoline', '1,700'), ('average_premium', '1900'), ('average_diesel', '1499.5'), ('smart_discount', '-25') AS t(name, value)"
-RATES = "SELECT * FROM VALUES (4, '대전', '0.5'), (5, '대전', '0.07'), (6, ' 세종 ', '0.07'), (7, '청주', '0.0700'), (8, '공주', '0.07'), (9, '보령', '0.07'), (10, '아산', '0.07'), (11, '천안', '0.07'), (12, '천안', ''), (13, '서울', '0.9') AS t(row_num, region, rate)"
+_CELL = "SELECT '{}' AS name, {} AS value FROM customer"
+#: The input cells as text, from the number of customers.
+INPUTS = " UNION ALL ".join(
+    _CELL.format(name, value)
+    for name, value in {
+        "quantity_gasoline": "CAST(count(*) % 40 + 10 AS STRING)", "quantity_premium": "CAST(count(*) * 0 AS STRING) || '.0'", "quantity_diesel": "'1,' || CAST(count(*) % 10 AS STRING) || '.5'",
+        "average_gasoline": "'1,' || CAST(count(*) % 300 + 600 AS STRING)", "average_premium": "CAST(count(*) % 100 + 1900 AS STRING)", "average_diesel": "CAST(count(*) % 90 + 1409 AS STRING) || '.5'", "smart_discount": "'-' || CAST(count(*) % 7 + 20 AS STRING)",
+    }.items()
+)
+#: The table of rates as text, from the nations: the last rate of a label that isn't blank counts; some labels are no regions.
+RATES = """SELECT n_nationkey AS row_num, CASE n_nationkey % 9 WHEN 0 THEN '대전' WHEN 1 THEN ' 세종 ' WHEN 2 THEN '청주' WHEN 3 THEN '공주' WHEN 4 THEN '보령' WHEN 5 THEN '아산' WHEN 6 THEN '천안' WHEN 7 THEN '서울' ELSE '' END AS region,
+ CASE WHEN n_nationkey % 5 = 4 THEN '' ELSE '0.0' || CAST(n_nationkey % 7 + 1 AS STRING) || '0' END AS rate FROM nation"""
 
 
-def inputs(spark: SparkSession) -> DataFrame:
-    return spark.sql(INPUTS)
-
-
-def rates(spark: SparkSession) -> DataFrame:
-    return spark.sql(RATES)
-
-
-def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+def _run(spark: SparkSession, sf_dir: str, sql: str, table: str = "customer") -> DataFrame:
+    return spark.sql(sql.replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
 
 
 def feed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,3 +61,11 @@ def feed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, MASTER)
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, INPUTS)
+
+
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, RATES, "nation")

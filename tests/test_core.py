@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkfeed.functions import parse, region, text
-from larkfeed.operators import gates, pricing, reconcile
+from larkfeed.operators import gates, pricing, reconcile, verify
 from larkfeed.operators.feed import checked, duplicate_keys, typed
 from larkfeed.plans import job
 from larkfeed.plans.queries import ORACLES, QUERIES
-from larkfeed.sources import fixtures, store
+from larkfeed.sources import fixtures, scratch, store
 from larkfeed.streaming import snapshots
 
 SF = "/root/testdata/sf0.001"
@@ -116,13 +116,17 @@ def test_pricing_without_quantities_and_with_rounding(spark):
 
 
 def test_params(spark):
-    got = pricing.load_params(fixtures.inputs(spark), fixtures.rates(spark))
+    rows = [(4, "대전", "0.5"), (5, "대전", "0.07"), (6, " 세종 ", "0.07"), (7, "청주", "0.0700"), (11, "천안", "0.07"), (12, "천안", ""), (13, "서울", "0.9")]
+    rates = spark.createDataFrame(rows, "row_num int, region string, rate string")
+    inputs = spark.createDataFrame([("quantity_gasoline", "30"), ("quantity_premium", "0.0"), ("quantity_diesel", "1,9.5"), ("average_gasoline", "1,700"), ("average_premium", "1900"), ("average_diesel", "1499.5"), ("smart_discount", "-25")], "name string, value string")
+    got = pricing.load_params(inputs, rates)
     assert got.quantity == {"gasoline": 30, "premium": 0, "diesel": Decimal("19.5")} and got.smart_discount == -25
-    assert got.average == {"gasoline": 1700, "premium": 1900, "diesel": 1500} and got.rates == dict.fromkeys(region.REGIONS, Decimal("0.07"))
+    assert got.average == {"gasoline": 1700, "premium": 1900, "diesel": 1500} and got.rates == dict.fromkeys(("대전", "세종", "청주", "천안"), Decimal("0.07"))
+    assert set(pricing.load_params(fixtures.inputs(spark, SF), fixtures.rates(spark, SF)).rates) == set(region.REGIONS)
     with pytest.raises(ValueError, match="average_diesel"):
-        pricing.load_params(fixtures.inputs(spark).withColumn("value", F.when(F.col("name") != "average_diesel", F.col("value"))), fixtures.rates(spark))
+        pricing.load_params(inputs.withColumn("value", F.when(F.col("name") != "average_diesel", F.col("value"))), rates)
     with pytest.raises(ValueError, match="천안"):
-        pricing.load_params(fixtures.inputs(spark), fixtures.rates(spark).withColumn("rate", F.when(F.col("region") == "천안", "7%").otherwise(F.col("rate"))))
+        pricing.load_params(inputs, rates.withColumn("rate", F.when(F.col("region") == "천안", "7%").otherwise(F.col("rate"))))
     cells = lambda **x: spark.createDataFrame([(k, v) for k, v in ({n: "0" for n in pricing.INPUTS} | x).items()], "name string, value string")
     summary = lambda **x: pricing.input_summary(cells(**x)).first().asDict()
     assert summary() == {"quantity": 0.0, "average_with_premium": None, "average_with_diesel": None, "error": None}
@@ -140,18 +144,22 @@ def test_schemas_and_order_of_errors(spark):
     assert [r["error"] for r in checked(feed_of(spark, *rows)).orderBy("row_num").collect()] == ["bad diesel", "bad gasoline", "no name", "bad premium", "bad service", "no address"]
 
 
-def test_result_gates(spark):
-    counts = lambda *x: spark.createDataFrame([(r, 9, a, b) for r, a, b in x], "region string, feed_rows long, existing_rows long, matched_rows long")
-    sums = lambda existing, closed: spark.createDataFrame([(existing, closed)], "existing long, closed long")
-    gates.check_result(counts(("대전", 3, 2), ("세종", 0, 0)), sums(10, 4))
-    for c, s, message in ((counts(("세종", 3, 1), ("대전", 5, 2)), sums(10, 0), "대전: 2 of 5"), (counts(("대전", 0, 0)), sums(0, 0), "no rows"), (counts(("대전", 2, 1)), sums(10, 5), "would be closed")):
+def test_result_gates():
+    def seen(existing=10, closed=0, **regions):
+        return {"existing": existing, "closed": closed, **{f"{k} {r}": 0 for r in region.REGIONS for k in ("existing", "matched")}, **{f"{k} {r}": v for r, x in regions.items() for k, v in zip(("existing", "matched"), x, strict=True)}}
+
+    gates.check_result(seen(10, 4, 대전=(3, 2), 세종=(0, 0)))
+    for metrics, message in ((seen(세종=(3, 1), 대전=(5, 2)), "대전: 2 of 5"), (seen(0), "no rows"), (seen(10, 5, 대전=(2, 1)), "would be closed")):
         with pytest.raises(gates.GateError, match=message):
-            gates.check_result(c, s)
-    old = fixtures.master(spark, SF)
-    twice = reconcile.keyed(old.unionByName(old.where("row_num = 2").withColumn("row_num", F.lit(7777).cast("long"))))
-    with pytest.raises(gates.GateError, match="7777"):
-        gates.check_keys(duplicate_keys(twice.where("address_key is not null"), "address_key", row="row_num"))
-    gates.check_keys(duplicate_keys(reconcile.keyed(old).where("address_key is not null"), "address_key", row="row_num"))
+            gates.check_result(metrics)
+
+
+def test_region_counts(spark):
+    """A row counts for the region of either side."""
+    old = master_of(spark, (1, "청주", "a", "충북 청주시 1", {}), (2, "대전", "b", "서구 2", {}), (3, "서울", "c", "서울 3", {}))
+    feed = typed(checked(feed_of(spark, ("충북 청주시", "a", "충북 청주시 1", "b", "일반", "1,000", "-", "900"), ("세종시", "n", "세종 9", "b", "일반", "1,000", "-", "900"))))
+    got = gates.region_counts(reconcile.compared(feed, old)).collect()
+    assert sorted(map(tuple, got)) == [("대전", 0, 1, 0), ("세종", 1, 0, 0), ("청주", 1, 1, 1)]
 
 
 def test_log_order_and_escapes(spark):
@@ -187,29 +195,220 @@ def test_oracle(spark, name):
     assert sorted((tuple(r) for r in got.select(*names).collect()), key=repr) == want
 
 
-def test_apply_twice_and_commit(spark, tmp_path):
-    feed, old = fixtures.feed_raw(spark, "/root/testdata/sf0.01"), fixtures.master(spark, "/root/testdata/sf0.01")
-    root = str(tmp_path / "state")
-    lines = job.run(spark, root, feed, old, pricing.Params(), datetime(2026, 1, 1, 20, tzinfo=timezone.utc))
-    assert any(x.startswith("existing: ") for x in lines) and "... of" in " ".join(lines)
-    first = store.current(root)
-    stored = store.read(spark, root, "change_log")
-    assert "kind_ord" not in stored.columns and "smart_excluded" in store.read(spark, root, "master").columns
-    again = store.read(spark, root, "master").withColumn("row_num", F.col("position"))
-    pairs = reconcile.compared(typed(checked(feed)), again)
-    assert reconcile.change_log(pairs).count() == 0
-    assert store.read(spark, root, "change_log").first()["as_of"] == "2026-01-02"
-    with pytest.raises(RuntimeError):
-        store.commit(spark, root, {"x": spark.range(1)}, verify=lambda _: (_ for _ in ()).throw(RuntimeError("no")))
-    assert store.current(root) == first and len(list((tmp_path / "state").glob("v-*"))) == 1
-    with store.run_lock(root), pytest.raises(RuntimeError), store.run_lock(root):
+NOW = datetime(2026, 1, 1, 20, tzinfo=timezone.utc)
+BIG = "/root/testdata/sf0.01"
+
+
+@pytest.fixture
+def root(spark, tmp_path):
+    """A store whose first version is the master."""
+    job.seed(spark, str(tmp_path / "state"), fixtures.master(spark, BIG), 4)
+    return str(tmp_path / "state")
+
+
+def stored_master(spark, root):
+    return store.read(spark, root, "master").unionByName(store.read(spark, root, "unaddressed"))
+
+
+def test_run_twice(spark, root):
+    feed, params = fixtures.feed_raw(spark, BIG), pricing.load_params(fixtures.inputs(spark, BIG), fixtures.rates(spark, BIG))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = job.run(spark, root, feed, params, NOW, 4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pairs = reconcile.compared(typed(checked(feed)), fixtures.master(spark, BIG))
+    assert lines[:4] == [f"{k}: {v}" for k, v in gates.totals(pairs).first().asDict().items()] and "... of" in " ".join(lines)
+    want = [tuple(r) for r in reconcile.in_log_order(reconcile.change_log(pairs)).drop("kind_ord", "row_num").collect()]
+    log = store.read(spark, root, "change_log")
+    assert len(log.inputFiles()) > 1
+    rows = log.orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(1, len(want) + 1)) and [tuple(r)[: len(want[0])] for r in log.select(*reconcile.change_log(pairs).drop("kind_ord", "row_num").columns, "seq").orderBy("seq").collect()] == want
+    assert {r["as_of"] for r in rows} == {"2026-01-02"} and store.current(spark, root)["number"] == 2
+    verify.check(stored_master(spark, root), params)
+    job.run(spark, root, feed, params, NOW, 4)
+    assert store.read(spark, root, "change_log").count() == 0 and store.current(spark, root)["number"] == 3
+    with store.run_lock(spark, root), pytest.raises(store.Conflict), store.run_lock(spark, root):
         pass
 
 
-def test_gates(spark):
-    raw = fixtures.feed_raw(spark, SF)
-    for change, message in ((raw.where("false"), "no row of a target"), (raw.where("row_num % 9 <> 2"), "청주"), (raw.withColumn("premium", F.lit("-")), "premium"), (raw.withColumn("brand", F.lit("")), "brands"), (raw.withColumn("gasoline", F.lit("x")), "rule"), (raw.withColumn("self_yn", F.lit("?")), "rule"), (raw.union(raw), "twice")):
-        rows = checked(change)
-        feed = typed(rows)
+def test_gates_by_observation(spark, root, monkeypatch):
+    """Every gate that looks at the feed or the pairs is judged by what was seen while they were written: two writes, no other action."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    writes, actions = [], []
+    keep = scratch.kept
+    monkeypatch.setattr(scratch, "kept", lambda df, name: writes.append(name) or keep(df, name))
+    for name in ("collect", "first", "count", "take", "head", "isEmpty", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, (lambda n, f: lambda *a, **k: actions.append(n) or f(*a, **k))(name, getattr(DataFrame, name)))
+    monkeypatch.setattr(job, "priced_in_order", lambda *_: (_ for _ in ()).throw(RuntimeError("gates passed")))
+    raw = fixtures.feed_raw(spark, BIG)
+    with pytest.raises(RuntimeError, match="gates passed"):
+        job.run(spark, root, raw, pricing.Params(), NOW, 4)
+    assert writes == ["feed", "pairs"] and not actions
+    sejong = F.when(F.expr("row_num = 20"), F.lit("세종특별자치시 한누리대로")).otherwise(F.col("address"))
+    again = raw.where("row_num = 30").withColumn("row_num", F.lit(10).cast("long"))
+    late = raw.where("row_num = 2").withColumn("row_num", F.lit(5000).cast("long"))
+    cases = (
+        (raw.where("false"), "no row of a target"), (raw.where("row_num % 9 <> 2"), "청주"), (raw.withColumn("premium", F.lit("-")), "premium"), (raw.withColumn("brand", F.lit("")), "brands"), (raw.withColumn("gasoline", F.lit("x")), "rule"), (raw.withColumn("self_yn", F.lit("?")), "rule"),
+        (raw.union(raw), "twice"), (raw.withColumn("address", sejong), "contradict.*20"), (raw.withColumn("address", sejong).union(late), "contradict"), (raw.withColumn("address", sejong).union(again).union(again), "twice.*10"),
+        (raw.withColumn("address", sejong).withColumn("premium", F.when(F.expr("row_num = 900"), "x").otherwise(F.col("premium"))), "rule.*900"),
+    )
+    for change, message in cases:
+        with pytest.raises(gates.GateError, match=message):
+            job.run(spark, root, change, pricing.Params(), NOW, 4)
+    assert store.current(spark, root)["number"] == 1
+
+
+def test_gates_of_the_master(spark, tmp_path):
+    feed, old = fixtures.feed_raw(spark, BIG), fixtures.master(spark, BIG)
+    for change, params, message in (
+        (old.unionByName(old.where("row_num = 2").withColumn("row_num", F.lit(7777).cast("long"))), pricing.Params(), "rows 2 and 7777"), (old, pricing.Params(rates={}), "no rate"),
+        (old.withColumn("address", F.concat("address", F.when(F.expr("region = '세종' and address <> ''"), F.lit(" x")).otherwise(""))), pricing.Params(), "세종: 2 of"), (old.where("false"), pricing.Params(), "no rows"),
+    ):
+        path = str(tmp_path / message[:4])
+        job.seed(spark, path, change, 4)
         with pytest.raises(gates.GateError, match=message):
-            gates.check_feed(rows, feed, duplicate_keys(feed, "address_key"))
+            job.run(spark, path, feed, params, NOW, 4)
+
+
+def test_bucketed_master_is_not_dealt(spark, root):
+    """The plan of a run's join has an exchange on the feed's side only, also with the master's keys counted."""
+    feed = typed(checked(fixtures.feed_raw(spark, BIG)), "row_num")
+    d = reconcile.stored_compared(feed, *job.state(spark, root))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange ") == 1 and "FullOuter" in plan and "Bucketed: true" in plan
+    assert d.count() == reconcile.compared(typed(checked(fixtures.feed_raw(spark, BIG))), fixtures.master(spark, BIG)).count()
+
+
+# ---------------------------------------------------------------- store
+
+
+@pytest.mark.parametrize("kind", ["file", "viewfs"])
+def test_two_committers(spark, tmp_path, kind):
+    """Both begin at one version; the second to finish fails and leaves nothing. Below a local folder and any other Hadoop path."""
+    root = str(tmp_path / "s")
+    if kind == "viewfs":
+        (tmp_path / "s").mkdir()
+        spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lark.link./s", f"file://{tmp_path}/s")
+        root = "viewfs://lark/s"
+    assert store.commit(spark, root, {"t": spark.range(3)}) == 1
+    inner = lambda _: store.commit(spark, root, {"t": spark.range(5)})  # noqa: E731  commits between the other's write and its manifest
+    with pytest.raises(store.Conflict, match="version 2"):
+        store.commit(spark, root, {"t": spark.range(9)}, verify=inner)
+    assert store.current(spark, root)["number"] == 2 and store.read(spark, root, "t").count() == 5
+    assert len(list((tmp_path / "s").glob("v-*"))) == 2
+    with pytest.raises(RuntimeError, match="no"):
+        store.commit(spark, root, {"t": spark.range(1)}, verify=lambda _: (_ for _ in ()).throw(RuntimeError("no")))
+    assert store.current(spark, root)["number"] == 2 and len(list((tmp_path / "s").glob("v-*"))) == 2
+    with store.run_lock(spark, root), pytest.raises(store.Conflict), store.run_lock(spark, root):
+        pass
+    with store.run_lock(spark, root):  # it was given back
+        pass
+
+
+def test_committers_at_once(spark, tmp_path):
+    """Of many that create one manifest at the same time, one does."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(10):
+            assert sum(pool.map(lambda i, k=k: store.create_once(spark, str(tmp_path / "m" / f"{k}"), str(i)), range(8))) == 1
+
+
+def test_broken_commit(spark, tmp_path):
+    """A manifest that was begun and not finished: readers don't see it, committers wait for recover."""
+    root = str(tmp_path)
+    store.commit(spark, root, {"t": spark.range(3)})
+    text = (tmp_path / "_versions" / "00000001").read_text()
+    (tmp_path / "_versions" / "00000002").write_text(text[: len(text) // 2])
+    assert store.read(spark, root, "t").count() == 3
+    with pytest.raises(store.Conflict, match="recover"):
+        store.commit(spark, root, {"t": spark.range(4)})
+    store.recover(spark, root)
+    assert store.commit(spark, root, {"t": spark.range(4)}) == 2 and store.read(spark, root, "t").count() == 4
+
+
+def test_fingerprints(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 3 else "x" * (i % 5), float(i)) for i in range(500)] + [(7, "dup", 1.0)] * 2, "a int, b string, c double")
+    of = store.fingerprint_of(df)
+    assert of == store.fingerprint_of(df.repartition(7).orderBy(F.desc("a")))
+    changed = (df.where("a <> 3"), df.union(df.where("a = 3")), df.withColumn("b", F.coalesce("b", F.lit(""))), df.withColumn("c", F.when(F.col("a") == 9, 9.5).otherwise(F.col("c"))), df.where("not (b <=> 'dup')").union(df.where("a in (8, 9)")))
+    assert all(store.fingerprint_of(x) != of for x in changed)
+    swap = lambda *r: store.fingerprint_of(spark.createDataFrame(r, "a string, b string"))
+    assert swap((None, "x")) != swap(("x", None)) and swap(("a", "b"), ("c", "d")) != swap(("a", "d"), ("c", "b"))
+    store.commit(spark, str(tmp_path), {"t": df})
+    store.verify_rows(spark, str(tmp_path))
+    folder = next(tmp_path.glob("v-*")) / "t"
+    part = next(folder.glob("part-*.parquet"))
+    (folder / f"again-{part.name}").write_bytes(part.read_bytes())  # rows twice
+    with pytest.raises(RuntimeError, match="isn't what was written"):
+        store.verify_rows(spark, str(tmp_path))
+
+
+# ---------------------------------------------------------------- check of a version
+
+
+def test_check_of_a_master(spark, root):
+    params = pricing.Params()
+    job.run(spark, root, fixtures.feed_raw(spark, BIG), params, NOW, 4)
+    good = stored_master(spark, root)
+    verify.check(good, params)
+    first, second = F.col("position") == 1, F.col("position") == 2
+    cases = {
+        "total_price": {"total_price": F.when(first, None).otherwise(F.col("total_price"))}, "gasoline": {"gasoline": F.when(first, F.col("gasoline") + 1).otherwise(F.col("gasoline"))}, "rank": {"rank": F.when(first, 2).otherwise(F.col("rank"))},
+        "position": {"position": F.when(first, 2).otherwise(F.col("position"))}, "order": {"position": F.when(first, 900).when(F.col("position") == 900, 1).otherwise(F.col("position"))}, "fuel_total_text": {"fuel_total_text": F.when(second, "x").otherwise(F.col("fuel_total_text"))},
+    }
+    for what, change in cases.items():
+        found = {r["what"]: r["n"] for r in verify.problems(good.withColumns(change), params).collect() if r["n"]}
+        assert ("adj_gasoline" if what == "gasoline" else what) in found, (what, found)
+        assert what in ("gasoline",) or len(found) == 1, (what, found)
+    assert {r["what"] for r in verify.problems(good.where("position <> 5"), params).collect() if r["n"]} >= {"position"}
+    assert all(r["n"] == 0 for r in verify.problems(good.where("false"), params).collect())
+
+
+# ---------------------------------------------------------------- ratios and ranks
+
+
+def ratio_of(n, d):
+    """Long division and Python's exact decimals."""
+    sign = "-" if n and (n < 0) != (d < 0) else ""
+    n, d = abs(n), abs(d)
+    whole, rest = divmod(n, d)
+    text, digits = str(whole), ""
+    while rest and len(digits) < 32:
+        q, rest = divmod(rest * 10, d)
+        digits += str(q)
+    if not rest:
+        return sign + text + ("." + digits if digits else "")
+    head, exponent = f"{Decimal(float(f'{text}.{digits}')):.16e}".split("e")
+    head, at = head.replace(".", ""), int(exponent) + 1
+    out = f"0.{'0' * -at}{head}" if at <= 0 else head + "0" * (at - len(head)) if at >= len(head) else f"{head[:at]}.{head[at:]}"
+    return sign + (out.rstrip("0").rstrip(".") if "." in out else out)
+
+
+def test_ratio_text(spark):
+    import random
+
+    r = random.Random(1)
+    cases = [(0, 5), (1, 3), (2, 3), (-1, 3), (1, -8), (10, 4), (10**20, 7), (1, 2**30), (10**28, 3 * 10**6), (1, 5**20), (1, 2**33), (1, 2**32), (1, 10**12)]
+    cases += [(r.choice([1, -1]) * r.randint(1, 10 ** r.randint(1, 27)), r.choice([1, -1]) * r.randint(1, 10 ** r.randint(1, 11))) for _ in range(1000)]
+    df = spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(cases)] + [(-1, None, "1"), (-2, "1", None)], "i int, a string, b string")
+    got = {x["i"]: x["t"] for x in parse.with_ratio_text(df, "t", F.col("a").cast("decimal(38,0)"), F.col("b").cast("decimal(38,0)")).collect()}
+    assert got.pop(-1) is None and got.pop(-2) is None
+    assert got == {i: ratio_of(*c) for i, c in enumerate(cases)}
+    with pytest.raises(Exception, match="denominator of a ratio is zero"):
+        parse.with_ratio_text(df.where("i = 0"), "t", F.col("a").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).collect()
+
+
+def test_rank_of_a_million_decimals(spark):
+    """Different keys lie in several ranges, and none of them holds most."""
+    df = spark.range(1_000_000).selectExpr("id", "cast((id * 7919 % 1000000) / 100 - 3000 as decimal(28,12)) as t")
+    got = reconcile.competition_rank(df, "t")
+    assert got.where("rank <> id * 7919 % 1000000 + 1").count() == 0 and got.count() == 1_000_000
+    ranges = spark.read.parquet(scratch._made[-1]).groupBy(F.shiftrightunsigned("at__", 33)).count().collect()
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 400_000
