@@ -18,6 +18,8 @@ BESIDE = {
     "share": "share social sharing follow tags meta byline toolbar buttons",
 }
 MAIN = "article content post entry main story body text article-body post-content entry-content main-content prose"
+#: Names that say nothing, for either.
+NEUTRAL = "c1 c2 x y box wrap wrapper inner outer row col grid block page container layout-1 s-2 cell"
 _WORDS = "the of and to in is was for that it with as on be at by this had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
 
 
@@ -46,7 +48,7 @@ def page(seed: int) -> str:
 
     def main_blocks() -> str:
         out = []
-        if r.random() < 0.85:
+        if r.random() < 0.6:
             out.append(f"<h1>\x01{_sentence(r, 1, 10)}</h1>")
         for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
             k = r.random()
@@ -60,6 +62,8 @@ def page(seed: int) -> str:
                 out.append(f"<blockquote><p>\x01{para()}</p></blockquote>")
             elif k < 0.95:
                 out.append(f"<div>\x01{para(8)}</div>")
+            elif k < 0.97:
+                out.append("<table>" + "".join("<tr>" + "".join(f"<td>\x01{_sentence(r, 1, 5)}</td>" for _ in range(2)) + "</tr>" for _ in range(r.randint(2, 4))) + "</table>")
             else:
                 out.append(f'<p>\x01{_sentence(r, 4, 20)} <a href="/x">{_sentence(r, 1, 4)}</a> {_sentence(r, 4, 20)}</p>')
             if r.random() < 0.07:
@@ -70,7 +74,7 @@ def page(seed: int) -> str:
         names = BESIDE[kind]
         links = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{_sentence(r, 1, 3)}</a></li>' for i in range(r.randint(2, 7))) + "</ul>"
         if kind == "nav":
-            return _named(r, "nav", names, links()) if r.random() < 0.7 else _named(r, "div", names, links(), True)
+            return _named(r, "nav", names, links()) if (k := r.random()) < 0.6 else _named(r, "div", names, links(), True) if k < 0.8 else _named(r, "div", NEUTRAL, links())
         if kind in ("header", "footer"):
             inner = r.choice((f"<p>{_sentence(r, 1, 9)}</p>", f"&copy; site.example &middot; {_sentence(r, 1, 12)}", links(), f"<div>{_sentence(r, 1, 9)}</div>", f'<a href="/">{_sentence(r, 1, 3)}</a>'))
             return _named(r, kind, names, inner) if r.random() < 0.7 else _named(r, "div", names, inner, True)
@@ -86,15 +90,31 @@ def page(seed: int) -> str:
             return _named(r, r.choice(("div", "section", "ol")), names, inner, True)
         return _named(r, r.choice(("div", "div", "section", "aside", "p")), names, r.choice((para(2, 25), f"<p>{para(2, 25)}</p>" if kind != "p" else para(2, 25))), True)
 
+    def plain(tag: str, inner: str) -> str:
+        """An element without a name, or with one that says nothing."""
+        return _named(r, tag, NEUTRAL, inner)
+
     core = main_blocks()
     tail = beside("comment") if r.random() < 0.35 else ""
     kind = r.random()
     inside = core + (tail if r.random() < 0.3 else "")
     outside = "" if inside != core else tail
-    body = f"<article>{inside}</article>" if kind < 0.55 else _named(r, "article", MAIN, inside) if kind < 0.7 else _named(r, "main", MAIN, inside) if kind < 0.8 else _named(r, r.choice(("div", "section", "td")), MAIN, inside, True)
-    if r.random() < 0.2:
-        body = f"<main>{body}</main>"
+    if kind < 0.36:
+        body = f"<article>{inside}</article>" if kind < 0.2 else _named(r, "article", MAIN, inside) if kind < 0.25 else _named(r, "main", MAIN, inside) if kind < 0.3 else _named(r, r.choice(("div", "section", "td")), MAIN, inside, True)
+        if r.random() < 0.2:
+            body = f"<main>{body}</main>"
+    elif kind < 0.6:  # nothing around it
+        body = inside
+    elif kind < 0.92:
+        body = inside
+        for _ in range(r.randint(1, 3)):
+            body = plain(r.choice(("div", "div", "section")), body)
+    else:  # a layout of table cells
+        side = f"<td>{beside(r.choice(('nav', 'aside')))}</td>" if r.random() < 0.7 else ""
+        body = f"<table><tr>{side}{plain('td', inside)}</tr></table>"
     before = "".join(beside(k) for k in ("header", "nav", "notice", "ad", "form", "aside", "share") if r.random() < 0.35)
     after = outside + "".join(beside(k) for k in ("share", "aside", "ad", "form", "notice", "nav") if r.random() < 0.25) + (beside("footer") if r.random() < 0.8 else "")
+    lone = r.random()  # pages of nothing but text, or with something on one side only
+    before, after = "" if lone < 0.2 else before, "" if lone < 0.1 or lone > 0.95 else after
     head = f"<head><title>{_sentence(r, 1, 6)}</title><script>var x='<p>no</p>';</script></head>"
     return f"<html>{head}<body>{before}{body}{after}</body></html>"

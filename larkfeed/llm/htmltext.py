@@ -44,7 +44,7 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _HEAD_END = re.compile(r"</head\s*>|<body[\s>]", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-STEPS, PAGES, RATE = 120, 400, 0.15
+STEPS, PAGES, RATE = 120, 700, 0.15
 
 
 class Open:
@@ -182,15 +182,27 @@ def leaf_blocks(html: str, score: dict[str, int] | None = None) -> list[tuple[st
     return out
 
 
-def own_features(text: str, tag: str, linked: int) -> list[str]:
-    """Features of a block beside those of its ancestors."""
-    n = len(text)
-    out = ["*", f"at:{tag}", f"size:{min(7, n.bit_length())}", f"links:{min(4, 4 * linked // max(1, n))}", "ends" if text[-1] in ".?!" else "open"]
-    return [*out, "rights"] if "©" in text else out
+def own_features(blocks: list[tuple[str, tuple, int]]) -> list[list[str]]:
+    """Features of each block beside those of its ancestors: its element, length, links, words and last sign, and the same of the blocks
+    around it, so that main text is known also where no element or name says so."""
+    sizes = [min(8, len(t).bit_length()) for t, _, _ in blocks]
+    links = [min(4, 4 * linked // max(1, len(t))) for t, _, linked in blocks]
+    free = np.cumsum([0, *(max(0, len(t) - linked) for t, _, linked in blocks)]).tolist()
+    longest, n, out = max((len(t) for t, _, _ in blocks), default=1), len(blocks), []
+    beside = ["edge", *(f"{s}:{min(1, k)}" for s, k in zip(sizes, links, strict=True)), "edge"]
+    for i, (text, (_, tag), _) in enumerate(blocks):
+        words = text[:400].split()
+        short = sum(len(w) <= 3 for w in words)
+        own = [
+            "*", f"at:{tag}", f"size:{sizes[i]}", f"links:{links[i]}", f"both:{sizes[i]}:{links[i]}:{tag}", f"short:{4 * short // max(1, len(words))}", f"share:{5 * len(text) // longest}",
+            f"before:{beside[i]}", f"after:{beside[i + 2]}", f"near:{min(11, (free[min(n, i + 4)] - free[max(0, i - 3)]).bit_length())}", "ends" if text[-1] in ".?!" else "open",
+        ]
+        out.append([*own, "rights"] if "©" in text else own)
+    return out
 
 
 def features(blocks: list[tuple[str, tuple, int]]) -> list[set[str]]:
-    return [{*around, *own_features(text, tag, linked)} for text, (around, tag), linked in blocks]
+    return [{*around, *own} for (_, (around, _), _), own in zip(blocks, own_features(blocks), strict=True)]
 
 
 #: Weights are whole numbers of this fraction, so that sums come out the same in any order.
@@ -283,7 +295,7 @@ def fit(rows: list | None = None, steps: int = STEPS, rate: float = RATE) -> Cha
 
 def main_text(html: str | None, chain: Chain) -> str:
     blocks, get = leaf_blocks(html or "", chain.score), chain.score.get
-    sums = [around + sum(get(k, 0) for k in own_features(text, tag, linked)) for text, (around, tag), linked in blocks]
+    sums = [around + sum(get(k, 0) for k in own) for (_, (around, _), _), own in zip(blocks, own_features(blocks), strict=True)]
     return "\n\n".join(b[0] for b, label in zip(blocks, chain.decode(sums), strict=True) if label)
 
 
