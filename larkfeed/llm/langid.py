@@ -1,7 +1,7 @@
 """Language ID (operator 8): interpolated Kneser-Ney character models in sorted hash arrays.
 
 One model of 4-character grams for each language is counted over a bounded sample of the labelled
-documents (SAMPLE for each language, chosen by a hash of the id; a fifth of them is kept apart for
+documents (SAMPLE for each language, different texts, chosen by their hash; a fifth of them is kept apart for
 calibration). All languages' log probabilities of a gram stand in one row of a table whose keys are
 sorted 64-bit hashes; a gram that no language has falls back to shorter ones by the usual weights. Every
 whole document is scored, and the lowest cross-entropy for each character wins.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,17 +181,26 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text, aside): `sample` different labelled texts a language at most, whatever ids there are, and which of them are put aside to find
+    limits: each fifth, so never the only ones. Texts are drawn by their hash: the smallest ones, looked for below a bound that follows
+    from the number of different texts, so that few rows are ranked."""
+    usable = docs.where("lang is not null and text is not null").where(~F.coalesce(held_out(), F.lit(False))).select("lang", "text", F.xxhash64("text").alias("draw"))
+    draws = materialize(usable.select("lang", "draw").distinct(), "lang-draws")
+    sizes = draws.groupBy("lang").agg(F.count("*").alias("size"))  # a row a language
+    share = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
+    near = draws.join(F.broadcast(sizes), "lang").where(share < (4.0 * sample + 200) / F.col("size"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("draw", 1), "draw"))
+    chosen = near.select("lang", "draw", place.alias("place")).where(F.col("place") <= sample)  # bounded: `sample` rows a language
+    got = usable.join(F.broadcast(chosen), ["lang", "draw"]).dropDuplicates(["lang", "draw"])
+    return got.select("lang", "text", (F.col("place") % 5 == 0).alias("aside"))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of the documents (text, lang, doc_id) that aren't held out. doc_id only chooses the sample."""
+    """A model of the documents (text, lang, doc_id) that aren't held out."""
     small_batches(docs.sparkSession)
-    usable = docs.where("lang is not null and text is not null").where(~F.coalesce(held_out(), F.lit(False))).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    limit = F.element_at(F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(1 << 20, int((1 << 20) * sample / n) + 1)))), F.col("lang"))
-    chosen = materialize(usable.where(draw < limit).select("doc_id", "lang", "text"), "lang-sample")
-    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0
+    chosen = materialize(sampled(docs, sample), "lang-sample")
+    aside = F.col("aside")
     got = chosen.where(~aside).mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, g, n = np.array(got["lang"].to_pylist(), object), got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy().astype(np.float64)
     langs = sorted(set(lang))
