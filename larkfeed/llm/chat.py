@@ -15,8 +15,9 @@ Fields of other layouts beside those of one are allowed: if just one layout's pa
 another that is there too, it is taken.
 
 Cases: null roles and texts are empty; turns are ordered by turn, then role and text, null turns
-first; repeated rows are turns each; a JSON record that can't be mapped (no JSON, no known layout, several layouts, no turns, text that isn't
-Unicode) has no turns and is returned by `unmapped` with the reason; a conv_id that isn't a whole number of 64 bits is replaced by a
+first; repeated rows are turns each; a JSON record that can't be mapped (no JSON, no known layout, several layouts, no turns, an item that is no
+turn or has no role or text, text that isn't Unicode) has no turns at all and is returned by `unmapped` with the reason, and so is a table's row without
+turns by `unmapped_rows`; a conv_id that isn't a whole number of 64 bits is replaced by a
 hash of the record; an empty table gives no rows; unknown columns and fields are ignored.
 """
 
@@ -100,6 +101,18 @@ def choose(paths: set[str]) -> dict | None:
     return most[0] if len(most) == 1 else None
 
 
+def _reason(layout: dict) -> Column:
+    """Why a row with a list of turns has none."""
+    each = F.col(layout["each"])
+    return F.when(F.coalesce(F.size(each), F.lit(0)) < 1, "no turns").when(F.exists(each, lambda m: m.isNull()), "an item is no turn")
+
+
+def unmapped_rows(df: DataFrame) -> DataFrame:
+    """The rows of a table of known layout that `table_turns` leaves out, whole, with the reason."""
+    layout = choose(schema_paths(df.schema))
+    return df.withColumn("reason", _reason(layout) if layout and "each" in layout else F.lit(None).cast("string")).where("reason is not null")
+
+
 def table_turns(df: DataFrame) -> DataFrame:
     """Canonical turns of a table whose columns have a known layout."""
     layout = choose(schema_paths(df.schema))
@@ -109,6 +122,7 @@ def table_turns(df: DataFrame) -> DataFrame:
         c, t, r, x = layout["row"]
         return df.select(F.col(c).cast("long").alias("conv_id"), F.col(t).cast("long").alias("turn"), F.coalesce(F.col(r).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(x).cast("string"), F.lit("")).alias("text"))
     if "each" in layout:
+        df = df.where(_reason(layout).isNull())
         turns = F.transform(layout["each"], lambda m: F.struct(role(m[layout["role"]]).alias("role"), F.coalesce(m[layout["text"]], F.lit("")).alias("text")))
     else:
         turns = F.array(*(F.struct(F.lit(who).alias("role"), F.concat_ws("\n", *(F.nullif(F.col(f), F.lit("")) for f in fields)).alias("text")) for who, fields in layout["parts"]))
@@ -144,7 +158,11 @@ def mapped(line: str | None) -> tuple[list[tuple[int, int, str, str]], str | Non
     if "each" in layout:
         if not isinstance(record[layout["each"]], list):
             return [], "unknown layout"
-        turns = [(plain_text(m.get(layout["role"])), plain_text(m.get(layout["text"]))) for m in record[layout["each"]] if isinstance(m, dict)]
+        if not all(isinstance(m, dict) for m in record[layout["each"]]):
+            return [], "an item is no turn"
+        if not all(layout["role"] in m and layout["text"] in m for m in record[layout["each"]]):
+            return [], "a turn without role or text"
+        turns = [(plain_text(m[layout["role"]]), plain_text(m[layout["text"]])) for m in record[layout["each"]]]
     elif "row" in layout:
         turns = [(plain_text(record["role"]), plain_text(record["text"]))]
     else:

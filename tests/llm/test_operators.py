@@ -303,14 +303,54 @@ def test_odd_records(spark):
     reasons = {
         '{"messages": []}': "no turns", '{"prompt": "p"}': "unknown layout", '{"prompt": "\\ud800", "response": "r"}': "not Unicode", '{"prompt": "p", "response": "r", "question": "q", "answer": "a"}': "no one layout",
         '{"messages": {"role": "user", "content": "x"}}': "unknown layout", "[" * 100_000: "no JSON", "{}": "unknown layout", "3": "no record",
+        '{"prompt": "p", "messages": [{"role": "user", "content": null}, 3]}': "an item is no turn", '{"messages": [{"role": "user", "content": "x"}, "lost words", {"role": "user", "content": "y"}]}': "an item is no turn",
+        '{"messages": [{"role": "user", "content": "x"}, {"role": "assistant", "text": "A"}]}': "a turn without role or text", '{"messages": [{"role": "user", "content": "x"}, {"content": "y"}]}': "a turn without role or text", '{"messages": [{"role": "user", "content": "x"}, null]}': "an item is no turn",
     }
-    fine = ['{"conv_id": true, "prompt": "p", "response": "r"}', '{"conv_id": 18446744073709551616, "prompt": "p", "response": "r"}', '{"prompt": "p", "messages": [{"role": "user", "content": null}, 3]}', '{"conv_id": 5, "instruction": "i", "input": "x", "output": {"a": 1}}']
+    fine = ['{"conv_id": true, "prompt": "p", "response": "r"}', '{"conv_id": 18446744073709551616, "prompt": "p", "response": "r"}', '{"prompt": "p", "messages": [{"role": "user", "content": null}]}', '{"conv_id": 5, "instruction": "i", "input": "x", "output": {"a": 1}}']
     records = spark.createDataFrame([(x,) for x in [*reasons, *fine]], "record string")
     assert {r["record"]: r["reason"] for r in chat.unmapped(records).collect()} == reasons
     turns = chat.json_turns(records).collect()
     assert len(turns) == 2 + 2 + 1 + 2 and [r["text"] for r in turns if r["conv_id"] == 5] == ["i\nx", '{"a": 1}']
 
 
+def test_turnless_rows_of_a_table(spark):
+    """Rows of a table that have no turns, or an item that is none, come back whole with the reason."""
+    rows = [(1, [("user", "a"), ("assistant", None)]), (2, []), (3, None), (4, [("user", "x"), None])]
+    df = spark.createDataFrame(rows, "conv_id long, messages array<struct<role: string, content: string>>")
+    assert sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.table_turns(df).collect()) == [(1, 0, "user", "a"), (1, 1, "assistant", "")]
+    assert {r["conv_id"]: r["reason"] for r in chat.unmapped_rows(df).collect()} == {2: "no turns", 3: "no turns", 4: "an item is no turn"}
+    assert chat.unmapped_rows(spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_of_no_rows_and_long_texts(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    assert [r["conv_id"] for r in chat.op7(spark.createDataFrame([], kind)).collect()] == [-1]
+    long = "<|im_end|> word " * 320_000
+    got = {r["conv_id"]: r for r in chat.op7(spark.createDataFrame([(1, 0, "assistant", long), (None, 0, "user", "x")], kind)).collect()}
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest() and got[None]["n_turns"] == 1
+
+
+def test_language_sample(spark):
+    """The sample is bounded whatever ids and texts are, and no language of few documents is put aside whole."""
+    many = spark.range(6000).selectExpr("cast(null as long) doc_id", "concat('the quick brown fox number ', id) text", "'en' lang")
+    same = spark.range(5000).selectExpr("1L doc_id", "'le renard brun' text", "'fr' lang")
+    few = spark.createDataFrame([(None, "der schnelle braune Fuchs", "de"), (None, "el zorro rápido", "es")], "doc_id long, text string, lang string")
+    docs = many.union(same).union(few)
+    n = {(r["lang"], r["aside"]): r["count"] for r in langid.sampled(docs, 50).groupBy("lang", "aside").count().collect()}
+    assert n == {("en", False): 40, ("en", True): 10, ("fr", False): 1, ("de", False): 1, ("es", False): 1}
+    model = langid.train(docs, 50)
+    got = {r["text"]: r["lang_pred"] for r in langid.identify(few.union(same.limit(1)), model, ("text",)).collect()}
+    assert got == {"der schnelle braune Fuchs": "de", "el zorro rápido": "es", "le renard brun": "fr"}
+
+
+def test_language_id_of_no_rows_and_long_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert langid.op8(docs.where("false")).count() == langid.known_language(docs.where("false")).count() == 0
+    long = docs.where("lang = 'de'").limit(1).selectExpr("-1L doc_id", "repeat(concat(text, ' '), cast(5000000 / length(text) as int)) text", "cast(null as string) lang", "source", "n_chars")
+    got = langid.op8(docs.unionByName(long)).where("doc_id = -1").first()
+    assert got["lang_pred"] == "de" and got["score"] > 0.9
+
+
 def test_language_model_by_hand(spark):
     """Interpolated Kneser-Ney probabilities computed from the definition, gram by gram."""
     texts = {"x": ["abab cab", "bca abc aab"], "y": ["ccb bcc", "cabcabb bbb"]}
@@ -408,6 +448,35 @@ def test_html_of_any_depth():
     assert htmltext.main_text(page, chain) == "Title of it\n\nLet x=2 be. More of this text follows here.\n\nAn icon left open does not end the page at all."
 
 
+LINE = "This is a long sentence of a page that goes on for a while, so that it reads like an article. "
+MENU = "<div><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li><li><a href=/b>News</a></li></ul></div>"
+FOOT = "<footer>&copy; 2024 Site</footer>"
+
+
+@pytest.mark.parametrize("html,want", [
+    (f"<body><p>{LINE}</p><p>{LINE * 2}</p></body>", [LINE, LINE * 2]), (f"<body>{MENU}<div id=c1><p>{LINE}</p><p>{LINE * 2}</p></div>{FOOT}</body>", [LINE, LINE * 2]),
+    (f"<body>{MENU}<table><tr><td>{LINE}</td><td>{LINE * 2}</td></tr></table>{FOOT}", [LINE, LINE * 2]), (f"<body><main><article><h1>Title of it</h1><p>{LINE}</p></article></main><div class=comments><p>{LINE}</p></div>{FOOT}", ["Title of it", LINE]),
+    (f"<body><nav>{MENU}</nav><h1>Heading</h1><p>{LINE}</p><p>Short one.</p><p>{LINE}</p><form><p>Search</p></form>{FOOT}", ["Heading", LINE, "Short one.", LINE]), (f"<body>{MENU}<div><div class=x><div><p>{LINE}</p><p>{LINE}</p></div></div></div>{FOOT}", [LINE, LINE]),
+])
+def test_html_without_names(html, want):
+    """Main text in the bare body, in elements that say nothing, in tables, with comments outside."""
+    assert htmltext.main_text(html, htmltext.fit()) == "\n\n".join(x.strip() for x in want)
+
+
+def test_html_of_given_pages(spark):
+    """Each given page has one article, so its whole text is known without the chain; nearly all pages keep it when their article tags are gone."""
+    chain, kept = htmltext.fit(), []
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmltext.op9(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    for r in pages:
+        article = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        want = "\n\n".join(t for t, (around, _), _ in htmltext.leaf_blocks(f"<article>{article}</article>") if not around & {"name:ad", "name:comment", "name:comments"})
+        assert got[r["page_id"]] == (want, len(want))
+        kept += [htmltext.main_text(re.sub("</?article>", "", r["html"]), chain) == want, htmltext.main_text(r["html"].replace("<article>", "<div id=c1>").replace("</article>", "</div>"), chain) == want]
+    assert np.mean(kept) > 0.97
+    assert htmltext.op9(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
+
+
 def test_html(spark):
     chain = htmltext.fit()
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; b</h1><p>One\n two<br>three<p>Four.</article><div class=comments><p>nice!</p></div><footer>&copy; x</footer>"
