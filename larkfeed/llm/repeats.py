@@ -15,7 +15,7 @@ several suffixes are the groups of the next round.
 
 No task depends on how often a string occurs: equal pieces of a slice of about a megabyte are one row before anything is
 shuffled; a route's rows come in order of doc_id, so a class needs one row in memory however many follow; and a route of more than WIDE
-rows is dealt string by string, by a hash of the whole string.
+rows, or with a piece of more than LONG strings, is dealt string by string, by a hash of the whole string, each different string of a document once.
 
 Cases: null or empty texts have no bytes; texts shorter than LENGTH lose nothing; repeated rows of
 a doc_id are judged each (an equal doc_id is not a smaller one), also with different texts; rows
@@ -43,6 +43,10 @@ WIDE = 2000
 SMALL = 24
 #: Strings that are sorted at once.
 BATCH = 400_000
+#: A route with a piece of more strings is dealt string by string as well. Strings of wide routes that are told apart at once, and bytes
+#: that are copied at once: memory only.
+LONG, AT_ONCE, COPIED = 20_000, 200_000, 16 << 20
+PLACES = pa.list_(pa.struct([("start", pa.int32()), ("strings", pa.int32())]))
 
 
 def pieces_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -133,8 +137,36 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         route, first, several, seen = r[-1], firsts[group[-1]], bool(other[group[-1]]), int(nth[-1]) + 1
 
 
+def one_byte_runs(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the string at each place is the one at the place before: then 51 bytes are equal."""
+    change = np.concatenate([[0], np.cumsum(buf[1:] != buf[:-1])])
+    return (at > 0) & (change[np.minimum(at + LENGTH - 1, len(buf) - 1)] == change[np.maximum(at - 1, 0)])
+
+
+def different_strings(buf: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """(indexes into `at`, where each of them stands as runs of start and strings): the different strings of each row, which is a document."""
+    again = one_byte_runs(buf, at)
+    again[0] = False
+    again[1:] &= (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1])
+    head = np.flatnonzero(~again)
+    run = np.diff(np.append(head, len(at)))
+    order, kind = suffix_order(buf, at[head], LENGTH, row[head].astype(np.uint64))
+    by = order[np.lexsort((at[head][order], kind))]
+    kind = np.sort(kind)
+    # neighbours of one class that follow each other are one run
+    place, size = at[head][by], run[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (place[1:] != place[:-1] + size[:-1])
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(size, first)
+    begins = np.flatnonzero(np.diff(kind[first], prepend=-1))
+    ends = pa.array(np.append(begins, len(first)), pa.int32())
+    return head[by[first[begins]]], pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(place[first].astype(np.int32)), pa.array(total.astype(np.int32))], ["start", "strings"]))
+
+
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of pieces (a list of struct for each document); those of wide routes as single strings, each under a route of its own."""
+    """The bytes of pieces (a list of struct for each document); of wide routes each different string of a document once, under a route of its
+    own, with all places where it stands. Strings are told apart where they are; only what goes on is copied."""
     for batch in batches:
         for rows in slices(batch):
             buf, offsets = text_buffer(rows.column(rows.schema.get_field_index("text")))
@@ -142,22 +174,37 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = lists.flatten()
             row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
             start, strings, route, wide = (each.field(k).to_numpy(zero_copy_only=False) for k in ("start", "strings", "route", "wide"))
-            # a wide route's piece becomes a piece for each string
-            times = np.where(wide, strings, 1)
-            which = np.repeat(np.arange(len(start)), times)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-            row, route, wide = row[which], route[which], wide[which]
-            start, strings = start[which] + step, np.where(wide, 1, strings[which])
-            a = offsets[row] + start
-            size = strings + LENGTH - 1
-            ends = np.concatenate([[0], np.cumsum(size)])
-            flat = buf[np.repeat(a - ends[:-1], size) + np.arange(ends[-1])]
-            if wide.any():
-                route = route.copy()
-                route[wide] = signed(mix(signed_bits(route[wide])) ^ range_hashes(flat, ends[:-1][wide], ends[1:][wide]))
-            data = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(route), rows.column(rows.schema.get_field_index("doc_id")).take(at), rows.column(rows.schema.get_field_index("mark")).take(at), pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)), data], ["route", "doc_id", "mark", "start", "strings", "data"])
+
+            def rows_of(row: np.ndarray, start: np.ndarray, strings: np.ndarray, route: np.ndarray, also: pa.Array | None, deal: bool) -> Iterator[pa.RecordBatch]:
+                size = (strings + LENGTH - 1).astype(np.int64)
+                part = np.cumsum(size) // COPIED
+                cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(row)]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    at, ends = offsets[row[i:j]] + start[i:j], np.concatenate([[0], np.cumsum(size[i:j])])
+                    flat = buf[np.repeat(at - ends[:-1], size[i:j]) + np.arange(ends[-1])]
+                    own = signed(mix(signed_bits(route[i:j])) ^ range_hashes(flat, ends[:-1], ends[1:])) if deal else route[i:j]
+                    data = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                    take = pa.array(row[i:j])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own), rows.column(rows.schema.get_field_index("doc_id")).take(take), rows.column(rows.schema.get_field_index("mark")).take(take), pa.array(start[i:j].astype(np.int32)), pa.array(strings[i:j].astype(np.int32)), data, pa.nulls(j - i, PLACES) if also is None else also.slice(i, j - i)],
+                        ["route", "doc_id", "mark", "start", "strings", "data", "also"],
+                    )
+
+            if (~wide).any():
+                yield from rows_of(row[~wide], start[~wide], strings[~wide], route[~wide], None, False)
+            # wide pieces in parts of so many strings
+            which, n = np.flatnonzero(wide), strings[wide].astype(np.int64)
+            ends = np.cumsum(n)
+            for low in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+                k = np.arange(low, min(low + AT_ONCE, int(ends[-1])))
+                of = np.searchsorted(ends, k, side="right")
+                piece, place = which[of], start[which[of]] + (k - (ends - n)[of])
+                chosen, also = different_strings(buf, offsets[row[piece]] + place, row[piece])
+                base = offsets[row[piece[chosen]]]
+                inner = also.flatten()
+                moved = inner.field("start").to_numpy() - np.repeat(base, np.diff(np.asarray(also.offsets)))
+                also = pa.ListArray.from_arrays(also.offsets, pa.StructArray.from_arrays([pa.array(moved.astype(np.int32)), inner.field("strings")], ["start", "strings"])).cast(PLACES)
+                yield from rows_of(row[piece[chosen]], place[chosen], np.ones(len(chosen), np.int64), route[piece[chosen]], also, True)
 
 
 def suffix_order(buf: np.ndarray, at: np.ndarray, length: np.ndarray | int = LENGTH, group: np.ndarray | None = None, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +310,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: pa.Table | None = None
 
     def ranges(t: pa.Table, at: np.ndarray, start: np.ndarray, strings: np.ndarray) -> list[pa.RecordBatch]:
-        rows = t.select(["doc_id", "mark"]).take(pa.array(at))
+        rows = t.select(["doc_id", "mark", "also"]).take(pa.array(at))
         return rows.append_column("start", pa.array(start.astype(np.int32))).append_column("strings", pa.array(strings.astype(np.int32))).combine_chunks().to_batches()
 
     def whole(t: pa.Table) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]:
@@ -374,6 +421,7 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PIECE = "doc_id long, mark long, start int, strings int"
+ALSO = "array<struct<start: int, strings: int>>"
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -382,12 +430,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     met = pieces.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(shared, f"route long, {PIECE}, done boolean, nth long")
     met = materialize(met, "pieces")
     covered = met.where("done").select("doc_id", "mark", "start", "strings")
-    wide = materialize(met.where(F.col("nth") == WIDE).select("route", F.lit(True).alias("wide")), "wide")
+    wide = materialize(met.where(~F.col("done") & ((F.col("nth") == WIDE) | (F.col("strings") > LONG))).select("route", F.lit(True).alias("wide")).distinct(), "wide")
     # equal rows of one document are one here
     listed = met.where("not done").join(wide, "route", "left").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "strings", "route", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("pieces"))
-    fetched = listed.join(docs.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("doc_id", "mark", "text", "pieces").mapInArrow(fetch, f"route long, {PIECE}, data binary")
+    fetched = listed.join(docs.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("doc_id", "mark", "text", "pieces").mapInArrow(fetch, f"route long, {PIECE}, data binary, also {ALSO}")
     fetched, path = stored(fetched, "open-pieces")
-    near = materialize(fetched.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(compare, PIECE), "equal-strings")
+    near = materialize(fetched.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(compare, f"doc_id long, mark long, also {ALSO}, start int, strings int"), "equal-strings")
+    near = near.select("doc_id", "mark", F.inline(F.coalesce("also", F.array(F.struct("start", "strings")))))
     release(docs.sparkSession, [path])
     return covered.unionByName(near)
 

@@ -107,12 +107,28 @@ def test_repeats(docs, monkeypatch):
                 gone[k : k + 50] = b"\1" * 50
         want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(v for v, g in zip(b, gone) if not g)).hexdigest()))
     assert sorted(map(tuple, repeats.op2(docs).collect())) == sorted(want)
-    for name, value in (("WIDE", 1), ("BATCH", 300)):  # routes dealt string by string; routes of several batches
+    for name, value in (("WIDE", 1), ("AT_ONCE", 70), ("COPIED", 500), ("BATCH", 300), ("LONG", 3)):  # routes dealt string by string; parts of pieces; routes of several batches
         monkeypatch.setattr(repeats, name, value)
         assert sorted(map(tuple, repeats.op2(docs).collect())) == sorted(want)
     assert repeats.op2(docs.where("false")).count() == 0
 
 
+def test_repeats_in_long_runs(spark):
+    """5 MB of one byte and of a short period among short runs: every string that a smaller document has goes, at a bounded cost."""
+    import resource
+
+    texts = ["-" * n for n in (60, 49, 50, 2000)] + ["-" * 5_000_000, "ab" * 30_000, "xx" + "ab" * 50 + "yy", "ab" * 40_000 + "Z"]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.op2(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (60, 0, 0), 1: (49, 0, 0), 2: (50, 50, 1), 3: (2000, 2000, 1), 4: (5_000_000, 5_000_000, 1), 5: (60_000, 0, 0), 6: (104, 100, 1), 7: (80_001, 80_000, 1)}
+    buf = np.frombuffer(b"-" * 3_000_000, np.uint8)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    lists = pa.ListArray.from_arrays(pa.array([0, 1], pa.int32()), pa.StructArray.from_arrays([pa.array([0], pa.int32()), pa.array([len(buf) - 49], pa.int32()), pa.array([5], pa.int64()), pa.array([True])], ["start", "strings", "route", "wide"]))
+    rows = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([2], pa.int64()), pa.array([buf.tobytes().decode()]), lists], ["doc_id", "mark", "text", "pieces"])
+    out = pa.Table.from_batches(list(repeats.fetch(iter([rows])))).to_pylist()
+    assert len(out) == 15 and sum(p["strings"] for r in out for p in r["also"]) == len(buf) - 49
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
+
+
 def test_suffix_order():
     """The order and classes of suffixes against Python's sort: few letters, long equal beginnings, several lengths and groups."""
     r = np.random.default_rng(0)
