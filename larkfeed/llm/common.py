@@ -7,13 +7,13 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -53,16 +53,6 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             _made.remove(path)
 
 
-@contextmanager
-def scratch_of(spark: SparkSession) -> Iterator[list[str]]:
-    """Scratch tables that are made inside are deleted at the end, but those whose paths are put into the list."""
-    before, keep = len(_made), []
-    try:
-        yield keep
-    finally:
-        release(spark, [p for p in _made[before:] if p not in keep])
-
-
 def write(df: DataFrame, path: str, **options: str) -> None:
     """Write Parquet and let Spark drop the shuffle files of this execution when it ends."""
     conf = df.sparkSession.conf
@@ -267,23 +257,30 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(node, component) for every node of edges (a, b): the smallest node reachable.
 
     Alternating large-star and small-star steps; minima are aggregated before each join, so that a
-    node with very many neighbours is a partial sum or a skewed join that Spark splits, never a group.
+    node with very many neighbours is a partial sum or a skewed join that Spark splits, never a group. Whether
+    anything has changed is observed while a step is written.
     """
     spark = edges.sparkSession
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, path = stored(now, name)
+
+    def kept(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        seen, metrics = Observation(), [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("all")]
+        back, path = stored(df.observe(seen, *metrics), name)
+        try:
+            return back, path, tuple(seen.get.values())
+        except Py4JJavaError:  # an empty plan is never observed
+            return back, path, (0, None)
+
+    now, path, state = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    while (state := now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != seen:
+    while state != seen and state[0]:
         seen = state
-        if not seen[0]:
-            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old = path
-        now, path = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        now, path, state = kept(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         release(spark, [old])
     stars = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))

@@ -13,7 +13,8 @@ different components remain that signatures don't rule out are decided where the
 of any size is many small tasks, a tile gets each document once, and only links come out, one for two components at most.
 Every link is confirmed on full sets.
 
-Sets are named by a digest, never by a doc_id: an id may repeat, be null or have several texts.
+Sets are told apart by both digests and their size, and each different one has a number of its own; never a doc_id, which may repeat,
+be null or have several texts.
 
 Cases: null or empty texts and texts without words have an empty set and no links; fewer than five
 words are one shingle; repeated rows are copies, each returned by the query, of which `keep_one` keeps
@@ -252,14 +253,24 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, digest, n_shingles, first) for each row of docs (doc_id, text), linked by a similarity of `percent`:
     first is (none, doc_id, digest) of the row that comes first in its group, by doc_id (nulls last) and a digest of
     the text. It is null for rows without words."""
+    return joined(*signed_docs(docs, percent), percent)
+
+
+def signed_docs(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, digest) and the digests, bands and signatures of the sets."""
     small_batches(docs.sparkSession)
     each = band_rows(percent)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     rows = materialize(slim.mapInArrow(lambda b: signed_rows(b, each), "doc_id long, digest long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary"), "signatures")
+    return slim, rows
+
+
+def joined(slim: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of `grouped`."""
     key = ["n_shingles", "k1", "k2"]
-    # copies: the first row of each different set stands for it, under the name k1
+    # copies: the first row of each different set stands for it, under a number of its own
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "bands", "signature")
-    sets = materialize(rows.where("n_shingles > 0").groupBy(*key).agg(F.min(first).alias("row")).select(*key, F.col("k1").alias("doc"), "row.*"), "sets")
+    sets = materialize(rows.where("n_shingles > 0").groupBy(*key).agg(F.min(first).alias("row")).sortWithinPartitions(*key).select(*key, F.monotonically_increasing_id().alias("doc"), "row.*"), "sets")
     buckets = sets.select("doc", F.posexplode("bands").alias("k", "band"))
     shared = buckets.groupBy("band").agg(F.min("doc").alias("star"), F.count("*").alias("n")).where("n > 1").select("band", "star")
     members = materialize(buckets.join(shared, "band"), "buckets")
@@ -274,7 +285,10 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     for best in (True, False):
         found = connected_components(links)
         where = members.select("band", "k", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        where = materialize(where, "components-of-buckets")
         several = where.groupBy("band").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("band")
+        if several.isEmpty():  # nothing is left to compare
+            break
         units = tiles(where.join(several, "band").join(slim_signatures, "doc")).groupBy("band", "i", "j")
         if best:
             pairs = materialize(units.applyInArrow(propose(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), "proposals")

@@ -666,6 +666,28 @@ def test_minhash_of_texts_that_fool_sums_of_powers(spark):
     assert [x["component_id"] for x in minhash.op10(df).orderBy("doc_id").collect()] == [1, 2, 3, 4]
 
 
+def test_minhash_of_sets_with_one_digest(spark):
+    """Different sets of which one digest is equal keep their texts and names: nothing is joined but what is near."""
+    r = np.random.default_rng(8)
+    base = [f"w{v}" for v in r.integers(0, 10**9, 120)]
+    texts = [" ".join(base), " ".join(base[:60] + ["X"] + base[61:]), *(" ".join(f"w{v}" for v in r.integers(0, 10**9, 80)) for _ in range(12)), " ".join(base)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    slim, rows = minhash.signed_docs(df, 85)
+    got = minhash.joined(slim, rows.withColumn("k1", F.lit(5).cast("long")), 85).orderBy("doc_id").collect()
+    assert [x["first"]["doc_id"] for x in got] == near_groups(texts, 85)
+
+
+def test_minhash_of_long_and_no_texts(spark):
+    """5 MB of different words against the same with a few changed, and empty tables."""
+    words = [f"w{i}" for i in range(600_000)]
+    near = [*words]
+    near[100::5000] = ["changed"] * len(near[100::5000])
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "other words of a text that has five"), (None, " ".join(words))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.op10(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, None: 1}
+    assert minhash.op10(df.where("false")).count() == minhash.keep_one(df.where("false")).count() == 0
+
+
 def test_minhash_of_a_large_star(spark, monkeypatch):
     """Many near copies of one text, more than a part of a star, and one document that links to another's near copy only."""
     monkeypatch.setattr(minhash, "PARTNERS", 20)
