@@ -12,6 +12,7 @@ from ..operators import gates, pricing, reconcile, verify
 from ..operators.feed import FUELS, checked, duplicate_keys, typed
 from ..sources import store
 from ..sources.fixtures import FEED_RAW, INPUTS, MASTER, RATES, feed_raw, inputs, master, rates
+from ..sources.landing import HEADER, relanded
 from ..sources.scratch import folder, kept
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,12 @@ def feed_typed(spark: SparkSession, d: str) -> DataFrame:
     return _feed(spark, d)
 
 
+@query(f"WITH raw AS ({FEED_RAW}) SELECT row_number() OVER (ORDER BY row_num) AS row_num, {', '.join(HEADER.values())} FROM raw")
+def landed_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The feed from snapshot files with control totals."""
+    return relanded(feed_raw(spark, d).repartitionByRange(3, "row_num").sortWithinPartitions("row_num"))
+
+
 @query(f"WITH {FEED_CTE} SELECT row_num, {', '.join(f'{_PRICE.format(c=c)} AS {c}' for c in FUELS)} FROM raw")
 def feed_price_parse(spark: SparkSession, d: str) -> DataFrame:
     return feed_raw(spark, d).select("row_num", *(parse.feed_price(F.col(c))[0].alias(c) for c in FUELS))

@@ -10,7 +10,7 @@ from larkfeed.operators import gates, pricing, reconcile, verify
 from larkfeed.operators.feed import checked, duplicate_keys, typed
 from larkfeed.plans import job
 from larkfeed.plans.queries import ORACLES, QUERIES
-from larkfeed.sources import fixtures, scratch, store
+from larkfeed.sources import fixtures, landing, scratch, store
 from larkfeed.streaming import snapshots
 
 SF = "/root/testdata/sf0.001"
@@ -285,6 +285,45 @@ def test_bucketed_master_is_not_dealt(spark, root):
     assert d.count() == reconcile.compared(typed(checked(fixtures.feed_raw(spark, BIG))), fixtures.master(spark, BIG)).count()
 
 
+# ---------------------------------------------------------------- landing
+
+
+def test_landing(spark, tmp_path):
+    """Wrong headers, cells and totals fail before any row is used, whichever file has them; below any Hadoop path."""
+    rows = [("대전 서구", "a\tb", "line\none", "\\n", "셀프", "", "1,000", None), ("", "", "", "", "", "", "", ""), *(("r", str(i), "x", "", "일반", "-", "1", "2") for i in range(40))]
+    feed = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in landing.HEADER.values())).coalesce(1)
+    path = tmp_path / "in"
+    landing.write_snapshots(feed, str(path))
+    good = next(path.glob("part-*")).read_text()
+    assert [tuple(r)[1:] for r in landing.landed(spark, str(path)).orderBy("row_num").collect()] == [tuple(x or "" for x in r) for r in rows]
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.land.link./in", f"file://{path}")
+    assert landing.landed(spark, "viewfs://land/in").count() == len(rows)
+    lines = good.splitlines()
+    moved = "\n".join(["preamble", "", *lines]) + "\n"  # the header is found where it is
+    assert landing.rows_of(moved.encode()) == landing.rows_of(good.encode())
+    broken = {
+        "declared": good.replace("일반", "", 1), "declared, ": "\n".join(lines[:-2] + lines[-1:]), "no control total": "\n".join(lines[:-1]), "0 headers": good.replace("지역", "지 역"), "2 headers": "\n".join([lines[1], *lines]),
+        "9 cells in line 3": good.replace(lines[2], lines[2] + "\tx"), "1 cells": good.replace(lines[-2], "cut"),
+    }
+    for k, (message, text) in enumerate(broken.items()):
+        own = tmp_path / f"b{k}"
+        own.mkdir()
+        (own / "a.txt").write_text(good)
+        (own / "b.txt").write_text(text)
+        with pytest.raises(landing.LandingError, match=message):
+            landing.landed(spark, str(own))
+    (own / "b.txt").write_bytes(b"\xff")
+    with pytest.raises(landing.LandingError, match="b.txt: not UTF-8"):
+        landing.landed(spark, str(own))
+    (own / "b.txt").write_text(good)
+    assert landing.landed(spark, str(own)).select(F.max("row_num")).first()[0] == 2 * len(rows)
+    with pytest.raises(landing.LandingError, match="bytes"):
+        landing.landed(spark, str(own), most_bytes=10)
+    (tmp_path / "none").mkdir()
+    with pytest.raises(landing.LandingError, match="no snapshot"):
+        landing.landed(spark, str(tmp_path / "none"))
+
+
 # ---------------------------------------------------------------- store
 
 
