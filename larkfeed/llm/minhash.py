@@ -270,7 +270,7 @@ def joined(slim: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     key = ["n_shingles", "k1", "k2"]
     # copies: the first row of each different set stands for it, under a number of its own
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "bands", "signature")
-    sets = materialize(rows.where("n_shingles > 0").groupBy(*key).agg(F.min(first).alias("row")).sortWithinPartitions(*key).select(*key, F.monotonically_increasing_id().alias("doc"), "row.*"), "sets")
+    sets = materialize(rows.where("n_shingles > 0").groupBy(*key).agg(F.min(first).alias("row")).select(*key, F.monotonically_increasing_id().alias("doc"), "row.*"), "sets")
     buckets = sets.select("doc", F.posexplode("bands").alias("k", "band"))
     shared = buckets.groupBy("band").agg(F.min("doc").alias("star"), F.count("*").alias("n")).where("n > 1").select("band", "star")
     members = materialize(buckets.join(shared, "band"), "buckets")
