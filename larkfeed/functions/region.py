@@ -5,34 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import address_key, tokens
+from .text import address_key, trim
 
 #: Regions in their order, and the districts of the first.
 REGIONS = ("대전", "세종", "청주", "공주", "보령", "아산", "천안")
 DISTRICTS = ("대덕구", "동구", "서구", "유성구", "중구")
 #: How a key begins that counts for a region, whose label is the last two letters: 대전 with a district after it only.
 _PREFIX = f"^(?:대전(?={'|'.join(DISTRICTS)})|세종|(?:충북)?청주|(?:충남)?(?:{'|'.join(REGIONS[3:])}))"
+_DISTRICT, _CITY = f"(?:{'|'.join(DISTRICTS)})", f"(?:{'|'.join(REGIONS[3:])})"
+#: Whole region texts as keys, and the words with which an address begins.
+_REGION_TEXT = rf"^(?:대전{_DISTRICT}?|세종시|충북청주시|충남{_CITY}시)\z"
+_ADDRESS = rf"(?U)^(?:대전(?:광역시|\s+광역시)?\s+{_DISTRICT}|세종(?:시|특별자치시)?|(?:충북|충청북도)\s+청주시|(?:충남|충청남도)\s+(?:{_CITY}시|천안\s+서북구))(?=\s|\z)"
+
+
+def _label(c: Column) -> Column:
+    """The first label in a text that is known to have one."""
+    return F.regexp_extract(c, "|".join(REGIONS), 0)
 
 
 def of_region_text(c: Column) -> Column:
     """Strict vocabulary of the feed's region column, or null."""
     k = address_key(c)
-    out = F.when(k.isin("대전", *(f"대전{d}" for d in DISTRICTS)), "대전").when(k == "세종시", "세종").when(k == "충북청주시", "청주")
-    for city in REGIONS[3:]:
-        out = out.when(k == f"충남{city}시", city)
-    return out
+    return F.when(k.rlike(_REGION_TEXT), _label(k))
 
 
 def of_address(c: Column) -> Column:
     """Strict reading of an address by its words, or null."""
-    t = tokens(c)
-    w = [F.coalesce(F.try_element_at(t, F.lit(i)), F.lit("")) for i in (1, 2, 3)]
-    daejeon = ((w[0] == "대전") & (w[1].isin(*DISTRICTS) | ((w[1] == "광역시") & w[2].isin(*DISTRICTS)))) | ((w[0] == "대전광역시") & w[1].isin(*DISTRICTS))
-    south = w[0].isin("충남", "충청남도")
-    out = F.when(daejeon, "대전").when(w[0].isin("세종", "세종시", "세종특별자치시"), "세종").when(w[0].isin("충북", "충청북도") & (w[1] == "청주시"), "청주")
-    for city in REGIONS[3:]:
-        out = out.when(south & (w[1] == f"{city}시"), city)
-    return out.when(south & (w[1] == "천안") & (w[2] == "서북구"), "천안")
+    t = trim(c)
+    return F.when(t.rlike(_ADDRESS), _label(t))
 
 
 def strict(region: Column, address: Column) -> tuple[Column, Column]:

@@ -16,10 +16,6 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
 
 
-def tokens(c: Column) -> Column:
-    return F.split(trim(c), r"(?U)\s+")
-
-
 def address_key(c: Column) -> Column:
     """White space and brackets, commas and full stops go; long province names become short, to a fixpoint."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s()\[\]{},.]", "")
