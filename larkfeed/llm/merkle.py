@@ -28,6 +28,8 @@ from .common import materialize, small_batches, union
 #: Children of a node, as a power of two.
 SHIFT = 4
 FAN = 1 << SHIFT
+#: Leaves of a range at most, about: a range is in one task's memory.
+RANGE = 500_000
 #: Rows whose proofs are made at once.
 AT_ONCE = 500
 #: Fields of a row's leaf, in their order.
@@ -47,7 +49,8 @@ def leaf_of(fields: list[Column]) -> Column:
 
 def ranged(rows: DataFrame, *order: str) -> DataFrame:
     """rows, dealt by ranges of the order and sorted, with the number of their range and their place in it; written once."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     return materialize(dealt, "ranges").withColumn("part", F.shiftrightunsigned("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1))
 
 
@@ -193,7 +196,7 @@ def manifest(rows: DataFrame, group: str, key: str, carried: tuple[str, ...] = (
     paths = descend(top_runs, whole.select("g", F.array().cast(PROOF).alias("proof"))).where("level = 0")
     above = at.join(paths.select("idx", "proof"), "idx").select(F.col("name").alias("g"), "proof")
     down = descend(runs, materialize(above, "paths"))
-    tops = nodes.drop("h").join(down, ["g", "level", "idx"]).join(roots.withColumnRenamed("root", "subroot"), "g")
+    tops = materialize(nodes.drop("h").join(down, ["g", "level", "idx"]).join(roots.withColumnRenamed("root", "subroot"), "g"), "tops")
     out = leaves.select("key", *(f"c_{c}" for c in carried), "leaf").schema
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out)}, subroot string, proof {PROOF}"
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
