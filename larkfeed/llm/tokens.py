@@ -1,6 +1,6 @@
 """Token ids as Parquet list columns (operator 1).
 
-Documents are range-partitioned by doc_id, encoded a partition at a time and written in ascending
+Documents are range-partitioned by doc_id, the text's beginning and the place in the table, so that no id is one task, encoded a partition at a time and written in ascending
 order. Ids are dictionary-encoded (a page of 16-bit indexes for this vocabulary), metadata columns are
 delta-encoded, row groups and pages are bounded and carry page indexes, so that a reader can fetch
 the metadata alone or the tokens of a few documents.
@@ -8,8 +8,8 @@ the metadata alone or the tokens of a few documents.
 Ids are those of `Tokenizer.encode(text, add_special_tokens=False)`: a control string that stands in a text is one
 id, as the library has it.
 
-Cases: a null or empty text has the end id alone; rows that share a doc_id follow each other in text
-order; null doc_ids come first; an empty table writes no rows; further columns are ignored unless
+Cases: a null or empty text has the end id alone; rows that share a doc_id follow each other in order of their
+first BEGINNING characters, then of their places in the table; null doc_ids come first; an empty table writes no rows; further columns are ignored unless
 named in `metadata`.
 """
 
@@ -45,6 +45,8 @@ _SPACE_AFTER_SPACE = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{20
 #: A word, signs with at most one line end, a word, signs: byte-level BPE never joins letters with signs. Apostrophes are
 #: left out, as some letters join them; letters are Latin ones alone, and other characters leave the piece whole.
 _PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*)([!-&(-/:-@\\[-`{-~]*)")
+#: Characters of a text by which rows of one doc_id are dealt.
+BEGINNING = 256
 #: Row groups, pages and encodings of the written files.
 FILE_FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -245,7 +247,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, me
     from pyspark.sql.pandas.types import to_arrow_schema
 
     small_batches(docs.sparkSession)
-    kept = docs.select("doc_id", *metadata, "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges of the whole order: no id, and no text, is one task
+    kept = docs.select("doc_id", *metadata, "text", F.substring("text", 1, BEGINNING).alias(" begin"), F.monotonically_increasing_id().alias(" place"))
+    kept = kept.repartitionByRange("doc_id", " begin", " place").sortWithinPartitions("doc_id", " begin", " place").drop(" begin", " place")
     schema = docs.select("doc_id", *metadata).schema.add("n_tokens", "long").add("part", "integer").add("part_start", "long").add("ids", T.ArrayType(T.IntegerType(), False))
     arrow = to_arrow_schema(schema)
     arrow = pa.schema([f if f.name != "ids" else pa.field("ids", pa.list_(pa.int32())) for f in arrow])

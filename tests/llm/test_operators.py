@@ -61,6 +61,21 @@ def test_tokens_of_odd_texts(spark, monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts[a : a + 100]]
 
 
+def test_tokens_of_one_id(spark, tmp_path):
+    """Very many rows without an id, some of them equal, are several parts in order of their texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.range(4000).selectExpr("cast(null as long) doc_id", "concat(repeat('same beginning ', 6), 'text ', if(id < 1500, 0, id)) text").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.write_tokens(docs, str(tmp_path / "t"), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = tokens.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    t = Tokenizer.from_file(path)
+    assert [r["ids"] for r in got] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in sorted(r["text"] for r in docs.collect())]
+    assert len({r["part"] for r in got}) > 2
+
+
 def test_token_files(spark, tmp_path):
     """Encodings, row groups and indexes of the written files, and what a selective read touches."""
     import pyarrow.parquet as pq
