@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import folder, kept_seen
+from .scratch import folder, kept_seen, ship
 
 #: The feed's header, and the columns that its labels stand for.
 HEADER = {"지역": "region", "상호": "name", "주소": "address", "상표": "brand", "셀프여부": "self_yn", "고급휘발유": "premium", "휘발유": "gasoline", "경유": "diesel"}
@@ -52,6 +52,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_snapshots(feed: DataFrame, path: str) -> None:
     """A snapshot file for each partition of the feed's text columns, in their order."""
+    ship(feed.sparkSession)
     feed.select(*(F.col(c).cast("string") for c in HEADER.values())).mapInArrow(_lines, "value string").write.text(path)
 
 
@@ -89,6 +90,7 @@ def landed(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> Data
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path)
     small = files.select("path", "length", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
     schema = to_arrow_schema(StructType.fromDDL(_SCHEMA))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -50,6 +52,19 @@ def kept_seen(df: DataFrame, name: str, *metrics: list[Column]) -> tuple[DataFra
     return back, [seen_of(s, back, m) for s, m in zip(seen, metrics, strict=True)]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which may not have it, before the first of its functions runs there."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_larkfeed_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        path = f"{tempfile.mkdtemp()}/larkfeed.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in package.rglob("*.py"):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(path)
+        sc._larkfeed_shipped = True
+
+
 def mark() -> int:
     """Where `dropped` begins."""
     return len(_made)
