@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, materialize, mix, range_hashes, release, signed, slices, sliding_min, small_batches, stored, text_buffer
+from .common import Rolling, materialize, mix, range_hashes, release, signed, slices, sliding_min, small_batches, stored, text_buffer, union
 
 LENGTH, K = 50, 20
 SHALLOW = 3
@@ -46,6 +46,8 @@ BATCH = 400_000
 #: A route with a piece of more strings is dealt string by string as well. Strings of wide routes that are told apart at once, and bytes
 #: that are copied at once: memory only.
 LONG, AT_ONCE, COPIED = 20_000, 200_000, 16 << 20
+#: Bytes of text for each part of the routes and documents that meet one after another, and what a row of a piece takes beside its bytes: disk only.
+PART, ROW = 64 << 20, 40
 PLACES = pa.list_(pa.struct([("start", pa.int32()), ("strings", pa.int32())]))
 
 
@@ -66,14 +68,17 @@ def pieces_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[start], start, strings, route[start]
 
 
-def emit_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of all texts; of equal ones within a slice, those of larger documents are `done`: covered as a whole. They go on
-    under a route of their own."""
+def emit_pieces(batches: Iterator[pa.RecordBatch], part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """The pieces of all texts whose routes are in a part; of equal ones within a slice, those of larger documents are `done`: covered as a
+    whole. They go on under a route of their own. `place` is start, strings and done in one number: every piece is shuffled."""
     for batch in batches:
         for rows in slices(batch):
             ids, marks = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "mark"))
             buf, offsets = text_buffer(rows.column(rows.schema.get_field_index("text")))
             row, at, strings, route = pieces_of(buf, offsets)
+            if parts > 1:
+                own = route % np.uint64(parts) == part
+                row, at, strings, route = row[own], at[own], strings[own], route[own]
             done = np.zeros(len(row), bool)
             by = np.argsort(route, kind="stable")
             same = np.zeros(len(by), bool)
@@ -83,7 +88,8 @@ def emit_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done[some] = ids[row[some]] > smallest(*classes(buf, at[some], strings[some] + LENGTH - 1, route[some]), ids[row[some]])
             route = np.where(done, mix(at.astype(np.uint64) ^ signed_bits(ids[row])), route)
             start = at - offsets[row]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(route)), pa.array(ids[row]), pa.array(marks[row]), pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(done)], ["route", "doc_id", "mark", "start", "strings", "done"])
+            place = start.astype(np.int64) << 32 | strings.astype(np.int64) << 1 | done
+            yield pa.RecordBatch.from_arrays([pa.array(signed(route)), pa.array(ids[row]), pa.array(marks[row]), pa.array(place)], ["route", "doc_id", "mark", "place"])
 
 
 def signed_bits(x: np.ndarray) -> np.ndarray:
@@ -106,10 +112,12 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several, held, seen = False, [], 0
 
     def numbered(b: pa.RecordBatch, nth: np.ndarray) -> pa.RecordBatch:
-        return b.append_column("nth", pa.array(nth.astype(np.int64)))
+        place = b.column(3).to_numpy()
+        start, strings = (place >> 32).astype(np.int32), (place >> 1 & 0x7FFFFFFF).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(start), pa.array(strings), pa.array(place & 1 == 1), pa.array(nth.astype(np.int64))], ["route", "doc_id", "mark", "start", "strings", "done", "nth"])
 
     for batch in batches:
-        done = batch.column(5)
+        done = pa.array(batch.column(3).to_numpy() & 1 == 1)
         if (n := done.true_count):
             yield numbered(batch.filter(done), np.zeros(n))
         batch = batch.filter(pc.invert(done))
@@ -425,19 +433,52 @@ ALSO = "array<struct<start: int, strings: int>>"
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """Ranges (doc_id, mark, start, strings) of strings that start in a smaller document too; docs (doc_id, mark, text)."""
-    pieces = docs.where("doc_id is not null").mapInArrow(emit_pieces, f"route long, {PIECE}, done boolean")
-    met = pieces.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(shared, f"route long, {PIECE}, done boolean, nth long")
-    met = materialize(met, "pieces")
+    """Ranges (doc_id, mark, start, strings) of strings that start in a smaller document too; docs (doc_id, mark, text).
+
+    Routes meet in parts, one after another, and so do documents and their pieces: each part's shuffle is gone before the next begins."""
+    spark = docs.sparkSession
+    docs = docs.where("doc_id is not null")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = 1 + size // PART  # parts that are worth their jobs
+    halves, deals = min(2, most), min(3, most)
+    made = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, name)
+        made.append(path)
+        return df
+
+    def meet(k: int) -> DataFrame:
+        pieces = docs.mapInArrow(lambda batches: emit_pieces(batches, k, halves), "route long, doc_id long, mark long, place long")
+        return pieces.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(shared, f"route long, {PIECE}, done boolean, nth long")
+
+    met = union([keep(meet(k), "pieces") for k in range(halves)])
     covered = met.where("done").select("doc_id", "mark", "start", "strings")
-    wide = materialize(met.where(~F.col("done") & ((F.col("nth") == WIDE) | (F.col("strings") > LONG))).select("route", F.lit(True).alias("wide")).distinct(), "wide")
-    # equal rows of one document are one here
-    listed = met.where("not done").join(wide, "route", "left").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "strings", "route", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("pieces"))
-    fetched = listed.join(docs.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("doc_id", "mark", "text", "pieces").mapInArrow(fetch, f"route long, {PIECE}, data binary, also {ALSO}")
-    fetched, path = stored(fetched, "open-pieces")
-    near = materialize(fetched.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(compare, f"doc_id long, mark long, also {ALSO}, start int, strings int"), "equal-strings")
+    wide = keep(met.where(~F.col("done") & ((F.col("nth") == WIDE) | (F.col("strings") > LONG))).select("route", F.lit(True).alias("wide")).distinct(), "wide")
+
+    # so many parts that the bytes of one's pieces are two thirds of the texts'
+    bytes_met = met.where("not done").agg(F.sum(F.col("strings") + LENGTH + ROW)).first()[0] or 0
+    parts = min(most, 1 + 3 * bytes_met // (2 * max(1, size)), 32)
+
+    # equal rows of one document are one here; the pieces of each part are a column
+    def listed(k: int) -> DataFrame:
+        own = F.pmod(F.xxhash64("doc_id"), F.lit(deals)) == k
+        piece = F.struct("start", "strings", "route", F.coalesce("wide", F.lit(False)).alias("wide"))
+        lists = [F.collect_set(F.when(F.pmod("route", F.lit(parts)) == i, piece)).alias(f"pieces{i}") for i in range(parts)]
+        pieces = met.where("not done").where(own).join(wide, "route", "left").groupBy("doc_id", "mark").agg(*lists)
+        return pieces.join(docs.where(own).dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"])
+
+    texts = union([keep(listed(k), "open-texts") for k in range(deals)])
+    done = made[halves:]
+
+    def equal(k: int) -> DataFrame:
+        own = texts.select("doc_id", "mark", "text", F.col(f"pieces{k}").alias("pieces")).where("size(pieces) > 0")
+        fetched = own.mapInArrow(fetch, f"route long, {PIECE}, data binary, also {ALSO}")
+        return fetched.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(compare, f"doc_id long, mark long, also {ALSO}, start int, strings int")
+
+    near = union([keep(equal(k), "equal-strings") for k in range(parts)])
     near = near.select("doc_id", "mark", F.inline(F.coalesce("also", F.array(F.struct("start", "strings")))))
-    release(docs.sparkSession, [path])
+    release(spark, done)
     return covered.unionByName(near)
 
 

@@ -128,6 +128,28 @@ def test_repeats(docs, monkeypatch):
     assert repeats.op2(docs.where("false")).count() == 0
 
 
+def test_repeats_in_parts(docs, monkeypatch):
+    """No single shuffle has the pieces or texts of all documents where there are many, and parts change no row."""
+    spark = docs.sparkSession
+    docs = docs.where("doc_id is not null").repartition(4).localCheckpoint()
+    store, jvm = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.jvm
+
+    def shuffled() -> dict[int, int]:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    def run() -> tuple[list, int]:
+        before = max(shuffled(), default=-1)
+        repeats.repeated_ranges(docs.selectExpr("doc_id", "xxhash64(text) mark", "text"))
+        most = max(v for k, v in shuffled().items() if k > before)
+        return sorted(map(tuple, repeats.op2(docs).collect())), most
+
+    want, whole = run()
+    monkeypatch.setattr(repeats, "PART", 10_000)
+    got, most = run()
+    assert got == want and most < 0.7 * whole
+
+
 def test_repeats_in_long_runs(spark):
     """5 MB of one byte and of a short period among short runs: every string that a smaller document has goes, at a bounded cost."""
     import resource
