@@ -91,7 +91,7 @@ def feed_typed(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH raw AS ({FEED_RAW}) SELECT row_number() OVER (ORDER BY row_num) AS row_num, {', '.join(HEADER.values())} FROM raw")
 def landed_feed(spark: SparkSession, d: str) -> DataFrame:
     """The feed from snapshot files with control totals."""
-    return relanded(feed_raw(spark, d).repartitionByRange(3, "row_num").sortWithinPartitions("row_num"))
+    return relanded(feed_raw(spark, d), "row_num")
 
 
 @query(f"WITH {FEED_CTE} SELECT row_num, {', '.join(f'{_PRICE.format(c=c)} AS {c}' for c in FUELS)} FROM raw")

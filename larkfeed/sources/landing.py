@@ -107,8 +107,15 @@ def landed(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> Data
     return d.select((F.col("before") + F.col("at") + 1).alias("row_num"), *HEADER.values())
 
 
-def relanded(feed: DataFrame) -> DataFrame:
-    """A feed written as snapshots into the shared folder and read back."""
+def relanded(feed: DataFrame, order: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """A feed written in its order as snapshots into the shared folder and read back: three, or as many as keep each at about a quarter
+    of the most bytes that a snapshot may have."""
+    size = F.lit(len(HEADER))
+    for c in HEADER.values():
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        size = size + F.octet_length(text) + F.length(text) - F.length(F.translate(text, "\\\t\n\r", ""))  # escaped ones take two
+    every = feed.agg(F.sum(size.cast("long"))).first()[0] or 0
+    feed = feed.repartitionByRange(max(3, 1 + 4 * every // most_bytes), order).sortWithinPartitions(order)
     path = folder(feed.sparkSession, "snapshots")
     write_snapshots(feed, path)
-    return landed(feed.sparkSession, path)
+    return landed(feed.sparkSession, path, most_bytes)

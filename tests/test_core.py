@@ -324,6 +324,15 @@ def test_landing(spark, tmp_path):
         landing.landed(spark, str(tmp_path / "none"))
 
 
+def test_landing_of_many_bytes(spark):
+    """A feed of more bytes than three snapshots may have becomes more of them, with all its rows in their order."""
+    rows = [(i, "대전", f"a\t{i}", "x\\" * (i % 40), "", "셀프", None, "1", "2") for i in range(3000)]
+    feed = spark.createDataFrame(rows, "row_num long, " + ", ".join(f"{c} string" for c in landing.HEADER.values()))
+    got = landing.relanded(feed.orderBy(F.rand(1)), "row_num", 20_000)
+    assert [tuple(r) for r in got.orderBy("row_num").collect()] == [(i + 1, *(x or "" for x in r)) for i, *r in rows]
+    assert landing.relanded(feed.where("row_num < 10"), "row_num").count() == 10
+
+
 # ---------------------------------------------------------------- store
 
 
