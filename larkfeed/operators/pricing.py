@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import fixed_decimal, lenient_int, with_ratio_text
 from ..functions.region import REGIONS
 from ..functions.text import trim
+from ..sources.scratch import kept
 from .feed import FUELS
 
 #: Who gets the smart discount, fuel labels in order of the text, and the key of rows without a total.
@@ -97,13 +98,19 @@ def priced(master: DataFrame, params: Params) -> DataFrame:
 
 
 def with_unit_texts(priced_rows: DataFrame, params: Params) -> DataFrame:
-    """The unit prices' exact texts, null without a total or quantities."""
+    """The unit prices' exact texts, null without a total or quantities. Each different total is divided once, wherever it stands."""
     whole = params.total()
+    totals = {"unit_text_with": "regional_total", "unit_text_without": "total_price"}
+    if not whole:
+        return priced_rows.withColumns({name: F.lit(None).cast("string") for name in totals})
+    each = priced_rows.select(F.explode(F.array(*totals.values())).alias("total__")).where("total__ is not null").distinct()
+    # both as whole numbers of 10 ** -12
+    above = (F.col("total__") * F.lit(Decimal(10**12))).cast("decimal(38,0)")
+    texts = kept(with_ratio_text(each, "text__", above, F.lit(Decimal(int(whole * 10**12))).cast("decimal(38,0)")), "unit-texts")
     d = priced_rows
-    for name, total in (("unit_text_with", "regional_total"), ("unit_text_without", "total_price")):
-        # both as whole numbers of 10 ** -12
-        above = (F.col(total) * F.lit(Decimal(10**12))).cast("decimal(38,0)") if whole else F.lit(None).cast("decimal(38,0)")
-        d = with_ratio_text(d, name, above, F.lit(Decimal(int(whole * 10**12))).cast("decimal(38,0)"))
+    for name, total in totals.items():
+        own = texts.select(F.col("total__").alias(f"{name}__"), F.col("text__").alias(name))
+        d = d.join(own, F.col(total) == F.col(f"{name}__"), "left").drop(f"{name}__")
     return d
 
 

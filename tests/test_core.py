@@ -453,6 +453,26 @@ def test_ratio_text(spark):
         parse.with_ratio_text(df.where("i = 0"), "t", F.col("a").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).collect()
 
 
+def test_unit_texts_of_equal_totals(spark, monkeypatch):
+    """Each different total is divided once; rows and their texts are those of dividing each row's."""
+    divided, divide = [], pricing.with_ratio_text
+
+    def counted(df, *args):
+        divided.append(df.count())
+        return divide(df, *args)
+
+    monkeypatch.setattr(pricing, "with_ratio_text", counted)
+    rows = spark.range(2000).selectExpr("id", "cast(if(id % 11 = 0, null, id % 7 * 1000.5) as decimal(28,12)) total_price", "cast(if(id % 11 = 0, null, id % 7 * 1000.5 - id % 3) as decimal(28,12)) regional_total")
+    got = pricing.with_unit_texts(rows, pricing.Params()).collect()
+    assert divided == [len({t for r in got for t in (r["total_price"], r["regional_total"]) if t is not None})] and divided[0] < 30
+    assert sorted(r["id"] for r in got) == list(range(2000))
+    for r in got:
+        for name, total in (("unit_text_with", "regional_total"), ("unit_text_without", "total_price")):
+            assert r[name] == (None if r[total] is None else ratio_of(int(r[total] * 10**12), 50 * 10**12))
+    none = pricing.Params(quantity=dict.fromkeys(pricing.FUELS, Decimal(0)))
+    assert {(r["unit_text_with"], r["unit_text_without"]) for r in pricing.with_unit_texts(rows, none).collect()} == {(None, None)}
+
+
 def test_rank_of_a_million_decimals(spark):
     """Different keys lie in several ranges, and none of them holds most."""
     df = spark.range(1_000_000).selectExpr("id", "cast((id * 7919 % 1000000) / 100 - 3000 as decimal(28,12)) as t")
